@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayline.llm import oracle, quality
+from wayline.llm import bpe, oracle, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op8_quality_rules": quality.op8_quality_rules,
+        "op10_byte_bpe": bpe.op10_byte_bpe,
     }
 
 
