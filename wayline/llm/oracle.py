@@ -1,3 +1,58 @@
 """DuckDB SQL of the queries that SQL can express."""
 
-SQL: dict[str, str] = {}
+#: Words are runs of anything but blanks; windows of eight words are compared whole.
+OP8 = r"""
+with d as (
+  select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w
+  from documents),
+win as (
+  select doc_id, i, array_to_string(w[i:i + 7], ' ') as x
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 6, 1))) as i from d)),
+twice as (
+  select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, x) as n from win) where n > 1),
+cover as (
+  select doc_id, sum(least(8, coalesce(nxt - i, 8))) as n_repeat_words
+  from (select doc_id, i, lead(i) over (partition by doc_id order by i) as nxt from twice) group by doc_id),
+m as (
+  select d.doc_id, len(w)::bigint as n_words,
+    coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]'))::bigint as n_symbols,
+    len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))::bigint
+      - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))))::bigint as n_dup_lines,
+    coalesce(n_repeat_words, 0)::bigint as n_repeat_words,
+    len(string_split(t, chr(10))) as n_lines,
+    len(regexp_extract_all(t, '\p{Lu}')) as n_upper, len(regexp_extract_all(t, '\p{L}')) as n_letters
+  from d left join cover using (doc_id))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  (n_words < 20 or 100 * n_repeat_words > 30 * n_words) as base_failed,
+  not (n_words < 20 or n_symbols * 10 > n_words * 3 or word_chars > n_words * 20 or word_chars < n_words * 2
+    or n_upper * 2 > n_letters or n_dup_lines * 10 > n_lines * 5 or n_repeat_words * 100 > n_words * 30) as kept
+from m
+"""
+
+OP7 = r"""
+with d as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+    ('0x' || substr(md5('mix:17:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint as u
+  from documents),
+s as (
+  select source, source_size, [5.0::double, 2.0::double, 1.0::double][(row_number() over (order by source asc nulls last) - 1) % 3 + 1] as weight
+  from (select source, sum(size)::bigint as source_size from d group by source)),
+c as (select *, source_size * 2.0::double as cap, sum(source_size) over ()::double as everything from s),
+l as (
+  select *, (everything * 1.5::double - coalesce(sum(cap) over before, 0)) / (sum(weight) over () - coalesce(sum(weight) over before, 0)) as level
+  from c window before as (order by cap / weight, weight, cap rows between unbounded preceding and 1 preceding)),
+t as (
+  select source, source_size, coalesce(least(cap, min(case when level * weight <= cap then level end) over () * weight), cap) as target from l),
+f as (
+  select *, case when source_size > 0 then floor(target / source_size) else 0 end::bigint as whole from t),
+r as (
+  select d.doc_id, d.size, d.u, f.source_size, f.target, f.whole, f.target - f.whole * f.source_size as rest,
+    sum(d.size) over (partition by d.source order by d.u range between unbounded preceding and current row) as upto,
+    sum(d.size) over (partition by d.source, d.u) as own
+  from d join f on d.source is not distinct from f.source)
+select doc_id, size, source_size, target, (size * (whole + case when rest > 0 and upto - own / 2.0::double <= rest then 1 else 0 end))::bigint as taken
+from r
+"""
+
+SQL: dict[str, str] = {"op8_quality_rules": OP8, "op7_mix_sources": OP7}
