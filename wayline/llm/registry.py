@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayline.llm import bpe, mixing, oracle, quality
+from wayline.llm import bpe, mixing, near, oracle, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_join": near.op1_ngram_join,
         "op7_mix_sources": mixing.op7_mix_sources,
         "op8_quality_rules": quality.op8_quality_rules,
         "op10_byte_bpe": bpe.op10_byte_bpe,
