@@ -48,3 +48,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def partitions_of(df: DataFrame) -> int:
     """Shuffle partitions that the session asks for."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: A table whose rows hold a few numbers is broadcast up to so many rows, counted first; a larger one is joined by a shuffle.
+MOST_BROADCAST = 1_000_000
+
+
+def sized(df: DataFrame, weight: Column | None = None) -> DataFrame:
+    """A checkpointed table, marked for broadcast if its rows (or the sum of their weights) are few enough."""
+    df = checkpointed(df)
+    n = df.count() if weight is None else df.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(df) if n <= MOST_BROADCAST else df

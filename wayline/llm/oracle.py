@@ -55,4 +55,31 @@ select doc_id, size, source_size, target, (size * (whole + case when rest > 0 an
 from r
 """
 
-SQL: dict[str, str] = {"op8_quality_rules": OP8, "op7_mix_sources": OP7}
+#: A line within one edit keeps its first or its second half; ids are unique here.
+OP9 = r"""
+with l as (
+  select doc_id, i - 1 as line_no, line, length(line) as n
+  from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents)
+  where length(line) >= 20),
+f as (select line, n, min(struct_pack(doc_id := doc_id, line_no := line_no)) as p from l group by line, n),
+k as (
+  select line, n, p, m, left(line, m // 2) as a, right(line, m - m // 2) as b
+  from (select *, unnest([n, n - 1]) as m from f)),
+pairs as (
+  select x.line as u, y.line as v, x.p as pu, y.p as pv from k x join k y on x.m = y.m and x.a = y.a and y.m = y.n and x.line <> y.line
+  union
+  select x.line, y.line, x.p, y.p from k x join k y on x.m = y.m and x.b = y.b and y.m = y.n and x.line <> y.line),
+near as (select distinct case when pu < pv then v else u end as line from pairs where levenshtein(u, v) <= 1),
+gone as (
+  select l.doc_id, list(l.line_no) as g from l join f on l.line = f.line left join near on l.line = near.line
+  where near.line is not null or l.doc_id <> f.p.doc_id or l.line_no <> f.p.line_no group by l.doc_id),
+t as (
+  select d.doc_id, d.text is null as absent, coalesce(len(g), 0)::bigint as lines_gone,
+    case when g is null then d.text else
+      coalesce(array_to_string(list_filter(string_split(d.text, chr(10)), lambda x, i: not list_contains(g, i - 1)), chr(10)), '') end as text
+  from documents d left join gone on d.doc_id = gone.doc_id)
+select doc_id, lines_gone, len(string_split(coalesce(text, ''), chr(10)))::bigint as n_lines, length(text)::bigint as n_chars, sha256(text) as text_sha256
+from t
+"""
+
+SQL: dict[str, str] = {"op9_line_dedup": OP9, "op8_quality_rules": OP8, "op7_mix_sources": OP7}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayline.llm import bpe, mixing, near, oracle, quality
+from wayline.llm import bpe, lines, mixing, near, oracle, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_ngram_join": near.op1_ngram_join,
         "op7_mix_sources": mixing.op7_mix_sources,
         "op8_quality_rules": quality.op8_quality_rules,
+        "op9_line_dedup": lines.op9_line_dedup,
         "op10_byte_bpe": bpe.op10_byte_bpe,
     }
 
