@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayline.llm import bpe, lines, mixing, near, oracle, quality
+from wayline.llm import bpe, lines, mixing, near, oracle, quality, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": near.op1_ngram_join,
+        "op2_secret_scan": secrets.op2_secret_scan,
         "op7_mix_sources": mixing.op7_mix_sources,
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_line_dedup": lines.op9_line_dedup,
