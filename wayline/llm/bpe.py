@@ -31,8 +31,8 @@ from wayline.llm.common import table, whole
 
 #: Pieces of up to so many bytes are merged many at a time.
 SHORT = 64
-#: Segments whose ids a worker keeps; the store is emptied when it is full.
-KEPT = 400_000
+#: Segments whose ids a worker keeps in each of two stores: when the newer is full it takes the place of the older.
+KEPT = 60_000
 NONE = np.int64(1) << 40
 
 
@@ -63,6 +63,7 @@ class Codec:
         order = np.argsort(keys)
         self.keys, self.values = keys[order], np.fromiter(self.pairs.values(), dtype=np.int64)[order]
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 32 | right
@@ -160,7 +161,7 @@ class Codec:
             else:
                 done[p] = self._merge_one(p)
         for width, pieces in short.items():
-            step = max(1, 4_000_000 // (width * 40))  # bounds the matrices
+            step = max(1, 1_000_000 // (width * 20))  # bounds the matrices
             for k in range(0, len(pieces), step):
                 done.update(zip(pieces[k : k + step], self._merge_many(pieces[k : k + step], width), strict=True))
         for s, ps in zip(segments, cut, strict=True):
@@ -180,12 +181,13 @@ class Codec:
         new: set[str] = set()
         for c in cut:
             new.update(c)
+        if len(self.kept) > KEPT:
+            self.older, self.kept = self.kept, {}
         new -= self.kept.keys()
-        if len(self.kept) + len(new) > KEPT:
-            self.kept.clear()
-            new = {x for c in cut for x in c}
-        if new:
-            self._learn(sorted(new))
+        known = new & self.older.keys()
+        self.kept.update({x: self.older[x] for x in known})
+        if new := list(new - known):
+            self._learn(new)
         return [b"".join([self.kept[x] for x in c]) for c in cut]
 
     def decode(self, ids: bytes) -> bytes:
@@ -204,7 +206,7 @@ def _codec(content: bytes, pattern: str) -> Codec:
     return _CODECS[key]
 
 
-def _in_slices(values: list, most: int = 4_000_000) -> Iterator[list]:
+def _in_slices(values: list, most: int = 1_000_000) -> Iterator[list]:
     """The values in lists of a bounded total length, or of one value."""
     part, total = [], 0
     for v in values:
