@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,17 +38,25 @@ def fold(doc_id: Column, folds: int = 5) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: that of checkpoints; one is made where none is set, as in tests on one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wayline-"))
+    return folder or spark.sparkContext.getCheckpointDir()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows, written to the folder all executors share; their lineage ends there."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wayline-"))  # tests on one machine
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def partitions_of(df: DataFrame) -> int:
-    """Shuffle partitions that the session asks for."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written as Parquet to a new folder within the shared one, and read again."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 #: A table whose rows hold a few numbers is broadcast up to so many rows, counted first; a larger one is joined by a shuffle.

@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayline.llm import bpe, lines, mixing, near, oracle, quality, secrets
+from wayline.llm import bpe, fingerprints, language, lines, lm, mixing, near, oracle, quality, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": near.op1_ngram_join,
         "op2_secret_scan": secrets.op2_secret_scan,
+        "op3_fingerprints": fingerprints.op3_fingerprints,
+        "op4_lm_score": lm.op4_lm_score,
+        "op5_toxicity": toxicity.op5_toxicity,
+        "op6_language_id": language.op6_language_id,
         "op7_mix_sources": mixing.op7_mix_sources,
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_line_dedup": lines.op9_line_dedup,
