@@ -42,7 +42,7 @@ MOST_TERMS = 4096
 #: Chi-squared statistic that a bucket must reach: one in a hundred thousand would by chance.
 LEAST_CHI = 19.5
 FACTORS = 8
-EPOCHS = 30
+EPOCHS = 60
 KEPT = 200_000
 WORDS = regex.compile(r"\p{L}+")
 
@@ -136,11 +136,11 @@ def train(sets: list[np.ndarray], labels: np.ndarray) -> Machine:
             dv = np.stack([np.bincount(back, weights=each[:, k], minlength=len(used)) for k in range(FACTORS)], axis=1) + 1e-4 * m.v[used]
             gw[used] += dw * dw
             gv[used] += dv * dv
-            m.w[used] -= 0.1 * dw / np.sqrt(gw[used])
-            m.v[used] -= 0.02 * dv / np.sqrt(gv[used])
+            m.w[used] -= 0.3 * dw / np.sqrt(gw[used])
+            m.v[used] -= 0.05 * dv / np.sqrt(gv[used])
             db = d.sum()
             gb += db * db
-            m.bias -= 0.05 * db / np.sqrt(gb)
+            m.bias -= 0.1 * db / np.sqrt(gb)
     return m
 
 
