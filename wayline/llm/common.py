@@ -23,6 +23,17 @@ def whole(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+#: Rows that go to Python at a time: texts may be long.
+ROWS_A_BATCH = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have the session pass texts to Python in batches of so few rows that their texts fit a worker's memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > ROWS_A_BATCH or int(spark.conf.get(name)) <= 0:
+        spark.conf.set(name, ROWS_A_BATCH)
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; of a null none."""
     return F.filter(F.split(whole(text), GAP), lambda w: w != "")

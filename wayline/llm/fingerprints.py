@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from wayline.llm.common import table, whole
+from wayline.llm.common import small_batches, table, whole
 from wayline.llm.shingles import mixed, word_hashes
 
 N = 5
@@ -200,6 +200,7 @@ def _compare(batches: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
 
 def compare_neighbours(docs: DataFrame, n: int = N, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """For each document its fingerprint, that of its edited text, and how alike they and the next document's are."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).alias("doc_id"), whole(F.col(text)).alias("text"))
     parts = max(1, docs.rdd.getNumPartitions())
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

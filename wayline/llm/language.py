@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from wayline.llm.common import fold, table, whole
+from wayline.llm.common import fold, small_batches, table, whole
 
 # Families of languages, by their two-letter codes.
 FAMILIES = {
@@ -222,6 +222,7 @@ def predictor(spark: SparkSession, model: Hierarchy | None):
 
 def identify(docs: DataFrame, learn: Column, most_rows: int = FIT_ROWS, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
     """The rows with ``lang_pred`` and ``score``, learned from those for which ``learn`` holds."""
+    small_batches(docs.sparkSession)
     rows = docs.where(learn).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     predict = predictor(docs.sparkSession, fit(rows, most_rows))
     told = docs.withColumn("_told", predict(F.col(text)))

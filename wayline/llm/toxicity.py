@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from wayline.llm.common import fold, table, whole
+from wayline.llm.common import fold, small_batches, table, whole
 
 BUCKETS = 1 << 20
 #: Leading letters that are a term beside the whole word.
@@ -181,6 +181,7 @@ def scorer(spark: SparkSession, machine: Machine):
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, most_rows: int = FIT_ROWS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows with ``score`` and ``predicted``; ``learn`` says of a label's ``doc_id`` whether it may be learned from."""
+    small_batches(docs.sparkSession)
     known = labels.select("doc_id", "toxic").where(learn)
     machine = fit(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), known, most_rows)
     scored = docs.withColumn("score", scorer(docs.sparkSession, machine)(F.col(text)))
