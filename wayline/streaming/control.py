@@ -51,7 +51,7 @@ def ensemble_stream(df: DataFrame, horizon: int, decay: float = 0.0) -> DataFram
         rows = pd.concat(list(batches)).sort_values("t")
         out = []
         for t, chunk in zip(rows["t"], rows["chunk"], strict=True):
-            held = [*([] if t == 0 else held), list(chunk)][-horizon:]
+            held = [*([] if t == 0 else held), [float(x) for x in chunk]][-horizon:]
             said = [c[len(held) - 1 - i] for i, c in enumerate(held)]
             w = [math.exp(-decay * i) for i in range(len(said))]
             out.append((key[0], int(t), sum(a * b for a, b in zip(w, said, strict=True)) / sum(w)))
