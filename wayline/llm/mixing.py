@@ -47,7 +47,8 @@ def water_fill(sources: DataFrame, share: float, max_epochs: float) -> DataFrame
 
     With the sources by cap over weight, the first k are capped and the rest
     take a common level times their weight; k is the least for which that
-    level is not above the next cap.
+    level is not above the next cap. For every larger k the level fits too but
+    is lower, so the greatest level that fits is the one.
     """
     ordered = Window.orderBy(F.col("_cap") / F.col("weight"), "weight", "_cap")
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
@@ -60,7 +61,7 @@ def water_fill(sources: DataFrame, share: float, max_epochs: float) -> DataFrame
         .withColumn("_all", F.sum("source_size").over(everyone).cast("double"))
         .withColumn("_level", level)
         .withColumn("_fits", F.when(F.col("_level") * F.col("weight") <= F.col("_cap"), F.col("_level")))
-        .withColumn("_common", F.min("_fits").over(everyone))
+        .withColumn("_common", F.max("_fits").over(everyone))
     )
     target = F.coalesce(F.least("_cap", F.col("_common") * F.col("weight")), F.col("_cap"))
     return filled.withColumn("target", target).drop("_cap", "_all", "_level", "_fits", "_common")

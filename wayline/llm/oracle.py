@@ -43,7 +43,7 @@ l as (
   select *, (everything * 1.5::double - coalesce(sum(cap) over before, 0)) / (sum(weight) over () - coalesce(sum(weight) over before, 0)) as level
   from c window before as (order by cap / weight, weight, cap rows between unbounded preceding and 1 preceding)),
 t as (
-  select source, source_size, coalesce(least(cap, min(case when level * weight <= cap then level end) over () * weight), cap) as target from l),
+  select source, source_size, coalesce(least(cap, max(case when level * weight <= cap then level end) over () * weight), cap) as target from l),
 f as (
   select *, case when source_size > 0 then floor(target / source_size) else 0 end::bigint as whole from t),
 r as (
