@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from wayline.llm.common import table, whole
+from wayline.llm.common import small_batches, table, whole
 
 #: Pieces of up to so many bytes are merged many at a time.
 SHORT = 64
@@ -220,6 +220,7 @@ def _in_slices(values: list, most: int = 1_000_000) -> Iterator[list]:
 
 def encoder(spark: SparkSession, ranks_path: str, pattern: str):
     """Column function from text to ids. The rank file, whose size the vocabulary bounds, is sent to the executors."""
+    small_batches(spark)
     with open(ranks_path, "rb") as f:
         content = spark.sparkContext.broadcast(f.read())
 
@@ -234,6 +235,7 @@ def encoder(spark: SparkSession, ranks_path: str, pattern: str):
 
 def decoder(spark: SparkSession, ranks_path: str, pattern: str):
     """Column function from ids to the bytes they stand for."""
+    small_batches(spark)
     with open(ranks_path, "rb") as f:
         content = spark.sparkContext.broadcast(f.read())
 
@@ -246,6 +248,22 @@ def decoder(spark: SparkSession, ranks_path: str, pattern: str):
     return lambda ids: decode(F.coalesce(ids, F.lit(b"")))
 
 
+def round_trip(spark: SparkSession, ranks_path: str, pattern: str):
+    """Column function from text to the struct of its ids and the bytes that these decode to, by one pass through Python."""
+    small_batches(spark)
+    with open(ranks_path, "rb") as f:
+        content = spark.sparkContext.broadcast(f.read())
+
+    @pandas_udf("struct<ids:binary,decoded:binary>")
+    def code(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        codec = _codec(content.value, pattern)
+        for texts in batches:
+            ids = [x for part in _in_slices(texts.tolist()) for x in codec.encode(part)]
+            yield pd.DataFrame({"ids": ids, "decoded": [codec.decode(x) for x in ids]}, dtype=object)
+
+    return lambda text: code(whole(text))
+
+
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """The rows with the ids of the whole text as ``ids``."""
     return docs.withColumn(ids, encoder(docs.sparkSession, ranks_path, pattern)(F.col(text)))
@@ -270,7 +288,7 @@ def public_vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_vocabulary()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = decode_documents(encode_documents(docs, path, pattern).drop("text"), path, pattern)
+    coded = docs.select("doc_id", round_trip(spark, path, pattern)(F.col("text")).alias("c")).select("doc_id", "c.*")
     return coded.select(
         "doc_id",
         n_tokens(F.col("ids")).alias("n_tokens"),
