@@ -43,7 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path, pattern = bpe.public_vocabulary()
-    coded = bpe.decode_documents(bpe.encode_documents(docs.select("doc_id", "text"), path, pattern).drop("text"), path, pattern)
+    coded = docs.select("doc_id", bpe.round_trip(spark, path, pattern)(F.col("text")).alias("c")).select("doc_id", "c.*")
     return coded.select("doc_id", bpe.n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
