@@ -45,25 +45,36 @@ def _segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
     return out
 
 
-def _entries(s: Column, seed: Column, edits: int) -> Column:
-    """Keys of a string: array of ``key, entered, rest``. Entered keys are its own segments, the others what it looks up."""
-    n = F.length(s)
-
-    def entry(length: Column, i: int, start: Column, size: Column, entered: bool, valid: Column) -> Column:
-        key = F.xxhash64(seed, length, F.lit(i), F.substring(s, start + 1, size))
-        rest = F.concat(F.substring(s, F.lit(1), start), F.substring(s, start + size + 1, n))
-        return F.when(valid, F.struct(key.alias("key"), F.lit(entered).alias("entered"), rest.alias("rest")))
+def _entries(s: Column, seed: Column, edits: int) -> list[tuple[Column, bool, Column]]:
+    """Keys of a string, each with whether it is entered (or looked up) and the rest of the string beside its part.
 
+    Entered are the string's own segments; a key is null where the string is too short for it.
+    """
+    n = F.length(s)
     out = []
     for less in range(edits + 1):
         length = n - less
         for i, (start, size) in enumerate(_segments(length, edits)):
             lowest, highest = max(-i, less - (edits - i)), min(i, less + (edits - i))
             for shift in range(lowest, highest + 1):
-                own = less == 0 and shift == 0
                 at = start + shift
-                out.append(entry(length, i, at, size, own, (size > 0) & (at >= 0) & (at + size <= n)))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+                valid = (size > 0) & (at >= 0) & (at + size <= n)
+                key = F.when(valid, F.xxhash64(seed, length, F.lit(i), F.substring(s, at + 1, size)))
+                rest = F.concat(F.substring(s, F.lit(1), at), F.substring(s, at + size + 1, n))
+                out.append((key, less == 0 and shift == 0, rest))
+    return out
+
+
+def _emitted(df: DataFrame, keep: list[str], s: str, seed: Column, edits: int, with_rest: bool) -> DataFrame:
+    """The kept columns and ``key, own, more`` for each key of the string; ``more`` is the rest, or the key's place in the list.
+
+    The keys are columns of a projection first: there the string's length and
+    its parts are computed once, while a generator computes each anew.
+    """
+    entries = _entries(F.col(s), seed, edits)
+    wide = df.select(*keep, *(k.alias(f"_k{j}") for j, (k, _, _) in enumerate(entries)), *((r.alias(f"_r{j}") for j, (_, _, r) in enumerate(entries)) if with_rest else ()))
+    flat = [x for j, (_, own, _) in enumerate(entries) for x in (F.col(f"_k{j}"), F.lit(own), F.col(f"_r{j}") if with_rest else F.lit(j))]
+    return wide.select(*keep, F.stack(F.lit(len(entries)), *flat).alias("key", "own", "more")).where("key is not null")
 
 
 def within(a: Column, b: Column, edits: int) -> Column:
@@ -133,7 +144,8 @@ def _met(rows: DataFrame) -> DataFrame:
 
 def near_lines(lines: DataFrame, edits: int) -> DataFrame:
     """Pairs ``u, v`` of line hashes whose lines differ and are within ``edits`` edits."""
-    emitted = lines.select("h", F.explode(_entries(F.col("line"), F.lit(0).cast("long"), edits)).alias("e")).select("h", "e.*")
+    zero = F.lit(0).cast("long")
+    emitted = _emitted(lines, ["h"], "line", zero, edits, False).select("h", "key", F.col("own").alias("entered"), F.col("more").alias("slot"))
     shared = emitted.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.bool_or("entered").alias("any")).where("lo <> hi and any")
     rows = emitted.join(sized(shared.select("key")), "key", "left_semi").dropDuplicates(["key", "entered", "h"])
     found = []
@@ -144,9 +156,16 @@ def near_lines(lines: DataFrame, edits: int) -> DataFrame:
             break
         crowd = sized(rows.groupBy("key").agg(F.count_distinct("h").alias("n")).where(F.col("n") > CROWD).select("key"))
         found.append(_met(rows.join(crowd, "key", "left_anti")))
-        deep = rows.join(crowd, "key", "left_semi").withColumn("e", F.explode(_entries(F.col("rest"), F.col("key"), edits)))
-        rows = deep.select("h", F.col("e.key").alias("key"), (F.col("entered") & F.col("e.entered")).alias("entered"), F.col("e.rest").alias("rest"))
-        rows = rows.dropDuplicates(["key", "entered", "h"])
+        if crowd.isEmpty():
+            break
+        deep = rows.join(crowd, "key", "left_semi")
+        if depth == 0:
+            own = sized(deep.select("h").distinct())
+            texts = lines.join(own, "h", "left_semi").select("h", "line").dropDuplicates(["h"])
+            rests = F.array(*(r for _, _, r in _entries(F.col("line"), zero, edits)))
+            deep = deep.join(texts, "h").withColumn("rest", F.get(rests, F.col("slot")))
+        deep = _emitted(deep.withColumnRenamed("key", "seed"), ["h", "entered"], "rest", F.col("seed"), edits, True)
+        rows = deep.select("h", "key", (F.col("entered") & F.col("own")).alias("entered"), F.col("more").alias("rest")).dropDuplicates(["key", "entered", "h"])
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.union(more)
