@@ -15,7 +15,7 @@ caller with the names of added ones are replaced.
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,10 +31,10 @@ SAMPLE_ROWS = 500
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` is a boolean column over the text and the words of ``prepared``."""
+    """``rejects`` tells of a text and the array of its words, both columns."""
 
     name: str
-    rejects: Column
+    rejects: Callable[[Column, Column], Column]
 
 
 def word_chars(w: Column) -> Column:
@@ -89,15 +89,14 @@ def prepared(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def default_rules() -> list[Rule]:
     """Rules that a clean document of ordinary prose passes in any language."""
-    t, w = F.col("_text"), F.col("_words")
-    n = F.size(w)
+    n = F.size
     return [
-        Rule("few_words", n < 20),
-        Rule("many_symbols", symbol_count(t) * 10 > n * 3),
-        Rule("odd_word_length", (word_chars(w) > n * 20) | (word_chars(w) < n * 2)),
-        Rule("shouting", F.regexp_count(t, F.lit(r"\p{Lu}")) * 2 > F.regexp_count(t, F.lit(r"\p{L}"))),
-        Rule("repeated_lines", duplicate_lines(t) * 10 > F.size(F.split(t, "\n")) * 5),
-        Rule("repeated_windows", repeated_words(w) * 100 > n * 30),
+        Rule("few_words", lambda t, w: n(w) < 20),
+        Rule("many_symbols", lambda t, w: symbol_count(t) * 10 > n(w) * 3),
+        Rule("odd_word_length", lambda t, w: (word_chars(w) > n(w) * 20) | (word_chars(w) < n(w) * 2)),
+        Rule("shouting", lambda t, w: F.regexp_count(t, F.lit(r"\p{Lu}")) * 2 > F.regexp_count(t, F.lit(r"\p{L}"))),
+        Rule("repeated_lines", lambda t, w: duplicate_lines(t) * 10 > n(F.split(t, "\n")) * 5),
+        Rule("repeated_windows", lambda t, w: repeated_words(w) * 100 > n(w) * 30),
     ]
 
 
@@ -109,6 +108,7 @@ def order_rules(docs: DataFrame, rules: Sequence[Rule], text: str = "text", samp
     the one with most rejections per second among the rows left so far.
     """
     base = prepared(docs.select(text).limit(sample_rows), text)
+    t, w = F.col("_text"), F.col("_words")
     empty = base.agg(F.sum(F.size("_words")))
     empty.collect()
 
@@ -120,10 +120,10 @@ def order_rules(docs: DataFrame, rules: Sequence[Rule], text: str = "text", samp
     floor = seconds(empty)
     cost = {}
     for r in rules:
-        job = base.agg(F.sum(F.size("_words")), F.count_if(r.rejects))
+        job = base.agg(F.sum(F.size("_words")), F.count_if(r.rejects(t, w)))
         job.collect()
         cost[r.name] = max(seconds(job) - floor, 1e-4)
-    seen = base.select(*(F.coalesce(r.rejects, F.lit(False)).alias(r.name) for r in rules)).groupBy(*(r.name for r in rules)).count().collect()
+    seen = base.select(*(F.coalesce(r.rejects(t, w), F.lit(False)).alias(r.name) for r in rules)).groupBy(*(r.name for r in rules)).count().collect()
     left, order, todo = [(row.asDict(), row["count"]) for row in seen], [], list(rules)
     while todo:
         best = max(todo, key=lambda r: (sum(c for x, c in left if x[r.name]) / cost[r.name], -cost[r.name]))
@@ -133,23 +133,34 @@ def order_rules(docs: DataFrame, rules: Sequence[Rule], text: str = "text", samp
     return order
 
 
-def rejected_by(rules: Sequence[Rule]) -> Column:
+def rejected_by(rules: Sequence[Rule], text: Column, words: Column) -> Column:
     """Name of the first rule that rejects, null if none does; later rules are not evaluated."""
     verdict = F.lit(None).cast("string")
     for r in reversed(rules):
-        verdict = F.when(r.rejects, F.lit(r.name)).otherwise(verdict)
+        verdict = F.when(r.rejects(text, words), F.lit(r.name)).otherwise(verdict)
     return verdict
 
 
 def apply_rules(docs: DataFrame, rules: Sequence[Rule] | None = None, text: str = "text") -> DataFrame:
     """The rows with ``rejected_by``, the rule that ended the cascade, or null."""
+    return _judged(docs, rules, text).drop("_text", "_words", "_at")
+
+
+def _judged(docs: DataFrame, rules: Sequence[Rule] | None, text: str) -> DataFrame:
     rules = order_rules(docs, default_rules() if rules is None else rules, text)
-    return prepared(docs, text).withColumn("rejected_by", rejected_by(rules)).drop("_text", "_words")
+    rows = prepared(docs, text).withColumn("_at", F.spark_partition_id())
+    return rows.withColumn("rejected_by", rejected_by(rules, F.col("_text"), F.col("_words")))
 
 
 def quality_filter(docs: DataFrame, rules: Sequence[Rule] | None = None, text: str = "text") -> DataFrame:
-    """The rows that no rule rejects, with the columns they came with."""
-    return apply_rules(docs, rules, text).where(F.col("rejected_by").isNull()).select(*docs.columns)
+    """The rows that no rule rejects, with the columns they came with.
+
+    The filter names the partition's number, a value that the optimiser must
+    not compute twice; else it would move below the projection that cuts the
+    text into words, and cut the text anew for every rule and window.
+    """
+    judged = _judged(docs, rules, text)
+    return judged.where(F.col("rejected_by").isNull() & (F.col("_at") >= 0)).select(*docs.columns)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,7 +174,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         symbol_count(t).alias("n_symbols"),
         duplicate_lines(t).alias("n_dup_lines"),
         repeated_words(w).alias("n_repeat_words"),
-        rejected_by(rules).isNull().alias("_passed"),
+        rejected_by(rules, t, w).isNull().alias("_passed"),
     )
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
     return measured.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & F.col("_passed")).drop("_passed")
