@@ -21,7 +21,7 @@ replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations, pairwise
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
