@@ -145,9 +145,6 @@ def picked_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.picked_steps(views.events(spark, sf_dir), 5).select("traj", "t")
 
 
-LABEL = "case when {u} < 0.02 then event_type else '' end"
-
-
 @query(f"""
 with {EVENTS}, l as (select *, case when {drawn('label', 'traj', 't')} < 0.01 then lang else '' end as label from ev),
 k as (select *, bool_or(label <> '') over (partition by traj) as keep from l) select traj, t, label from k where keep
@@ -381,10 +378,6 @@ def trajectory_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("traj", "t", "gripping", "releasing", "gripper_changing", "is_first_grip", "under_10_to_end", "over_20_to_end")
 
 
-def _back(k: int, c: str) -> str:
-    return f"j{k}.{c}"
-
-
 @query(f"""
 with {METRIC_SQL}
 select s.traj, s.t, {' or '.join(f'j{k}.cp' for k in range(1, 5))} as early_gripped, {' or '.join(f'(j{k}.cp and j{k}.height - s.height > 0.005)' for k in range(1, 5))} as early_gripped_height_aware,
