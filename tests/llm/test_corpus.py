@@ -240,6 +240,18 @@ def test_lm_base_and_gain(spark):
     assert out["score"].sum() > out["base_score"].sum()
 
 
+def test_lm_trains_on_every_document(spark):
+    """However large the corpus, each document to learn from moves the network's parameters."""
+    rows = [(i, prose(i, 40)) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    vocab, _ = lm.vocabulary(lm.count_words(docs))
+    vocab.total = 10**10
+    start = recurrent.flattened(vocab.start())
+    for i, _ in rows:
+        params = lm.train(docs.where(F.col("doc_id") == i), vocab, rounds=1)
+        assert not np.array_equal(recurrent.flattened(params), start)
+
+
 def test_lm_chances_sum_to_one_and_state_carries():
     params = recurrent.start(np.arange(70, 0, -1).astype(float), np.ones(recurrent.RARE))
     rng = np.random.default_rng(0)

@@ -9,10 +9,8 @@ model times its share of the class's counts.
 The model is trained by parallel passes of truncated backpropagation: in each
 round every task trains on the documents of its input split that the round
 takes, from the same parameters, and the results are averaged by the number of
-words. Each document is trained on once at most; the rounds together take the
-documents whose ids' hash lies below a share, which is one sixth of all or
-holds ``LEAST_WORDS`` words, whichever is more, so that what is learned from
-grows with the corpus. Counts and scores cover every document.
+words. The rounds deal out the documents to learn from by their ids' hash, so
+that each of them is trained on once. Counts and scores cover every document.
 
 Defined cases: a null or empty text has the one token that ends a text; a null
 id is learned from; repeated rows are counted and trained on as often as they
@@ -42,8 +40,6 @@ KNOWN = 1 << 18
 #: Tokens that the recurrent model knows one by one.
 WORDS = 1024
 END = b""
-SHARE = 1 / 6
-LEAST_WORDS = 10_000_000
 ROUNDS = 3
 RATE = 0.01
 #: Distinct words that a task counts before it passes them on.
@@ -145,11 +141,10 @@ def vocabulary(counts: DataFrame, known: int = KNOWN) -> tuple[Vocabulary, int]:
     return Vocabulary(listed, listed_counts, sums["total"] or 0, sums["distinct"] or 0, rare, rare_distinct), least
 
 
-def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, share: float = SHARE, least_words: int = LEAST_WORDS) -> recurrent.Params:
-    """Parameters after some rounds of parallel training on ``doc_id, text``."""
+def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> recurrent.Params:
+    """Parameters after some rounds of parallel training on ``doc_id, text``; each row is in one round."""
     params, sent = vocab.start(), docs.sparkSession.sparkContext.broadcast(vocab)
-    share = min(1.0, max(share, least_words / max(1, vocab.total)))
-    u = F.pmod(F.xxhash64(F.lit("recurrent"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    own_round = F.pmod(F.xxhash64(F.lit("recurrent"), "doc_id"), F.lit(rounds))
     weighted = "slot int, n double, content binary"
     shapes = {k: v.shape for k, v in params.items()}
 
@@ -174,7 +169,7 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, share: float
 
     flat = recurrent.flattened(params)
     for k in range(rounds):
-        taken = docs.where((u >= share * k / rounds) & (u < share * (k + 1) / rounds)).select("text")
+        taken = docs.where(own_round == k).select("text")
         results = taken.mapInPandas(one(flat, RATE / (1 + k)), weighted)
         for _ in range(2):  # sums of up to 1024 and then of 32 rows; as many reach the driver
             results = results.groupBy("slot").applyInPandas(added, weighted)
