@@ -142,6 +142,23 @@ def test_ngram_join(spark):
     assert kept == set(got.values())
 
 
+def test_ngram_join_counts_every_link(spark, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK", 8)  # the large group takes several blocks
+    rng, texts = random.Random(6), [prose(i, 60) for i in range(5)]
+    for seed, size in ((77, 3), (78, 25)):
+        for i in range(size):
+            w = prose(seed, 200).split()
+            for _ in range(rng.randrange(1, 4)):
+                w[rng.randrange(200)] = f"own{seed}x{i}"
+            texts.append(" ".join(w))
+    texts += [texts[5], texts[9]]
+    sets = [grams(t) for t in texts]
+    reach = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    want = {i: sum(reach(a, b) for b in sets) - 1 for i, a in enumerate(sets)}
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_links"] for r in near.ngram_join(df).collect()} == want
+
+
 def test_bands_reach_the_recall():
     bands, rows = near.choose_bands(0.8, 0.999, 160)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999 and bands * rows <= 160

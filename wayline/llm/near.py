@@ -7,7 +7,9 @@ most others, and every member is verified against it; in buckets that verified
 links leave in several components, the members outside the leader's component
 are verified against all others, in blocks. So a bucket of thousands of near
 copies costs about a pair for each member, every linked pair of a bucket ends
-in one component, and only pairs that reach the threshold link.
+in one component, and only pairs that reach the threshold link. Links are
+counted afterwards: all pairs of a component are compared, in blocks that pass
+on a number for each member and no pairs.
 
 Defined cases: a null text is the empty text; texts without a word form one
 class; a text of fewer words than n has one n-gram, all its words; nulls and
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from wayline.llm.common import checkpointed, small_batches, table, whole
+from wayline.llm.common import checkpointed, sized, small_batches, table, whole
 from wayline.llm.graph import components
 
 N = 5
@@ -162,27 +164,32 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").where(both >= (F.size("a") + F.size("b") - both) * threshold).select("u", "v")
 
 
+def _overlaps(left: pd.Series, right: pd.Series, threshold: float) -> np.ndarray:
+    """Whether each set of the left and each of the right reach the threshold."""
+    flat = [np.asarray(g) for g in [*left, *right]]
+    size = np.array([len(g) for g in flat])
+    names, at = np.unique(np.concatenate(flat), return_inverse=True)
+    owner = np.repeat(np.arange(len(flat)), size)
+    often = np.bincount(at, minlength=len(names)) > 1
+    place = np.cumsum(often) - 1
+    keep = often[at]
+    owner, at = owner[keep], place[at[keep]]
+    shared, width, m = np.zeros((len(left), len(right)), dtype=np.float32), int(often.sum()), len(left)
+    for lo in range(0, width, 4096):
+        part = (at >= lo) & (at < lo + 4096)
+        x = np.zeros((len(flat), min(4096, width - lo)), dtype=np.float32)
+        x[owner[part], at[part] - lo] = 1
+        shared += x[:m] @ x[m:].T
+    return shared >= threshold * (size[:m, None] + size[None, m:] - shared) - 1e-4
+
+
 def _compare(threshold: float):
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         """Links between components, as many as join them, from pairs of the two sides of a block."""
         left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
         if left.empty or right.empty:
             return pd.DataFrame({"u": pd.Series(dtype="int64"), "v": pd.Series(dtype="int64")})
-        flat = [np.asarray(g) for g in [*left["grams"], *right["grams"]]]
-        size = np.array([len(g) for g in flat])
-        names, at = np.unique(np.concatenate(flat), return_inverse=True)
-        owner = np.repeat(np.arange(len(flat)), size)
-        often = np.bincount(at, minlength=len(names)) > 1
-        place = np.cumsum(often) - 1
-        keep = often[at]
-        owner, at = owner[keep], place[at[keep]]
-        shared, width, m = np.zeros((len(left), len(right)), dtype=np.float32), int(often.sum()), len(left)
-        for lo in range(0, width, 4096):
-            part = (at >= lo) & (at < lo + 4096)
-            x = np.zeros((len(flat), min(4096, width - lo)), dtype=np.float32)
-            x[owner[part], at[part] - lo] = 1
-            shared += x[:m] @ x[m:].T
-        linked = shared >= threshold * (size[:m, None] + size[None, m:] - shared) - 1e-4
+        linked = _overlaps(left["grams"], right["grams"], threshold)
         lk, rk, lc, rc = (s.to_numpy() for s in (left["k"], right["k"], left["c"], right["c"]))
         linked &= lc[:, None] != rc[None, :]
         root: dict[int, int] = {}
@@ -204,13 +211,44 @@ def _compare(threshold: float):
     return compare
 
 
+def _counted(threshold: float):
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        """For each member of a block, how many documents its links across the block lead to."""
+        left = rows[rows["side"] == 0]
+        if (rows["i"] == rows["j"]).all():
+            linked = _overlaps(left["grams"], left["grams"], threshold)
+            np.fill_diagonal(linked, False)
+            return pd.DataFrame({"k": left["k"], "links": linked @ left["copies"].to_numpy()})
+        right = rows[rows["side"] == 1]
+        if left.empty or right.empty:
+            return pd.DataFrame({"k": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64")})
+        linked = _overlaps(left["grams"], right["grams"], threshold)
+        there, back = linked @ right["copies"].to_numpy(), left["copies"].to_numpy() @ linked
+        return pd.DataFrame({"k": [*left["k"], *right["k"]], "links": [*there, *back]})
+
+    return count
+
+
+def link_counts(copies: DataFrame, links: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """``k, links``: for each class of ``k, copies`` in a component of links, the documents of other classes that reach the threshold with it."""
+    named = checkpointed(components(links).select(F.col("node").alias("k"), F.col("component").alias("c")))
+    large = sized(named.groupBy("c").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK))
+    blocks = F.coalesce(F.ceil(F.col("m") / BLOCK), F.lit(1)).cast("long")
+    dealt = named.join(large, "c", "left").select("k", "c", blocks.alias("blocks"), F.pmod(F.xxhash64("k"), blocks).alias("own"))
+    dealt = dealt.select("k", "c", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("k", "c", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    rows = dealt.join(copies, "k").join(sets, "k")
+    counted = rows.groupBy("c", "i", "j").applyInPandas(_counted(threshold), "k long, links long")
+    return counted.groupBy("k").agg(F.sum("links").alias("links"))
+
+
 def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     named = components(links).select(F.col("node").alias("k"), F.col("component").alias("_c"))
     return members.join(named, "k", "left").withColumn("c", F.coalesce("_c", "k")).drop("_c")
 
 
-def ngram_links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """Documents as ``doc_id, text_hash, k`` (their class), and verified links ``u, v`` between classes."""
+def ngram_links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents as ``doc_id, text_hash, k, n`` (their class), verified links ``u, v`` that connect classes, and ``k, grams`` of all classes that met another."""
     small_batches(docs.sparkSession)
     bands, rows = choose_bands(threshold, recall, MOST_HASHES)
     read = docs.select(F.col(doc_id).alias("doc_id"), whole(F.col(text)).alias("text"))
@@ -243,7 +281,15 @@ def ngram_links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recal
     right = placed.select("band", "k", "c", F.lit(1).alias("side"), own("rb").alias("j"), each("lb").alias("i"))
     blocks = left.unionByName(right).join(sets, "k")
     more = blocks.groupBy("band", "i", "j").applyInPandas(_compare(threshold), "u long, v long")
-    return signed.select("doc_id", "text_hash", "k", "n"), checkpointed(links.union(more).distinct())
+    return signed.select("doc_id", "text_hash", "k", "n"), checkpointed(links.union(more).distinct()), sets
+
+
+def _classes(signed: DataFrame, links: DataFrame) -> DataFrame:
+    """``k, copies, class_id, first_hash``: its documents, and the first document of all that links connect with it."""
+    sizes = signed.groupBy("k").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    sizes = _labelled(sizes, links)
+    firsts = sizes.groupBy("c").agg(F.min("first").alias("head"))
+    return sizes.join(firsts, "c").select("k", "copies", F.col("head.doc_id").alias("class_id"), F.col("head.text_hash").alias("first_hash"))
 
 
 def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -251,24 +297,19 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall
 
     ``class_id`` is the least id of the documents that verified links and equal
     n-gram sets connect; ``n_links`` counts the other documents of equal n-gram
-    set and those at the other end of the document's verified links.
+    set and all those of the class whose n-gram sets reach the threshold.
     """
-    signed, links = ngram_links(docs, n, threshold, recall, text, doc_id)
-    sizes = signed.groupBy("k").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "text_hash")).alias("first"))
-    ends = links.union(links.select("v", "u")).join(sizes.select(F.col("k").alias("v"), "copies"), "v")
-    degree = ends.groupBy(F.col("u").alias("k")).agg(F.sum("copies").alias("links"))
-    sizes = _labelled(sizes, links).join(degree, "k", "left")
-    firsts = sizes.groupBy("c").agg(F.min("first").alias("head"))
-    by_class = sizes.join(firsts, "c").select(
-        "k", F.col("head.doc_id").alias("class_id"), F.col("head.text_hash").alias("first_hash"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
-    )
+    signed, links, sets = ngram_links(docs, n, threshold, recall, text, doc_id)
+    by_class = checkpointed(_classes(signed, links))
+    degree = link_counts(by_class.select("k", "copies"), links, sets, threshold)
+    by_class = by_class.join(degree, "k", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
     return signed.join(by_class, "k").select("doc_id", "text_hash", "class_id", "first_hash", "n_links")
 
 
 def drop_near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One document of each class, the one of least id, with the columns it came with."""
-    joined = ngram_join(docs, n, threshold, recall, text, doc_id)
-    heads = joined.select(F.col("class_id").alias("_id"), F.col("first_hash").alias("_hash")).distinct()
+    signed, links, _ = ngram_links(docs, n, threshold, recall, text, doc_id)
+    heads = _classes(signed, links).select(F.col("class_id").alias("_id"), F.col("first_hash").alias("_hash")).distinct()
     rows = docs.withColumn("_own", F.xxhash64(whole(F.col(text))))
     kept = rows.join(heads, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left_semi")
     return kept.dropDuplicates([doc_id, "_own"]).select(*docs.columns)
