@@ -21,15 +21,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     minimum. An empty table gives an empty result; edges from a node to
     itself and repeated edges are harmless.
     """
-    nodes = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
+    nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     now = checkpointed(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None
     for _ in range(most_rounds):
-        both = now.union(now.select("v", "u"))
-        large = both.join(_mins(both), "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
-        down = large.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        both = now.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
+        down = both.join(_mins(both), "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         small = down.join(_mins(down), "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m"))).where("u <> v").distinct()
+        small = small.select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))).where("u <> v").distinct()
         now = checkpointed(small)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -37,8 +37,8 @@ THRESHOLD = 0.8
 RECALL = 0.999
 #: MinHash values a document may have.
 MOST_HASHES = 160
-#: Members of a block in which all pairs across components are verified.
-BLOCK = 256
+#: Members of one side of a block in which all pairs are compared, and their n-grams, as expected by the hash that deals them out.
+BLOCK, BLOCK_GRAMS = 1024, 1_000_000
 _KEPT = 300_000
 _WORDS: dict[bytes, int] = {}
 
@@ -229,26 +229,44 @@ def _counted(threshold: float):
     return count
 
 
-def link_counts(copies: DataFrame, links: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """``k, links``: for each class of ``k, copies`` in a component of links, the documents of other classes that reach the threshold with it."""
-    named = checkpointed(components(links).select(F.col("node").alias("k"), F.col("component").alias("c")))
-    large = sized(named.groupBy("c").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK))
-    blocks = F.coalesce(F.ceil(F.col("m") / BLOCK), F.lit(1)).cast("long")
-    dealt = named.join(large, "c", "left").select("k", "c", blocks.alias("blocks"), F.pmod(F.xxhash64("k"), blocks).alias("own"))
-    dealt = dealt.select("k", "c", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("k", "c", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    rows = dealt.join(copies, "k").join(sets, "k")
+def _blocks(members: str, grams: str) -> Column:
+    """Blocks that so many members with so many n-grams are dealt out to."""
+    return F.greatest(F.ceil(F.col(members) / BLOCK), F.ceil(F.col(grams) / BLOCK_GRAMS), F.lit(1)).cast("long")
+
+
+def _dealt(blocks: str) -> Column:
+    return F.pmod(F.xxhash64("k"), F.col(blocks)).cast("long")
+
+
+def _numbers(blocks: str) -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1)
+
+
+def link_counts(classes: DataFrame, named: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """``k, links``: for each class of ``k, copies, n`` in a component of ``k, c``, the documents of other classes that reach the threshold with it."""
+    own = checkpointed(named.join(classes, "k"))
+    large = own.groupBy("c").agg(F.count("*").alias("m"), F.sum("n").alias("g")).where((F.col("m") > BLOCK) | (F.col("g") > BLOCK_GRAMS))
+    dealt = own.join(sized(large.select("c", _blocks("m", "g").alias("blocks"))), "c", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    dealt = dealt.select("k", "c", "copies", _dealt("blocks").alias("own"), F.explode(_numbers("blocks")).alias("other"))
+    i, j = F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+    rows = dealt.select("k", "c", "copies", i, j, (F.col("own") > F.col("other")).cast("int").alias("side")).join(sets, "k")
     counted = rows.groupBy("c", "i", "j").applyInPandas(_counted(threshold), "k long, links long")
     return counted.groupBy("k").agg(F.sum("links").alias("links"))
 
 
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    named = components(links).select(F.col("node").alias("k"), F.col("component").alias("_c"))
-    return members.join(named, "k", "left").withColumn("c", F.coalesce("_c", "k")).drop("_c")
+def _joined(named: DataFrame, links: DataFrame) -> DataFrame:
+    """``k, c``: the components after more links, which name classes."""
+    links = checkpointed(links.distinct())
+    if links.isEmpty():
+        return named
+    nodes = named.union(links.select(F.explode(F.array("u", "v")).alias("k")).distinct().join(named, "k", "left_anti").select("k", F.col("k").alias("c")))
+    of = lambda end: nodes.select(F.col("k").alias(end), F.col("c").alias(f"{end}c"))
+    tops = components(links.join(of("u"), "u").join(of("v"), "v").select(F.col("uc").alias("u"), F.col("vc").alias("v")))
+    return checkpointed(nodes.join(tops.withColumnRenamed("node", "c"), "c", "left").select("k", F.coalesce("component", "c").alias("c")))
 
 
 def ngram_links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents as ``doc_id, text_hash, k, n`` (their class), verified links ``u, v`` that connect classes, and ``k, grams`` of all classes that met another."""
+    """Documents as ``doc_id, text_hash, k, n`` (their class), ``k, c`` of all linked classes (their component), and ``k, grams`` of all classes that met another."""
     small_batches(docs.sparkSession)
     bands, rows = choose_bands(threshold, recall, MOST_HASHES)
     read = docs.select(F.col(doc_id).alias("doc_id"), whole(F.col(text)).alias("text"))
@@ -256,40 +274,42 @@ def ngram_links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recal
     signed = checkpointed(signed.select("doc_id", F.xxhash64("text").alias("text_hash"), "s.*"))
     classes = signed.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     spread = classes.select("k", "n", "first_id", F.explode("bands").alias("band"))
-    met = spread.groupBy("band").agg(F.count("*").alias("met")).where("met > 1")
+    met = sized(spread.groupBy("band").agg(F.count("*").alias("met")).where("met > 1"))
     members = checkpointed(spread.join(met, "band"))
 
     central = members.groupBy("k").agg(F.sum("met").alias("central"))
     led = members.join(central, "k").groupBy("band").agg(F.max(F.struct("central", "k", "n")).alias("l"))
-    members = checkpointed(members.join(led.select("band", F.col("l.k").alias("leader"), F.col("l.n").alias("leader_n")), "band"))
+    led = sized(led.select("band", F.col("l.k").alias("leader"), F.col("l.n").alias("leader_n")))  # a table of its own, so that a crowded band's join can be split
+    members = checkpointed(members.join(led, "band"))
     like = F.least("n", "leader_n") >= F.greatest("n", "leader_n") * (threshold - 1e-9)
     pairs = members.where((F.col("k") != F.col("leader")) & like).select(F.col("k").alias("u"), F.col("leader").alias("v")).distinct()
 
     wanted = members.select("first_id").distinct()
     found = read.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
     sets = checkpointed(found.select(gram_arrays(F.col("text"), n).alias("g")).select("g.*").dropDuplicates(["k"]))
-    links = checkpointed(verified(pairs, sets, threshold))
+    named = checkpointed(components(verified(pairs, sets, threshold)).select(F.col("node").alias("k"), F.col("component").alias("c")))
 
-    placed = _labelled(members.where("met > 2").select("band", "k", "leader", "met"), links)
+    placed = members.where("met > 2").select("band", "k", "n", "leader", "met").join(named, "k", "left").withColumn("c", F.coalesce("c", "k"))
     heads = placed.where("k = leader").select("band", F.col("c").alias("leader_c"))
-    placed = placed.join(heads, "band")
-    apart = placed.where("c <> leader_c").groupBy("band").agg(F.count("*").alias("left"))
-    placed = checkpointed(placed.where("k <> leader").join(apart, "band").withColumns({"lb": F.ceil(F.col("left") / BLOCK), "rb": F.ceil(F.col("met") / BLOCK)}))
-    own = lambda blocks: F.pmod(F.xxhash64("k"), F.col(blocks)).cast("long")
-    each = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
-    left = placed.where("c <> leader_c").select("band", "k", "c", F.lit(0).alias("side"), own("lb").alias("i"), each("rb").alias("j"))
-    right = placed.select("band", "k", "c", F.lit(1).alias("side"), own("rb").alias("j"), each("lb").alias("i"))
-    blocks = left.unionByName(right).join(sets, "k")
+    placed = checkpointed(placed.join(sized(heads), "band"))
+    apart = F.col("c") != F.col("leader_c")
+    sizes = placed.groupBy("band").agg(F.count_if(apart).alias("lm"), F.sum(F.when(apart, F.col("n"))).alias("lg"), F.count("*").alias("rm"), F.sum("n").alias("rg"))
+    sizes = sized(sizes.where("lm > 0").select("band", _blocks("lm", "lg").alias("lb"), _blocks("rm", "rg").alias("rb")))
+    placed = placed.where("k <> leader").join(sizes, "band")
+    right = F.transform(_numbers("lb"), lambda i: F.struct(F.lit(1).alias("side"), i.alias("i"), _dealt("rb").alias("j")))
+    left = F.transform(_numbers("rb"), lambda j: F.struct(F.lit(0).alias("side"), _dealt("lb").alias("i"), j.alias("j")))
+    sides = F.when(apart, F.concat(right, left)).otherwise(right)
+    blocks = placed.select("band", "k", "c", F.inline(sides)).join(sets, "k")
     more = blocks.groupBy("band", "i", "j").applyInPandas(_compare(threshold), "u long, v long")
-    return signed.select("doc_id", "text_hash", "k", "n"), checkpointed(links.union(more).distinct()), sets
+    return signed.select("doc_id", "text_hash", "k", "n"), _joined(named, more), sets
 
 
-def _classes(signed: DataFrame, links: DataFrame) -> DataFrame:
-    """``k, copies, class_id, first_hash``: its documents, and the first document of all that links connect with it."""
-    sizes = signed.groupBy("k").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "text_hash")).alias("first"))
-    sizes = _labelled(sizes, links)
+def _classes(signed: DataFrame, named: DataFrame) -> DataFrame:
+    """``k, n, copies, class_id, first_hash``: its documents, and the first document of all that links connect with it."""
+    sizes = signed.groupBy("k").agg(F.first("n").alias("n"), F.count("*").alias("copies"), F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    sizes = sizes.join(named, "k", "left").withColumn("c", F.coalesce("c", "k"))
     firsts = sizes.groupBy("c").agg(F.min("first").alias("head"))
-    return sizes.join(firsts, "c").select("k", "copies", F.col("head.doc_id").alias("class_id"), F.col("head.text_hash").alias("first_hash"))
+    return sizes.join(firsts, "c").select("k", "n", "copies", F.col("head.doc_id").alias("class_id"), F.col("head.text_hash").alias("first_hash"))
 
 
 def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -299,17 +319,17 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall
     n-gram sets connect; ``n_links`` counts the other documents of equal n-gram
     set and all those of the class whose n-gram sets reach the threshold.
     """
-    signed, links, sets = ngram_links(docs, n, threshold, recall, text, doc_id)
-    by_class = checkpointed(_classes(signed, links))
-    degree = link_counts(by_class.select("k", "copies"), links, sets, threshold)
-    by_class = by_class.join(degree, "k", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
+    signed, named, sets = ngram_links(docs, n, threshold, recall, text, doc_id)
+    by_class = checkpointed(_classes(signed, named))
+    degree = link_counts(by_class.select("k", "n", "copies"), named, sets, threshold)
+    by_class = by_class.drop("n").join(degree, "k", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
     return signed.join(by_class, "k").select("doc_id", "text_hash", "class_id", "first_hash", "n_links")
 
 
 def drop_near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One document of each class, the one of least id, with the columns it came with."""
-    signed, links, _ = ngram_links(docs, n, threshold, recall, text, doc_id)
-    heads = _classes(signed, links).select(F.col("class_id").alias("_id"), F.col("first_hash").alias("_hash")).distinct()
+    signed, named, _ = ngram_links(docs, n, threshold, recall, text, doc_id)
+    heads = _classes(signed, named).select(F.col("class_id").alias("_id"), F.col("first_hash").alias("_hash")).distinct()
     rows = docs.withColumn("_own", F.xxhash64(whole(F.col(text))))
     kept = rows.join(heads, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left_semi")
     return kept.dropDuplicates([doc_id, "_own"]).select(*docs.columns)
