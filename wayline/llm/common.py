@@ -50,11 +50,14 @@ def fold(doc_id: Column, folds: int = 5) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: that of checkpoints; one is made where none is set, as in tests on one machine."""
+    """The folder all executors share: that of checkpoints. Where none is set, one is made on a single machine, as in tests; on a cluster it is an error."""
+    context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wayline-"))
-    return folder or spark.sparkContext.getCheckpointDir()
+    if not folder and not context.getCheckpointDir():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="wayline-"))
+    return folder or context.getCheckpointDir()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -1,23 +1,25 @@
 """Scores of whole documents by a gated recurrent language model and by unigram counts.
 
 The words of all documents to learn from are counted on Spark. The most
-frequent ones, whose number is bounded, go to every task; what documents hold
-of the others is joined with the counts by a shuffle. The recurrent model knows
-``WORDS`` words one by one; any other word has the chance of its class by the
-model times its share of the class's counts.
-
-The model is trained by parallel passes of truncated backpropagation: in each
-round every task trains on the documents of its input split that the round
-takes, from the same parameters, and the results are averaged by the number of
-words. The rounds deal out the documents to learn from by their ids' hash, so
-that each of them is trained on once. Counts and scores cover every document.
+frequent ones, whose number and length are bounded, go to every task; what
+documents hold of the others is joined with the counts by a shuffle. The
+recurrent model knows ``WORDS`` words one by one; any other word has the chance
+of its class by the model times its share of the class's counts.
+
+The model is trained by parallel passes of truncated backpropagation. A hash
+of id and text deals the documents to learn from out to rounds and shards of
+about ``SHARD`` words; in a round every shard's documents, in the order of
+their ids, are trained on from the same parameters, and the results are
+averaged by the number of words. So each document is trained on once, and how
+the input is split changes neither shards nor, but for rounding, scores.
 
 Defined cases: a null or empty text has the one token that ends a text; a null
 id is learned from; repeated rows are counted and trained on as often as they
 occur, and score alike; without a document to learn from every count is zero;
 a word that no training document has gets half a count, in the model as in the
 base score; an empty table gives an empty result. Texts are scored whole,
-however long, with the state carried to their end.
+however long, with the state carried to their end. Extra columns of the
+documents are not returned, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,27 +27,31 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby, repeat
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayline.llm import recurrent
-from wayline.llm.common import checkpointed, fold, small_batches, table, whole
+from wayline.llm.common import checkpointed, fold, small_batches, stored, table, whole
 
-#: Words whose counts every task has, at most.
-KNOWN = 1 << 18
+#: Words whose counts every task has, at most, and their length in bytes.
+KNOWN, LONGEST = 1 << 18, 64
 #: Tokens that the recurrent model knows one by one.
 WORDS = 1024
 END = b""
 ROUNDS = 3
 RATE = 0.01
+#: Words of a shard of a round, about.
+SHARD = 1 << 20
+#: Partitions of a round, at most; each holds whole shards, one after the other.
+MOST_PARTS = 10_000
 #: Distinct words that a task counts before it passes them on.
 HELD = 200_000
-#: Words that are laid out in lanes at a time.
-BLOCK = 1_500_000
+#: Words that are scored at a time.
+BLOCK = 3_000_000
 
 
 def tokens(text: str) -> list[bytes]:
@@ -88,7 +94,7 @@ class Vocabulary:
             self.place = {w: i for i, w in enumerate(self.words)}
             own = np.arange(min(WORDS, len(self.words)))
             rest = np.array([self._other(w) for w in self.words[WORDS:]], dtype=np.int64)
-            self.number = np.concatenate([own, rest])
+            self.number = np.concatenate([own, rest]).astype(np.int32)
             self.log_count = np.log10(self.counts + 0.5)
             self.norm = math.log10(self.total + 0.5 * (self.distinct + 1))
             self.log_share = np.log10(self.rare + 0.5 * (self.rare_distinct + 1))
@@ -104,30 +110,32 @@ class Vocabulary:
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Places of the words and the end among the frequent ones (-1: none), and their numbers for the model."""
-        get = self.place.get
-        at = np.array([get(w, -1) for w in words] + [0])
+        at = np.zeros(len(words) + 1, dtype=np.int64)
+        at[:-1] = np.fromiter(map(self.place.get, words, repeat(-1)), dtype=np.int64, count=len(words))
         number = self.number[at]
-        for i in np.flatnonzero(at < 0).tolist():
-            number[i] = self._other(words[i])
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            number[missing] = [self._other(words[i]) for i in missing.tolist()]
         return at, number
 
     def start(self) -> recurrent.Params:
         return recurrent.start(self.counts[:WORDS].astype(float), self.rare)
 
 
-def vocabulary(counts: DataFrame, known: int = KNOWN) -> tuple[Vocabulary, int]:
-    """The vocabulary, and the least count of its frequent words."""
+def vocabulary(counts: DataFrame, known: int = KNOWN) -> tuple[Vocabulary, Column]:
+    """The vocabulary, and the condition on counts that holds for its frequent words."""
     words = counts.where(F.octet_length("word") > 0)
-    c = F.col("c")
+    c, short = F.col("c"), F.octet_length("word") <= LONGEST
     bin_ = F.when(c < 1024, c).otherwise(1024 + F.floor(F.log2(c / 1024.0) * 64)).cast("long")  # a few thousand bins at most
-    bins = sorted(((r["bin"], r["n"], r["least"]) for r in words.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"), F.min("c").alias("least")).collect()), reverse=True)
+    bins = sorted(((r["bin"], r["n"], r["least"]) for r in words.where(short).groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"), F.min("c").alias("least")).collect()), reverse=True)
     least, seen = 1 << 62, 0
     for _, n, lowest in bins:
         seen += n
         if seen > known:
             break
         least = lowest
-    top = words.where(c >= least).toPandas().sort_values(["c", "word"], ascending=[False, True])  # KNOWN words at most
+    frequent = (c >= least) & short
+    top = words.where(frequent).toPandas().sort_values(["c", "word"], ascending=[False, True])  # KNOWN words at most
     sums = counts.agg(F.sum("c").alias("total"), F.count("*").alias("distinct"), F.sum(F.when(F.octet_length("word") == 0, c)).alias("ends")).first()
     cls = F.conv(F.hex(F.substring("word", 1, 1)), 16, 10).cast("int") % recurrent.RARE
     rare, rare_distinct = np.zeros(recurrent.RARE), np.zeros(recurrent.RARE)
@@ -138,42 +146,44 @@ def vocabulary(counts: DataFrame, known: int = KNOWN) -> tuple[Vocabulary, int]:
     for w, k in zip(listed[1:WORDS], listed_counts[1:WORDS], strict=True):
         rare[recurrent.rare_class(w)] -= k
         rare_distinct[recurrent.rare_class(w)] -= 1
-    return Vocabulary(listed, listed_counts, sums["total"] or 0, sums["distinct"] or 0, rare, rare_distinct), least
+    return Vocabulary(listed, listed_counts, sums["total"] or 0, sums["distinct"] or 0, rare, rare_distinct), frequent
 
 
-def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> recurrent.Params:
-    """Parameters after some rounds of parallel training on ``doc_id, text``; each row is in one round."""
+def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, shard_words: int = SHARD) -> recurrent.Params:
+    """Parameters after some rounds of parallel training on ``doc_id, text``; each row is in one shard of one round."""
     params, sent = vocab.start(), docs.sparkSession.sparkContext.broadcast(vocab)
-    own_round = F.pmod(F.xxhash64(F.lit("recurrent"), "doc_id"), F.lit(rounds))
-    weighted = "slot int, n double, content binary"
+    shards = max(1, round(vocab.total / rounds / shard_words))
+    place = F.pmod(F.xxhash64(F.lit("recurrent"), "doc_id", "text"), F.lit(rounds * shards))
+    dealt = docs.select("doc_id", "text", (place % shards).cast("int").alias("shard"), F.floor(place / shards).alias("round"))
+    weighted = "shard int, n double, content binary"
     shapes = {k: v.shape for k, v in params.items()}
 
     def one(flat: np.ndarray, rate: float):
         begin = docs.sparkSession.sparkContext.broadcast(flat)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            v, n = sent.value.built(), 0
+            v = sent.value.built()
             start = recurrent.unpacked(begin.value, {k: np.empty(s) for k, s in shapes.items()})
-            trainer = recurrent.Trainer(start, rate)
-            for block in recurrent.blocks((v.encode(tokens(t))[1] for b in batches for t in b["text"]), BLOCK):
-                trainer.train(block)
-                n += sum(map(len, block))
-            if n:
-                yield pd.DataFrame({"slot": [TaskContext.get().partitionId() % 1024], "n": [float(n)], "content": [(trainer.flat * np.float64(n)).astype(np.float32).tobytes()]})
+            rows = (row for b in batches for row in zip(b["shard"], b["text"], strict=True))
+            for shard, own in groupby(rows, lambda row: row[0]):
+                trainer = recurrent.Trainer(start, rate)
+                n = trainer.train(recurrent.pieces(v.encode(tokens(t))[1] for _, t in own))
+                yield pd.DataFrame({"shard": [shard], "n": [float(n)], "content": [(trainer.flat * np.float64(n)).astype(np.float32).tobytes()]})
 
         return run
 
     def added(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("shard")
         total = sum(np.frombuffer(c, dtype=np.float32).astype(np.float64) for c in rows["content"])
-        return pd.DataFrame({"slot": [int(rows["slot"].iloc[0]) % 32], "n": [rows["n"].sum()], "content": [total.astype(np.float32).tobytes()]})
+        return pd.DataFrame({"shard": rows["shard"].iloc[:1], "n": [rows["n"].sum()], "content": [total.astype(np.float32).tobytes()]})
 
     flat = recurrent.flattened(params)
     for k in range(rounds):
-        taken = docs.where(own_round == k).select("text")
-        results = taken.mapInPandas(one(flat, RATE / (1 + k)), weighted)
-        for _ in range(2):  # sums of up to 1024 and then of 32 rows; as many reach the driver
-            results = results.groupBy("slot").applyInPandas(added, weighted)
-        got = results.collect()
+        taken = dealt.where(F.col("round") == k).select("shard", "doc_id", "text").repartition(min(shards, MOST_PARTS), "shard").sortWithinPartitions("shard", "doc_id", F.xxhash64("text"))
+        results = taken.select("shard", "text").mapInPandas(one(flat, RATE / (1 + k)), weighted)
+        for slots in (512, 8):  # sums of up to 512 and then of 8 rows; as many reach the driver
+            results = results.groupBy((F.col("shard") % slots).alias("slot")).applyInPandas(added, weighted)
+        got = sorted(results.collect(), key=lambda r: r["shard"])
         n = sum(r["n"] for r in got)
         if n:
             flat = (sum(np.frombuffer(r["content"], dtype=np.float32).astype(np.float64) for r in got) / n).astype(np.float32)
@@ -186,13 +196,14 @@ def score_documents(docs: DataFrame, learn: Column, text: str = "text", doc_id:
     Columns that ``learn`` names must be among the documents'.
     """
     small_batches(docs.sparkSession)
-    docs = docs.withColumn("_learn", learn).select(F.col(doc_id).alias("doc_id"), whole(F.col(text)).alias("text"), "_learn")
-    docs = docs.withColumn("h", F.xxhash64("text"))
+    docs = docs.select(F.col(doc_id).alias("doc_id"), whole(F.col(text)).alias("text"), learn.alias("_learn"))
     spark = docs.sparkSession
-    counts = count_words(docs.where("_learn"))
-    vocab, least = vocabulary(counts)
-    params = train(docs.where("_learn"), vocab)
+    learned = docs.where("_learn")
+    counts = count_words(learned)
+    vocab, frequent = vocabulary(counts)
+    params = train(learned, vocab)
     sent = spark.sparkContext.broadcast((vocab, params))
+    schema = "row long, doc_id long, n_tokens long, known long, base double, model double, words array<binary>, times array<int>"
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v, net = sent.value[0].built(), recurrent.Network(sent.value[1])
@@ -201,21 +212,23 @@ def score_documents(docs: DataFrame, learn: Column, text: str = "text", doc_id:
 
         def done() -> pd.DataFrame:
             log_p = net.score([x[-1] for x in held]) / math.log(10)
-            out = pd.DataFrame([x[:-1] for x in held], columns=["doc_id", "h", "n_tokens", "known", "base", "model"])
+            out = pd.DataFrame([x[:-1] for x in held], columns=["row", "doc_id", "n_tokens", "known", "base", "model", "words", "times"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             out["model"] += log_p
             return out
 
         for batch in batches:
-            for i, h, t in zip(batch["doc_id"], batch["h"], batch["text"], strict=True):
-                at, number = v.encode(tokens(t))
+            for row, i, t in zip(batch["row"], batch["doc_id"], batch["text"], strict=True):
+                words = tokens(t)
+                at, number = v.encode(words)
                 found = at[at >= 0]
                 rare = number >= v.frequent
                 shares = v.log_share[(number[rare] - v.frequent) % recurrent.RARE].sum()
                 logs = v.log_count[found]
                 known = int((v.counts[found] > 0).sum())
                 base, model = float(logs.sum() - len(at) * v.norm), float(logs[rare[at >= 0]].sum() - shares)
-                held.append((None if pd.isna(i) else int(i), h, len(at), known, base, model, number))
+                rest = Counter(words[k] for k in np.flatnonzero(at < 0).tolist())
+                held.append((row, None if pd.isna(i) else int(i), len(at), known, base, model, [*rest], [*rest.values()], number))
                 total += len(at)
                 if total > BLOCK:
                     yield done()
@@ -223,31 +236,16 @@ def score_documents(docs: DataFrame, learn: Column, text: str = "text", doc_id:
         if held:
             yield done()
 
-    def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = sent.value[0].built().place.keys()
-        for batch in batches:
-            word, key, h, n = [], [], [], []
-            for i, own, t in zip(batch["key"], batch["h"], batch["text"], strict=True):
-                rest = Counter(w for w in tokens(t) if w not in known)
-                word += rest.keys()
-                n += rest.values()
-                key += [i] * len(rest)
-                h += [own] * len(rest)
-            yield pd.DataFrame({"word": word, "key": key, "h": h, "n": n})
-
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    scored = docs.select("doc_id", "h", "text").mapInPandas(score, "doc_id long, h long, n_tokens long, known long, base double, model double")
-    rest = docs.select(key.alias("key"), "h", "text").mapInPandas(others, "word binary, key long, h long, n long")
-    rest = rest.join(counts.where(F.col("c") < least), "word", "left")
-    found = rest.groupBy("key", "h").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("logs"), F.sum(F.when(F.col("c").isNotNull(), F.col("n"))).alias("more"))
-    copies = F.count("*").over(Window.partitionBy("key", "h"))
-    both = scored.withColumn("key", key).withColumn("copies", copies).join(found, ["key", "h"], "left")
-    logs = F.coalesce(F.col("logs") / F.col("copies"), F.lit(0.0))  # rows of equal id and text were summed together
-    more = F.coalesce(F.col("more") / F.col("copies"), F.lit(0.0)).cast("long")
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    scored = stored(numbered.mapInPandas(score, schema), "scores")  # once, for the words that no task knows are joined with their counts
+    rest = scored.select("row", F.inline(F.arrays_zip("words", "times"))).join(counts.where(~frequent).withColumnRenamed("word", "words"), "words", "left")
+    found = rest.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("logs"), F.sum(F.when(F.col("c").isNotNull(), F.col("times"))).alias("more"))
+    both = scored.drop("words", "times").join(found, "row", "left")
+    logs = F.coalesce("logs", F.lit(0.0))
     return both.select(
         "doc_id",
         "n_tokens",
-        (F.col("known") + more).alias("n_known"),
+        (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(vocab.total).cast("long").alias("train_tokens"),
         (F.col("base") + logs).alias("base_score"),
         (F.col("model") + logs).alias("score"),

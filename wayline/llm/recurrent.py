@@ -7,14 +7,16 @@ softmax of its own; within a rare class words keep their shares of the counts,
 which the caller adds. The input of a frequent word is a row of its own, that
 of another word the row of its last bytes' hash.
 
-Texts run in lanes, many side by side and one after the other in each; a text
-begins with the state zero and keeps its state from window to window until it
-ends. Training propagates errors back within a window.
+Texts run in lanes, many side by side; a lane takes the next text when its own
+ends. A text begins with the state zero and keeps its state from window to
+window until it ends (in training, for ``PIECE`` words at most). Training
+propagates errors back within a window. One gate decides how much of the state
+stays; the candidate for the rest sees the state and the word before.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -26,7 +28,11 @@ RARE = 16
 TAILS = 1024
 HIDDEN = 16
 LANES = 512
+#: Words of a text in training after which the state begins anew, so that lanes of long texts end with the others.
+PIECE = 2048
 WINDOW = 16
+#: Windows that are laid out at a time.
+LAID = 16
 #: Logits are cut at so much, so that their exponentials stay finite.
 MOST = np.float32(60)
 
@@ -44,7 +50,10 @@ def tail_row(word: bytes) -> int:
 
 
 def start(counts: np.ndarray, rare: np.ndarray) -> Params:
-    """Parameters that give every word its share of the counts: of the frequent words, and the sums of the rare classes."""
+    """Parameters that give every word its share of the counts: of the frequent words, and the sums of the rare classes.
+
+    The last row of ``class`` and of each part of ``word`` is a bias.
+    """
     rng = np.random.default_rng(3)
     classes = -(-len(counts) // IN)
     padded = np.zeros((classes, IN))
@@ -55,58 +64,65 @@ def start(counts: np.ndarray, rare: np.ndarray) -> Params:
         inner = np.log(padded / padded.sum(axis=1, keepdims=True)) if classes else padded
     small = lambda *shape: rng.normal(0, 0.08, shape)
     out = {
-        "in": small(classes * IN + TAILS, 3 * HIDDEN),
-        "first": small(1, 3 * HIDDEN),
-        "state": small(HIDDEN, 3 * HIDDEN) * 2,
-        "class_w": np.zeros((HIDDEN, len(sums))),
-        "class_b": np.log(sums / sums.sum()),
-        "word_w": np.zeros((classes, HIDDEN, IN)),
-        "word_b": np.maximum(inner, -1e4),
+        "in": small(classes * IN + TAILS, 2 * HIDDEN),
+        "first": small(1, 2 * HIDDEN),
+        "state": small(HIDDEN, 2 * HIDDEN) * 2,
+        "class": np.concatenate([np.zeros((HIDDEN, len(sums))), np.log(sums / sums.sum())[None]]),
+        "word": np.concatenate([np.zeros((classes, HIDDEN, IN)), np.maximum(inner, -1e4)[:, None]], axis=1),
     }
     return {k: v.astype(np.float32) for k, v in out.items()}
 
 
 class Lanes:
-    """Texts, as arrays of word numbers, laid out in lanes of about the same length.
+    """Texts, as arrays of word numbers, dealt out to lanes that run side by side.
 
     A number below ``n_frequent`` is a frequent word, ``n_frequent + row *
     RARE + rare class`` any other. Each text gives the words to predict; the
     input of its first is the row that begins a text.
     """
 
-    def __init__(self, texts: list[np.ndarray], lanes: int = LANES):
-        self.size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-        order = np.argsort(-self.size, kind="stable")
-        lanes = max(1, min(lanes, len(texts)))
-        # Longest first, each to the next lane, back and forth: lanes end at about the same length without a search.
-        lane = np.arange(len(texts)) % (2 * lanes)
-        lane = np.where(lane < lanes, lane, 2 * lanes - 1 - lane)
-        self.own = [order[lane == i] for i in range(lanes)]
-        self.length = max((int(self.size[p].sum()) for p in self.own), default=0)
-        word = np.full((lanes, self.length), -1, dtype=np.int32)
-        begins = np.zeros((lanes, self.length), dtype=bool)
-        for i, own in enumerate(self.own):
-            if len(own):
-                flat = np.concatenate([texts[k] for k in own])
-                word[i, : len(flat)] = flat
-                begins[i, np.cumsum(self.size[own]) - self.size[own]] = True
-        self.word, self.begins = np.ascontiguousarray(word.T), np.ascontiguousarray(begins.T)
-
-    def windows(self, steps: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Of each window its steps, the lanes still in use, and for these the words before, the words and where texts begin."""
-        before = np.concatenate([np.full((1, self.word.shape[1]), -1, dtype=np.int32), self.word[:-1]])
-        for lo in range(0, self.length, steps):
-            part = slice(lo, min(lo + steps, self.length))
-            used = np.flatnonzero(self.word[lo] >= 0)
-            yield part, used, before[part][:, used], self.word[part][:, used], self.begins[part][:, used]
-
-    def sums(self, values: np.ndarray) -> np.ndarray:
-        """For each text the sum of the values at its places."""
-        out = np.zeros(len(self.size))
-        for own, row in zip(self.own, np.ascontiguousarray(values.T), strict=True):
-            if len(own):
-                out[own] = np.add.reduceat(row, np.cumsum(self.size[own]) - self.size[own], dtype=np.float64)
-        return out
+    def __init__(self, texts: Iterable[np.ndarray], lanes: int):
+        self.source = enumerate(texts)
+        self.over = False
+        self.now: list[tuple[int, np.ndarray, int] | None] = [None] * lanes
+        self.before = np.full(lanes, -1, dtype=np.int32)
+
+    def _next(self) -> tuple[int, np.ndarray, int] | None:
+        if not self.over:
+            for k, text in self.source:
+                if len(text):
+                    return k, text, 0
+            self.over = True
+        return None
+
+    def blocks(self, steps: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int, bool]]]]:
+        """Of each block of steps the words before, the words (-1: none) and where texts begin, by step and lane; and the pieces.
+
+        A piece is a text's number, where its part begins in the block's words, one lane after the other, and whether the text ends there.
+        """
+        lanes = len(self.now)
+        while True:
+            word = np.full((lanes, steps), -1, dtype=np.int32)
+            begins = np.zeros((lanes, steps), dtype=bool)
+            pieces: list[tuple[int, int, int, bool]] = []
+            for lane in range(lanes):
+                at, row = 0, word[lane]
+                while at < steps:
+                    if (held := self.now[lane] or self._next()) is None:
+                        break
+                    k, text, done = held
+                    part = text[done : done + steps - at]
+                    row[at : at + len(part)] = part
+                    begins[lane, at] = done == 0
+                    done += len(part)
+                    pieces.append((k, lane * steps + at, len(part), done == len(text)))
+                    self.now[lane] = None if done == len(text) else (k, text, done)
+                    at += len(part)
+            if not pieces:
+                return
+            before = np.concatenate([self.before[:, None], word[:, :-1]], axis=1)
+            self.before = word[:, -1].copy()
+            yield np.ascontiguousarray(before.T), np.ascontiguousarray(word.T), np.ascontiguousarray(begins.T), pieces
 
 
 class Network:
@@ -122,90 +138,116 @@ class Network:
         row = np.where(before < self.n_frequent, before, self.n_frequent + (before - self.n_frequent) // RARE)
         return np.where(begins, len(self.p["in"]), row)
 
-    def forward(self, table: np.ndarray, rows: np.ndarray, begins: np.ndarray, state: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """States after each step, before the word to predict; and the last."""
-        h, w, out = state, self.p["state"], np.empty((*rows.shape, HIDDEN), dtype=np.float32)
+    def forward(self, table: np.ndarray, rows: np.ndarray, begins: np.ndarray, state: np.ndarray, keep: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """States after each step, before the word to predict, with a one beside them; and the last.
+
+        ``keep`` gets the states before, and the gate and the candidate beside each other.
+        """
+        h, w, out = state, self.p["state"], np.ones((*rows.shape, HIDDEN + 1), dtype=np.float32)
         some = begins.any(axis=1)
         for t in range(len(rows)):
             if some[t]:
                 h = h * ~begins[t][:, None]
-            x = table[rows[t]]
-            g = h @ w
-            gates = x[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN]
-            np.negative(gates, out=gates)
-            np.exp(gates, out=gates)
-            gates += 1
-            np.reciprocal(gates, out=gates)
-            z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-            c = np.tanh(x[:, 2 * HIDDEN :] + r * g[:, 2 * HIDDEN :])
+            x = np.take(table, rows[t], axis=0)
+            x += h @ w
+            z, c = x[:, :HIDDEN], x[:, HIDDEN:]
+            np.negative(z, out=z)
+            np.exp(z, out=z)
+            z += 1
+            np.reciprocal(z, out=z)
+            np.tanh(c, out=c)
             if keep is not None:
-                keep.append((h, z, r, c, g[:, 2 * HIDDEN :]))
-            h = c + z * (h - c)
-            out[t] = h
+                keep[0][t], keep[1][t] = h, x
+            h = h - c
+            h *= z
+            h += c
+            out[t, :, :HIDDEN] = h
         return out, h
 
     def outputs(self, h: np.ndarray, word: np.ndarray, grads: Params | None = None, scale: np.float32 = np.float32(1)) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural logarithms of the chance of each word (of its class alone, if rare) given states.
+        """Natural logarithms of the chance of each word (of its class alone, if rare) given states with a one beside them.
 
         With ``grads``, which then gets the gradients of the loss times the scale, also the error of the states.
         """
-        p, frequent = self.p, word < self.n_frequent
-        cls = np.where(frequent, word // IN, self.classes + (word - self.n_frequent) % RARE)
+        top, inner_of = self.p["class"], self.p["word"]
+        cls = np.where(word < self.n_frequent, word // IN, self.classes + (word - self.n_frequent) % RARE).astype(np.int16)
         order = np.argsort(cls, kind="stable")
-        h, word, cls = h[order], word[order], cls[order]
-        logits = h @ p["class_w"]
-        logits += p["class_b"]
-        np.minimum(logits, MOST, out=logits)
-        at = np.arange(len(word))
-        chosen = logits[at, cls]
-        np.exp(logits, out=logits)
-        total = logits.sum(axis=1)
-        log_p = chosen - np.log(total)
-        dh = None
-        if grads is not None:
-            logits /= total[:, None]
-            logits[at, cls] -= 1
-            logits *= scale
-            np.matmul(h.T, logits, out=grads["class_w"])
-            logits.sum(axis=0, out=grads["class_b"])
-            dh = logits @ p["class_w"].T
-        bounds = np.searchsorted(cls, np.arange(self.classes + 1))
+        h, word, cls = np.take(h, order, axis=0), word[order], cls[order]
+        log_p, dh = _softmax(h, top, cls, None if grads is None else grads["class"], scale)
+        bounds = np.searchsorted(cls, np.arange(self.classes + 1, dtype=np.int16))
+        within = word - cls.astype(np.int32) * IN
         for c in range(self.classes):
-            lo, hi = bounds[c], bounds[c + 1]
-            if lo == hi:
-                continue
-            inner = h[lo:hi] @ p["word_w"][c]
-            inner += p["word_b"][c]
-            np.minimum(inner, MOST, out=inner)
-            own, target = np.arange(hi - lo), word[lo:hi] - c * IN
-            chosen = inner[own, target]
-            np.exp(inner, out=inner)
-            total = inner.sum(axis=1)
-            log_p[lo:hi] += chosen - np.log(total)
-            if grads is not None:
-                inner /= total[:, None]
-                inner[own, target] -= 1
-                inner *= scale
-                np.matmul(h[lo:hi].T, inner, out=grads["word_w"][c])
-                inner.sum(axis=0, out=grads["word_b"][c])
-                dh[lo:hi] += inner @ p["word_w"][c].T
-        back = np.empty(len(order), dtype=np.int64)
-        back[order] = np.arange(len(order))
-        return log_p[back], None if dh is None else dh[back]
+            part = slice(bounds[c], bounds[c + 1])
+            if part.start < part.stop:
+                more, d = _softmax(h[part], inner_of[c], within[part], None if grads is None else grads["word"][c], scale)
+                log_p[part] += more
+                if dh is not None:
+                    dh[part] += d
+        out = np.empty_like(log_p)
+        out[order] = log_p
+        if dh is None:
+            return out, None
+        error = np.empty_like(dh)
+        error[order] = dh
+        return out, error
+
+    def score_stream(self, texts: Iterable[np.ndarray], lanes: int) -> Iterator[tuple[int, float]]:
+        """Number and natural logarithm of the chance (of rare words' classes) of each whole text that has a word, as texts end."""
+        table = np.concatenate([self.p["in"], self.p["first"]])
+        state = np.zeros((lanes, HIDDEN), dtype=np.float32)
+        so_far: dict[int, float] = {}
+        for before, word, begins, pieces in Lanes(texts, lanes).blocks(WINDOW * LAID):
+            values = np.zeros(word.shape, dtype=np.float32)
+            for lo in range(0, len(word), WINDOW):
+                part = slice(lo, lo + WINDOW)
+                used = np.flatnonzero(word[lo] >= 0)
+                if not len(used):
+                    break
+                if len(used) == lanes:
+                    w, b, h = word[part], begins[part], before[part]
+                else:
+                    w, b, h = word[part][:, used], begins[part][:, used], before[part][:, used]
+                out, state[used] = self.forward(table, self.rows(h, b), b, state[used])
+                real = w >= 0
+                got = np.zeros(w.shape, dtype=np.float32)
+                got[real], _ = self.outputs(out[real], w[real])
+                values[part, used] = got
+            flat = np.ascontiguousarray(values.T).reshape(-1)
+            sums = np.add.reduceat(flat, [at for _, at, _, _ in pieces], dtype=np.float64)  # what lies between two pieces is zero
+            for (k, _, _, ended), s in zip(pieces, sums.tolist(), strict=True):
+                total = so_far.pop(k, 0.0) + s
+                if ended:
+                    yield k, total
+                else:
+                    so_far[k] = total
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """Natural logarithm of the chance of each whole text (of rare words' classes)."""
-        lanes = Lanes(texts)
-        table = np.concatenate([self.p["in"], self.p["first"]])
-        state = np.zeros((lanes.word.shape[1], HIDDEN), dtype=np.float32)
-        values = np.zeros(lanes.word.shape, dtype=np.float32)
-        for part, used, before, word, begins in lanes.windows(2 * WINDOW):
-            h, state[used] = self.forward(table, self.rows(before, begins), begins, state[used])
-            real = word >= 0
-            got = np.zeros(word.shape, dtype=np.float32)
-            got[real], _ = self.outputs(h[real], word[real])
-            values[part, used] = got
-        return lanes.sums(values)
+        size = np.array([len(t) for t in texts])
+        out = np.zeros(len(texts))
+        lanes = int(np.clip(size.sum() // max(1, size.max(initial=1)), 64, LANES))  # so many that no text is much longer than a lane
+        order = np.argsort(-size, kind="stable")
+        for k, v in self.score_stream((texts[i] for i in order), lanes):
+            out[order[k]] = v
+        return out
+
+
+def _softmax(h: np.ndarray, w: np.ndarray, target: np.ndarray, grad: np.ndarray | None, scale: np.float32) -> tuple[np.ndarray, np.ndarray | None]:
+    """Logarithms of the targets' chances; with a gradient of the weights to fill in, also the error of the states."""
+    z = h @ w
+    if (np.abs(w[:-1]).sum(axis=0) + w[-1]).max() > MOST:  # states lie between -1 and 1
+        np.minimum(z, MOST, out=z)
+    at = np.arange(len(target))
+    chosen = z[at, target]
+    np.exp(z, out=z)
+    total = z @ np.ones(z.shape[1], dtype=np.float32)
+    log_p = chosen - np.log(total)
+    if grad is None:
+        return log_p, None
+    z *= (scale / total)[:, None]
+    z[at, target] -= scale
+    np.matmul(h.T, z, out=grad)
+    return log_p, z @ w[:-1].T
 
 
 class Trainer:
@@ -226,66 +268,82 @@ class Trainer:
             g /= np.float32(length)
         self.steps += 1
         self.mean += np.float32(0.1) * (g - self.mean)
-        self.square += np.float32(0.01) * (g * g - self.square)
-        size = np.sqrt(self.square / np.float32(1 - 0.99**self.steps))
+        change = g * g
+        change -= self.square
+        change *= np.float32(0.01)
+        self.square += change
+        size = np.sqrt(self.square)
+        size *= np.float32((1 - 0.99**self.steps) ** -0.5)
         size += np.float32(1e-5)
-        self.flat -= np.float32(self.rate / (1 - 0.9**self.steps)) * self.mean / size
-
-    def train(self, texts: list[np.ndarray], lanes: int = LANES // 4) -> None:
-        """One pass over the texts."""
-        laid, net = Lanes(texts, lanes), self.net
-        state = np.zeros((laid.word.shape[1], HIDDEN), dtype=np.float32)
-        for _, used, before, word, begins in laid.windows(WINDOW):
-            kept: list = []
-            table = np.concatenate([net.p["in"], net.p["first"]])
-            rows = net.rows(before, begins)
-            h, state[used] = net.forward(table, rows, begins, state[used], kept)
-            real = word >= 0
-            scale = np.float32(1.0 / real.sum())
-            self.grad[:] = 0
-            _, dh = net.outputs(h[real], word[real], self.into, scale)
-            error = np.zeros_like(h)
-            error[real] = dh
-            dx = np.empty((*rows.shape, 3 * HIDDEN), dtype=np.float32)
-            after, back = np.zeros_like(state[used]), np.ascontiguousarray(net.p["state"].T)
-            for t in range(len(rows) - 1, -1, -1):
-                prev, z, r, c, gc = kept[t]
-                e = error[t] + after
-                dc = e * (1 - z) * (1 - c * c)
-                g = dx[t]
-                g[:, :HIDDEN] = e * (prev - c) * z * (1 - z)
-                g[:, HIDDEN : 2 * HIDDEN] = dc * gc * r * (1 - r)
-                g[:, 2 * HIDDEN :] = dc
-                inner = g.copy()
-                inner[:, 2 * HIDDEN :] *= r
-                self.into["state"] += prev.T @ inner
-                after = e * z + inner @ back
-                if begins[t].any():
-                    after *= ~begins[t][:, None]
-            flat, dx = rows.reshape(-1), dx.reshape(-1, 3 * HIDDEN)
-            order = np.argsort(flat, kind="stable")
-            flat = flat[order]
-            firsts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-            grad, names = np.add.reduceat(dx[order], firsts, axis=0), flat[firsts]
-            if names[-1] == len(table) - 1:
-                self.into["first"][:] = grad[-1:]
-                grad, names = grad[:-1], names[:-1]
-            self.into["in"][names] = grad
-            self._step()
-
-
-def blocks(texts: Iterator[np.ndarray], most_words: int) -> Iterator[list[np.ndarray]]:
-    """The texts in lists of a bounded number of words, or of one text."""
-    part: list[np.ndarray] = []
-    total = 0
+        np.divide(self.mean, size, out=size)
+        size *= np.float32(self.rate / (1 - 0.9**self.steps))
+        self.flat -= size
+
+    def train(self, texts: Iterable[np.ndarray], lanes: int = LANES) -> int:
+        """One pass over the texts; the number of their words."""
+        net, state, n = self.net, np.zeros((lanes, HIDDEN), dtype=np.float32), 0
+        for before, word, begins, _ in Lanes(texts, lanes).blocks(WINDOW * LAID):
+            for lo in range(0, len(word), WINDOW):
+                part = slice(lo, lo + WINDOW)
+                used = np.flatnonzero(word[lo] >= 0)
+                if not len(used):
+                    break
+                state[used], k = self._window(before[part][:, used], word[part][:, used], begins[part][:, used], state[used])
+                n += k
+        return n
+
+    def _window(self, before: np.ndarray, word: np.ndarray, begins: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, int]:
+        """A step on a window: the states after it, and how many words it had."""
+        net, p, into = self.net, self.net.p, self.into
+        table = np.concatenate([p["in"], p["first"]])
+        rows = net.rows(before, begins)
+        shape = rows.shape
+        prev, x = np.empty((*shape, HIDDEN), dtype=np.float32), np.empty((*shape, 2 * HIDDEN), dtype=np.float32)
+        out, last = net.forward(table, rows, begins, state, (prev, x))
+        real = word >= 0
+        n = int(real.sum())
+        self.grad[:] = 0
+        _, dh = net.outputs(out[real], word[real], into, np.float32(1.0 / n))
+        error = np.zeros((*shape, HIDDEN), dtype=np.float32)
+        error[real] = dh
+        z, c = x[..., :HIDDEN], x[..., HIDDEN:]
+        # What the error of a step's state is multiplied by, for the gate and for the candidate.
+        by = np.empty_like(x)
+        np.multiply(prev - c, z * (1 - z), out=by[..., :HIDDEN])
+        np.multiply(1 - z, 1 - c * c, out=by[..., HIDDEN:])
+        dx = np.empty_like(x)
+        after = np.zeros_like(state)
+        back = np.ascontiguousarray(p["state"].T)
+        ends = begins.any(axis=1)
+        for t in range(shape[0] - 1, -1, -1):
+            e, g = error[t], dx[t]
+            e += after
+            np.multiply(e, by[t, :, :HIDDEN], out=g[:, :HIDDEN])
+            np.multiply(e, by[t, :, HIDDEN:], out=g[:, HIDDEN:])
+            after = g @ back
+            e *= z[t]
+            after += e
+            if ends[t]:
+                after *= ~begins[t][:, None]
+        flat, dx = rows.reshape(-1), dx.reshape(-1, 2 * HIDDEN)
+        np.matmul(prev.reshape(-1, HIDDEN).T, dx, out=into["state"])
+        order = np.argsort(flat.astype(np.int16), kind="stable")
+        flat = flat[order]
+        firsts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+        grad, names = np.add.reduceat(np.take(dx, order, axis=0), firsts, axis=0), flat[firsts]
+        if names[-1] == len(table) - 1:
+            into["first"][:] = grad[-1:]
+            grad, names = grad[:-1], names[:-1]
+        into["in"][names] = grad
+        self._step()
+        return last, n
+
+
+def pieces(texts: Iterable[np.ndarray]) -> Iterator[np.ndarray]:
+    """The texts, long ones in parts."""
     for t in texts:
-        if part and total + len(t) > most_words:
-            yield part
-            part, total = [], 0
-        part.append(t)
-        total += len(t)
-    if part:
-        yield part
+        for lo in range(0, len(t), PIECE):
+            yield t[lo : lo + PIECE]
 
 
 def flattened(params: Params) -> np.ndarray:
