@@ -10,9 +10,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from wayline.functions import vectors as V
-from wayline.operators import mixture, model, standardise, statistics
+from wayline.operators import evaluate, mixture, model, relabel, standardise, statistics
 from wayline.operators import steps as S
-from wayline.plans.pipelines import Source, TrajectoryTransforms, interleaved
+from wayline.plans.pipelines import Source, TrajectoryTransforms, interleaved, single
 from wayline.sources import catalog
 from wayline.streaming import control
 
@@ -75,18 +75,85 @@ def test_absolute_gripper(spark):
 
 def test_rolls_go_around(spark):
     df = grippers(spark, VALUES)
-    got = df.select("traj", "t", S.rolled("g", 2).alias("a"), S.rolled("g", -1).alias("b")).orderBy("traj", "t").collect()
+    ks = (1, 2, 4, -1, -3)
+    got = S.rolled(df, {f"k{k}": ("g", k) for k in ks}).orderBy("traj", "t").collect()
     for i, own in enumerate(VALUES):
-        assert [r["a"] for r in got if r["traj"] == i] == np.roll(own, 2).tolist()
-        assert [r["b"] for r in got if r["traj"] == i] == np.roll(own, -1).tolist()
+        for k in ks:  # also further than the trajectory is long
+            assert [r[f"k{k}"] for r in got if r["traj"] == i] == np.roll(own, k).tolist()
+
+
+def closings(spark, pred, truth, height):
+    """Steps of one trajectory with gripper states and heights; the other six dimensions are zero."""
+    rows = [(0, t, [0.0] * 6 + [p], [0.0] * 6 + [q], h) for t, (p, q, h) in enumerate(zip(pred, truth, height, strict=True))]
+    return evaluate.step_metrics(spark.createDataFrame(rows, "traj long, t int, pred array<double>, truth array<double>, height double"))
+
+
+def test_gripping_and_releasing_by_hand(spark):
+    truth = [0.0, 0.0, 0.0, 0.0, 1.0, 1.0, 0.0, 0.0, 0.0, 0.0]
+    m = evaluate.trajectory_metrics(closings(spark, truth, truth, [0.0] * 10)).orderBy("t").collect()
+    # Closed at 4 and 5. Gripping: three steps before a closed one while open, or closed and open three before.
+    assert [r["t"] for r in m if r["gripping"]] == [1, 2, 4, 5]
+    # Releasing: open and closed three before, or closed and open three after.
+    assert [r["t"] for r in m if r["releasing"]] == [4, 5, 7, 8]
+    assert [r["t"] for r in m if r["gripper_changing"]] == [1, 2, 4, 5, 7, 8] and [r["t"] for r in m if r["still"]] == [0, 3, 6, 9]
+    assert [r["t"] for r in m if r["is_first_grip"]] == [4]
+
+
+def test_early_grips_by_hand(spark):
+    truth = [0.0, 0.0, 0.0, 0.0, 1.0, 1.0, 0.0, 0.0, 1.0, 1.0]
+    pred = [0.0, 0.0, 1.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0]
+    height = [0.0, 0.0, 0.3, 0.0, 0.1, 0.101, 0.0, 0.0, 0.1, 0.0]
+    m = {r["t"]: r for r in evaluate.early_grip_metrics(closings(spark, pred, truth, height)).collect()}
+    assert [t for t in m if m[t]["is_first_grip"]] == [4, 8]
+    # At 4 the prediction two steps back was closed, 0.2 above; the next one is closed, so it is on time too.
+    assert m[4]["early_gripped"] and m[4]["early_gripped_height_aware"] and m[4]["timestep_to_grip"] == 2 and m[4]["gripped_on_time"]
+    assert math.isclose(m[4]["height_to_grip"], 0.2)
+    # At 8 that three steps back was, only 0.001 above; neither this nor the next is closed.
+    assert m[8]["early_gripped"] and not m[8]["early_gripped_height_aware"] and m[8]["timestep_to_grip"] == 3 and not m[8]["gripped_on_time"]
+    assert all(not m[t]["early_gripped"] and m[t]["timestep_to_grip"] == 0 and m[t]["height_to_grip"] == 0 for t in m if t not in (4, 8))
+
+
+def test_rephrasing_keeps_instructions_without_paraphrases(spark):
+    rows = spark.createDataFrame([(i, t, x) for i, x in enumerate(["stay", "go", ""] * 30) for t in range(3)], "traj long, t int, language_instruction string")
+    phrases = spark.createDataFrame([("go", "walk.run"), ("stay", "")], "instruction string, paraphrases string")
+    got = relabel.rephrase(rows, phrases, 1.0).collect()
+    assert {r["language_instruction"] for r in got if r["traj"] % 3 == 0} == {"stay"}
+    assert {r["language_instruction"] for r in got if r["traj"] % 3 == 1} == {"go", "walk", "run"}
+    assert {r["language_instruction"] for r in got if r["traj"] % 3 == 2} == {""}
+
+
+def test_positions_at_rest_do_not_divide_by_zero(spark):
+    rows = [(0, t, [1.0, 0.0], ([0.0, 0.0], 0.0, [0.0, 0.0]), "go") for t in range(8)]
+    schema = "traj long, t int, action array<double>, observation struct<position: array<double>, yaw: double, state: array<double>>, language_instruction string"
+    got = standardise.standardised(spark.createDataFrame(rows, schema), "gnm_dataset").collect()
+    assert len(got) == 2 and all(math.isnan(x) for r in got for x in r["action"])
+
+
+def test_split_by_text_and_by_large_numbers(spark):
+    names = spark.createDataFrame([(f"episode-{i:03d}",) for i in range(40)], "traj string")
+    got = {r["traj"]: r["split"] for r in mixture.split(names, "traj").collect()}
+    assert [k for k in sorted(got) if got[k] == "val"] == ["episode-038", "episode-039"]
+    large = spark.createDataFrame([(2**60 + i,) for i in range(40)], "traj long")
+    got = {r["traj"]: r["split"] for r in mixture.split(large, "traj").collect()}
+    assert [k - 2**60 for k in sorted(got) if got[k] == "val"] == [38, 39]
+
+
+def test_depth_is_cut_to_its_first_channel(spark):
+    schema = "traj long, t int, action array<double>, observation struct<depth: array<array<array<int>>>, depth_additional_view: array<array<array<int>>>, state: array<double>>, language_instruction string"
+    image = [[[1, 9], [2, 9]], [[3, 9], [4, 9]]]
+    rows = spark.createDataFrame([(0, 0, [0.5] * 10, (image, image, [0.0] * 8), "x")], schema)
+    got = standardise.standardised(rows, f"nyu_franka_play_dataset{standardise.RLDS}").first()
+    assert got["observation"]["depth"] == [[1.0, 2.0], [3.0, 4.0]] == got["observation"]["depth_additional_view"]
 
 
 def test_statistics(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(50, 3))
     df = frame(spark, [x[:20].tolist(), x[20:].tolist()])
-    s = {r["dim"]: r for r in statistics.statistics(df, "action").collect()}
+    near = {r["dim"]: r for r in statistics.statistics(df, "action").collect()}
+    s = {r["dim"]: r for r in statistics.statistics(df, "action", exact=True).collect()}
     for d in range(3):
+        assert near[d]["p01"] == x[:, d].min() and near[d]["p99"] == x[:, d].max()
         assert math.isclose(s[d]["std"], x[:, d].std(), rel_tol=1e-9)
         assert math.isclose(s[d]["p99"], np.quantile(x[:, d], 0.99), rel_tol=1e-9)
         assert (s[d]["num_transitions"], s[d]["num_trajectories"]) == (50, 2)
@@ -134,7 +201,9 @@ def test_errors(spark):
     with pytest.raises(ValueError, match="may not attend"):
         model.check_causal([("task", True, {"obs": "causal"}), ("obs", False, {})])
     with pytest.raises(ValueError, match="no view"):
-        catalog.source_config("kuka", views=("wrist",))
+        catalog.source_config("kuka", views=("above",))
+    with pytest.raises(ValueError, match="mask"):
+        single(Source("a", df, mask=(True,)), TrajectoryTransforms())
     with pytest.raises(ValueError):
         mixture.allocate(1, [0.5, 0.5])
 
@@ -143,6 +212,13 @@ def test_allocation():
     for n, w in ((48, [0.5, 0.3, 0.2]), (10, [0.97, 0.01, 0.01, 0.01]), (3, [1, 1, 1])):
         got = mixture.allocate(n, w)
         assert sum(got) == n and min(got) >= 1
+    assert mixture.allocate(10, [0.98, 0.01, 0.01]) == [8, 1, 1] and mixture.allocate(10, [0.9, 0.1, 0.0]) == [9, 1, 0]
+
+
+def test_allocation_of_rows_is_the_same(spark):
+    for n, w in ((10, [0.98, 0.01, 0.01]), (10, [0.9, 0.1, 0.0]), (48, [0.5, 0.3, 0.2]), (7, [0.25, 0.25, 0.25, 0.25]), (9, [0.05, 0.1, 0.2, 0.3, 0.35])):
+        rows = spark.createDataFrame([(f"s{i}", float(x)) for i, x in enumerate(w)], "name string, sampling_weight double")
+        assert [r["units"] for r in mixture.allocated(rows, n).orderBy("name").collect()] == mixture.allocate(n, w)
 
 
 def test_catalogue():
@@ -153,6 +229,10 @@ def test_catalogue():
         assert len(catalog.first_of_each(mixes["rtx_franka"])) == 25
     with pytest.raises(KeyError):
         catalog.mix_configs([("unknown", 1.0)])
+    configs, weights = catalog.mix_configs("oxe_magic_soup", views=("primary", "wrist"))
+    assert len(configs) == len(weights) == 25 and configs[1]["images"] == {"primary": "image", "wrist": None}
+    with pytest.warns(UserWarning):
+        assert catalog.mix_configs("bridge", views=("above",)) == ([], [])
 
 
 def test_numbered_in_any_number_of_parts(spark):

@@ -19,14 +19,21 @@ from wayline.operators import steps as S
 # Each metric's name, the quantity it averages and the conditions under which it counts.
 METRICS = {
     "mse": ("mse", ()),
-    "xyz_angle_given_moving": ("xyz_angle", ("moving",)),
-    "xyz_angle_accuracy_given_moving": ("xyz_angle_accuracy", ("moving",)),
-    "xyz_accuracy_given_moving": ("xyz_accuracy", ("moving",)),
-    "gripping_accuracy_given_gripper_changing": ("gripper_correct", ("gripper_changing",)),
+    "xyz_angle": ("xyz_angle", ("moving",)),
+    "xyz_angle_accuracy": ("xyz_angle_accuracy", ("moving",)),
+    "xyz_accuracy": ("xyz_accuracy", ("moving",)),
+    "gripping_accuracy": ("gripper_correct", ("gripper_changing",)),
     "gripping_accuracy_full": ("gripper_correct", ()),
 }
-# Parts of the data that each metric is also told of.
-CONDITIONS = ("under_10_to_end", "over_20_to_end")
+# Metrics that need the measured height.
+GRIP_METRICS = {
+    "grip_height": ("height_to_grip", ("is_first_grip",)),
+    "early_gripped": ("early_gripped", ("is_first_grip",)),
+    "early_gripped_height_aware": ("early_gripped_height_aware", ("is_first_grip",)),
+    "grip_timestep_early": ("timestep_to_grip", ("is_first_grip",)),
+}
+# The names of conditions by the distance to the end.
+NEAR_END, FAR_FROM_END = "<10_to_end", ">20_to_end"
 
 
 def squared_error(dims: Sequence[int]) -> Column:
@@ -63,46 +70,64 @@ def step_metrics(df: DataFrame, dims: int = 7) -> DataFrame:
 
 
 def trajectory_metrics(df: DataFrame, key: S.Keys = S.KEY, around: int = 3) -> DataFrame:
-    """Whether the gripper grips, releases, changes or rests, by its state some steps before and after; first grips; how near the end is."""
-    before, after = S.rolled("closed_truth", around, key), S.rolled("closed_truth", -around, key)
-    rows = df.withColumns({"_before": before, "_after": after, "_one": S.rolled("closed_truth", 1, key), "_left": S.to_end(key)})
+    """Whether the gripper grips, releases, changes or rests, by its state now, some steps before and after; first grips; how near the end is.
+
+    It grips where it is closed and was open before, or is open and will be
+    closed; it releases the other way round, and may do both.
+    """
+    rolls = {"_before": ("closed_truth", around), "_after": ("closed_truth", -around), "_one": ("closed_truth", 1)}
+    rows = S.rolled(df, rolls, key).withColumn("_left", S.to_end(key))
+    now, before, after = F.col("closed_truth"), F.col("_before"), F.col("_after")
+    gripping, releasing = (now & ~before) | (after & ~now), (before & ~now) | (now & ~after)
     return rows.withColumns(
         {
-            "gripping": ~F.col("_before") & F.col("_after"),
-            "releasing": F.col("_before") & ~F.col("_after"),
-            "gripper_changing": F.col("_before") != F.col("_after"),
-            "still": F.col("_before") == F.col("_after"),
-            "is_first_grip": F.col("closed_truth") & ~F.col("_one"),
-            "under_10_to_end": F.col("_left") < 10,
-            "over_20_to_end": F.col("_left") > 20,
+            "gripping": gripping,
+            "releasing": releasing,
+            "gripper_changing": gripping | releasing,
+            "still": ~(gripping | releasing),
+            "is_first_grip": now & ~F.col("_one"),
+            NEAR_END: F.col("_left") < 10,
+            FAR_FROM_END: F.col("_left") > 20,
         }
     ).drop("_before", "_after", "_one", "_left")
 
 
 def early_grip_metrics(df: DataFrame, height: str = "height", back: int = 4, rise: float = 0.005, key: S.Keys = S.KEY) -> DataFrame:
-    """At each first grip: whether a prediction some steps back closed already, also only where the height has fallen by less than ``rise`` since; how far back the earliest was."""
-    closed = {k: S.rolled("closed_pred", k, key) for k in range(1, back + 1)}
-    above = {k: S.rolled(height, k, key) - F.col(height) for k in range(1, back + 1)}
-    rows = df.withColumns({f"_c{k}": c for k, c in closed.items()} | {f"_h{k}": c for k, c in above.items()})
-    early = [F.col(f"_c{k}") for k in closed]
-    low = [F.col(f"_c{k}") & (F.col(f"_h{k}") > rise) for k in closed]
+    """At each first grip: whether a prediction some steps back was closed already, also only from more than ``rise`` above; how far back and above the farthest was; and whether this step's or the next one's is closed.
+
+    At other steps all of them are false or zero.
+    """
+    ks = range(1, back + 1)
+    rolls = {"_one": ("closed_truth", 1), "_next": ("closed_pred", -1)} | {f"_c{k}": ("closed_pred", k) for k in ks} | {f"_z{k}": (height, k) for k in ks}
+    rows = S.rolled(df, rolls, key)
+    first = F.col("closed_truth") & ~F.col("_one")
+    above = {k: F.col(f"_z{k}") - F.col(height) for k in ks}
     any_of = lambda xs: F.exists(F.array(*xs), lambda x: x)
-    to_grip = F.greatest(*(F.when(F.col(f"_c{k}"), F.lit(k)).otherwise(0) for k in closed))
-    to_height = F.greatest(*(F.when(F.col(f"_c{k}"), F.greatest(F.col(f"_h{k}"), F.lit(0.0))).otherwise(0.0) for k in closed))
+    to_grip = F.greatest(*(F.when(F.col(f"_c{k}"), F.lit(k)).otherwise(0) for k in ks))
+    to_height = F.greatest(*(F.when(F.col(f"_c{k}"), F.greatest(above[k], F.lit(0.0))).otherwise(0.0) for k in ks))
     return rows.withColumns(
-        {"early_gripped": any_of(early), "early_gripped_height_aware": any_of(low), "timestep_to_grip": to_grip, "height_to_grip": to_height, "gripped_on_time": F.col("closed_pred") & ~any_of(early)}
-    ).drop(*(f"_c{k}" for k in closed), *(f"_h{k}" for k in above))
+        {
+            "is_first_grip": first,
+            "early_gripped": first & any_of([F.col(f"_c{k}") for k in ks]),
+            "early_gripped_height_aware": first & any_of([F.col(f"_c{k}") & (above[k] > rise) for k in ks]),
+            "timestep_to_grip": F.when(first, to_grip).otherwise(0),
+            "height_to_grip": F.when(first, to_height).otherwise(0.0),
+            "gripped_on_time": first & (F.col("closed_pred") | F.col("_next")),
+        }
+    ).drop(*rolls)
 
 
-def conditional_means(df: DataFrame, metrics: dict[str, tuple[str, Sequence[str]]] = METRICS, conditions: Sequence[str] = CONDITIONS, group: Sequence[str] = ()) -> DataFrame:
+def conditional_means(df: DataFrame, metrics: dict[str, tuple[str, Sequence[str]]] = METRICS, conditions: Sequence[str] = (), group: Sequence[str] = ()) -> DataFrame:
     """``metric, condition, value`` (and the group): each quantity's mean over the steps where all its conditions hold; null over none.
 
+    Each metric is told over ``all`` steps and over those of each further condition.
+
     All means are made in one pass; steps of all trajectories count alike.
     """
     out = []
     for name, (quantity, own) in metrics.items():
         for c in ("all", *conditions):
-            where = [F.coalesce(F.col(x), F.lit(False)) for x in (*own, *(() if c == "all" else (c,)))]
+            where = [F.coalesce(F.col(f"`{x}`"), F.lit(False)) for x in (*own, *(() if c == "all" else (c,)))]
             x = F.col(quantity).cast("double")
             for w in where:
                 x = F.when(w, x)

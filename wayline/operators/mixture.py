@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wayline.functions.uniform import uniform
 
@@ -15,14 +16,21 @@ BLOCK = 1 << 20
 
 
 def numbered(df: DataFrame, by: Column, ties: Sequence[str] = (), name: str = "rn", parts: int | None = None) -> DataFrame:
-    """Row numbers from 1 in the order of a number and the ties, without gathering all rows in one task.
+    """Row numbers from 1 in the order of a column and the ties, without gathering all rows in one task.
 
-    Rows fall into ranges of the number; the ranges' sizes, a few numbers on
-    the driver, give each range its first row number. Rows of one range (all
-    those of a number that very many rows share) are sorted together.
+    Rows fall into ranges of a number that grows with the column: the column as
+    a double, or of a text its first six bytes. The ranges' sizes, a few numbers
+    on the driver, give each range its first row number. Rows of one range (all
+    those of a value that very many rows share) are sorted together.
     """
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.withColumn("_by", by.cast("double"))
+    rows = df.withColumn("_own", by)
+    kind = rows.schema["_own"].dataType
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        start = F.rpad(F.hex(F.substring(F.col("_own").cast("binary"), 1, 6)), 12, "0")
+        rows = rows.withColumn("_by", F.conv(start, 16, 10).cast("double"))
+    else:
+        rows = rows.withColumn("_by", F.col("_own").cast("double"))
     cuts = rows.agg(F.percentile_approx("_by", [i / parts for i in range(1, parts)], 20 * parts).alias("q")).first()["q"] if parts > 1 else None
     cuts = sorted(set(cuts or []))
     part = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c <= F.col("_by"))) if cuts else F.lit(0)
@@ -32,14 +40,14 @@ def numbered(df: DataFrame, by: Column, ties: Sequence[str] = (), name: str = "r
     for p in sorted(sizes):
         before[p], total = total, total + sizes[p]
     offset = F.create_map(*(F.lit(x) for p, n in before.items() for x in (p, n))) if before else None
-    place = F.row_number().over(Window.partitionBy("_part").orderBy("_by", *ties))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("_own", *ties))
     out = rows.withColumn(name, (place + (offset[F.col("_part")] if before else F.lit(0))).cast("long"))
-    return out.drop("_by", "_part")
+    return out.drop("_own", "_by", "_part")
 
 
 def split(df: DataFrame, key: str, share: float = 0.95, name: str = "split") -> DataFrame:
     """``train`` for the first share of the trajectories by key, rounded to a whole number of them, ``val`` for the rest."""
-    keys = numbered(df.select(key).distinct(), F.col(key), name="_rn")
+    keys = numbered(df.select(key).distinct(), F.col(key), name="_rn")  # keys of any type that has an order
     n = keys.count()
     last = int(np.floor(share * n + 0.5))
     edge = keys.where(F.col("_rn") == last).select(key).first()
@@ -54,11 +62,13 @@ def balanced(weights: DataFrame, balance: bool = True) -> DataFrame:
 
 
 def allocate(n: int, weights: Sequence[float]) -> list[int]:
-    """n units by weight, at least one each, by largest remainders; an error if there are fewer units than weights."""
+    """n units by weight, by largest remainders (of equal ones the last first): at least one for each weight above zero, none for zero; an error if there are fewer units than weights."""
     w = np.asarray(weights, dtype=float)
     if (w < 0).any() or n < len(w):
         raise ValueError("weights must not be negative, nor more than the units")
-    out, left, open_ = np.zeros(len(w), dtype=int), n, np.ones(len(w), dtype=bool)
+    out, left, open_ = np.zeros(len(w), dtype=int), n, w > 0
+    if not open_.any():
+        raise ValueError("no weight is above zero")
     while True:
         share = np.where(open_, w / max(w[open_].sum(), 1e-300) * left, 0)
         small = open_ & (share < 1)
@@ -71,18 +81,33 @@ def allocate(n: int, weights: Sequence[float]) -> list[int]:
             return out.tolist()
     whole = np.floor(share).astype(int)
     out[open_] = whole[open_]
-    for i in np.argsort(-(share - whole) * open_, kind="stable")[: left - int(whole[open_].sum())]:
+    for i in np.argsort((share - whole) * open_, kind="stable")[::-1][: left - int(whole[open_].sum())]:
         out[i] += 1
     return out.tolist()
 
 
 def allocated(rows: DataFrame, n: int, weight: str = "sampling_weight") -> DataFrame:
-    """``units`` of n by largest remainders, for weights that sum to 1."""
-    share = F.col(weight) * n
-    whole = F.floor(share)
-    order = Window.orderBy(F.desc(share - whole), "name")  # one row for each source
-    left = F.lit(n) - F.sum(whole).over(Window.partitionBy())
-    return rows.withColumn("units", (whole + (F.row_number().over(order) <= left).cast("int")).cast("long"))
+    """``units`` of n for each row, as ``allocate`` deals them out to the rows in the order of ``name``.
+
+    Sources that would get less than one unit get one, the lightest first;
+    each takes more from the rest than its share, so the next may fall below
+    one too, until the first that does not. There is a row for each source, so
+    few that one task takes them all.
+    """
+    lightest = Window.orderBy(weight, "name")
+    before, everyone = lightest.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    some = F.when(F.col(weight) > 0, 1).otherwise(0)
+    left = F.lit(n) - F.coalesce(F.sum(some).over(before), F.lit(0))
+    unit = left / (F.sum(weight).over(everyone) - F.coalesce(F.sum(weight).over(before), F.lit(0.0)))
+    out = rows.withColumn("_one", (F.col(weight) > 0) & (F.col(weight) * unit < 1))
+    enough = F.max((~F.col("_one") & (F.col(weight) > 0)).cast("int")).over(lightest.rowsBetween(Window.unboundedPreceding, 0)) == 1
+    out = out.withColumn("_open", enough)
+    rest = F.lit(n) - F.sum(F.when(~F.col("_open"), some).otherwise(0)).over(everyone)
+    share = F.when(F.col("_open"), F.col(weight) * rest / F.sum(F.when(F.col("_open"), F.col(weight))).over(everyone)).otherwise(some.cast("double"))
+    out = out.withColumn("_share", share).withColumn("_whole", F.floor("_share"))
+    remainder = Window.orderBy(F.desc(F.col("_share") - F.col("_whole")), F.desc("name"))
+    spare = F.lit(n) - F.sum("_whole").over(everyone)
+    return out.withColumn("units", (F.col("_whole") + (F.row_number().over(remainder) <= spare).cast("int")).cast("long")).drop("_one", "_open", "_share", "_whole")
 
 
 def interleaved(frames: DataFrame, weights: DataFrame, n: int, seed: int = 0, name: str = "name") -> DataFrame:

@@ -21,29 +21,36 @@ def goal_index(u: Column, n: Column, most_ahead: int | None = None, t: Column |
 def relabel_goals(df: DataFrame, columns: Sequence[str], seed: int = 0, most_ahead: int | None = None, key: S.Keys = S.KEY) -> DataFrame:
     """``task_<column>`` of a later step of the same trajectory, and ``task_timestep``, its time.
 
-    The step is found by place in the trajectory's values, which the window has sorted; no join is needed.
+    A trajectory becomes one row of its steps in order, in which the goal is
+    found by its place; so a trajectory of n steps costs n, and nothing is joined.
     """
     u = uniform("goal", seed, *(F.col(k) for k in key), F.col("t"))
-    out = df.withColumn("task_timestep", goal_index(u, S.length(key), most_ahead))
-    seen = out.withColumn("_all", F.collect_list(F.struct(*columns)).over(S.whole(key)))
-    goal = F.get("_all", F.col("task_timestep"))
-    return seen.select(*out.columns, *(goal[c].alias(f"task_{c}") for c in columns))
+    one = S.nested(df.withColumn("_u", u), key)
+
+    def with_goal(step: Column) -> Column:
+        there = goal_index(step["_u"], F.size("steps"), most_ahead, step["t"])
+        rest = (step[c].alias(c) for c in df.columns if c not in key)
+        return F.struct(*rest, there.alias("task_timestep"), *(F.get(F.col("steps"), there)[c].alias(f"task_{c}") for c in columns))
+
+    out = one.select(*key, F.inline(F.transform("steps", with_goal)))
+    return out.select(*df.columns, "task_timestep", *(f"task_{c}" for c in columns))
 
 
 def rephrase(df: DataFrame, phrases: DataFrame, prob: float, seed: int = 0, column: str = "language_instruction", key: S.Keys = S.KEY) -> DataFrame:
     """Instructions replaced by one of their paraphrases, or themselves.
 
     ``phrases`` holds ``instruction`` and ``paraphrases``, joined by full
-    stops; the first step's instruction is looked up. Each step draws its own
-    candidate, each trajectory whether it is rephrased at all; one with an
-    empty instruction never is. The table is left to the optimiser to
-    broadcast or shuffle.
+    stops; the first step's instruction is looked up, and cut at full
+    stops itself. Each step draws its own candidate, each trajectory whether it
+    is rephrased at all; one with an empty instruction never is. The table is
+    left to the optimiser to broadcast or shuffle.
     """
     first = F.first(column).over(S.whole(key))
     some_empty = F.bool_or(F.octet_length(column) == 0).over(S.whole(key))
     rows = df.withColumns({"_first": first, "_empty": some_empty})
     found = rows.join(phrases.select(F.col("instruction").alias("_first"), F.col("paraphrases").alias("_para")), "_first", "left")
-    options = F.split(F.concat_ws(".", F.col("_first"), F.coalesce("_para", F.lit(""))), r"\.")
+    more = F.when(F.octet_length("_para") > 0, F.concat(F.lit("."), F.col("_para"))).otherwise("")
+    options = F.split(F.concat(F.col("_first"), more), r"\.")
     pick = F.floor(uniform("phrase", seed, *(F.col(k) for k in key), F.col("t")) * F.size(options)).cast("int")
     coin = uniform("rephrase", seed, *(F.col(k) for k in key)) < prob
     return found.withColumn(column, F.when(coin & ~F.col("_empty"), F.get(options, pick)).otherwise(F.col(column))).select(*df.columns)
@@ -54,7 +61,8 @@ def delete_conditioning(df: DataFrame, images: Sequence[str], keep_image_prob: f
 
     Images stay by a coin, and where there is no instruction; ``task_timestep``
     is the goal's where they stay and the last step's where not.
-    ``keep_images`` tells which. Without images or instruction nothing changes.
+    ``keep_images`` tells which, and so does ``pad_mask_dict``, where there is
+    one. Without images or instruction nothing changes.
     """
     if language not in df.columns or not images:
         return df.withColumn("keep_images", F.lit(True))
@@ -64,11 +72,21 @@ def delete_conditioning(df: DataFrame, images: Sequence[str], keep_image_prob: f
     gone[language] = F.when(F.col("keep_images"), F.lit("")).otherwise(F.col(language))
     if "task_timestep" in df.columns:
         gone["task_timestep"] = F.when(F.col("keep_images"), F.col("task_timestep")).otherwise(F.col("_last"))
+    gone |= _masked(df, {c: F.col("keep_images") for c in images} | {language: ~F.col("keep_images")})
     return out.withColumns(gone).drop("_last")
 
 
+def _masked(df: DataFrame, stays: dict[str, Column]) -> dict[str, Column]:
+    """``pad_mask_dict`` after some of its columns have stayed or gone, if there is one."""
+    if "pad_mask_dict" not in df.columns:
+        return {}
+    own = [f.name for f in df.schema["pad_mask_dict"].dataType.fields]
+    kept = ((F.col(f"pad_mask_dict.`{c}`") & stays[c] if c in stays else F.col(f"pad_mask_dict.`{c}`")).alias(c) for c in own)
+    return {"pad_mask_dict": F.struct(*kept)}
+
+
 def drop_images(df: DataFrame, images: Sequence[str], prob: float, seed: int = 0, always_keep: str | None = None, key: S.Keys = S.KEY) -> DataFrame:
-    """Images replaced by padding, each by a coin; one that is there, drawn by the step, always stays. ``<image>_kept`` tells."""
+    """Images replaced by padding, each by a coin; one that is there, drawn by the step, always stays. ``<image>_kept`` tells, and so does ``pad_mask_dict``, where there is one."""
     there = F.filter(F.array(*(F.when(F.octet_length(c) != 0, F.lit(c)) for c in images)), lambda x: x.isNotNull())
     own = [*(F.col(k) for k in key), F.col("t")]
     pick = F.get(there, F.floor(uniform("keep", seed, *own) * F.size(there)).cast("int"))
@@ -76,7 +94,8 @@ def drop_images(df: DataFrame, images: Sequence[str], prob: float, seed: int = 0
     for c in images:
         stays = (F.octet_length(c) != 0) & ((F.col("_keep") == c) | (uniform("drop", seed, F.lit(c), *own) >= prob))
         out = out.withColumn(f"{c}_kept", F.coalesce(stays, F.lit(False)))
-    return out.withColumns({c: F.when(F.col(f"{c}_kept"), F.col(c)).otherwise(S.padding_of(df.schema[c].dataType)) for c in images}).drop("_keep")
+    gone = {c: F.when(F.col(f"{c}_kept"), F.col(c)).otherwise(S.padding_of(df.schema[c].dataType)) for c in images}
+    return out.withColumns(gone | _masked(df, {c: F.col(f"{c}_kept") for c in images})).drop("_keep")
 
 
 def pick_column(columns: Sequence[str], seed: int, key: S.Keys = S.KEY) -> Column:

@@ -9,6 +9,7 @@ with ``+``.
 
 from __future__ import annotations
 
+import fnmatch
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -21,6 +22,7 @@ from pyspark.sql.functions import pandas_udf
 
 from wayline.functions import vectors as V
 from wayline.operators import steps as S
+from wayline.operators.relabel import pick_column
 
 
 class Vec:
@@ -112,8 +114,10 @@ def inflated(values: Column, width: int) -> Column:
 
 
 def spoken_from_codes(codes: Column) -> Column:
-    """Text of code points up to the first zero (Latin-1 code points)."""
-    return F.substring_index(F.array_join(F.transform(codes, lambda c: F.call_function("chr", c.cast("bigint"))), ""), F.call_function("chr", F.lit(0).cast("bigint")), 1)
+    """Text of code points up to the first zero."""
+    zero_at = F.array_position(codes, F.lit(0)).cast("int")
+    own = F.slice(codes, F.lit(1), F.when(zero_at > 0, zero_at - 1).otherwise(F.size(codes)))
+    return F.decode(F.unhex(F.array_join(F.transform(own, lambda c: F.lpad(F.hex(c), 8, "0")), "")), "UTF-32")
 
 
 def _relabelled(df: DataFrame) -> DataFrame:
@@ -128,9 +132,10 @@ def _joint_steps(df: DataFrame) -> DataFrame:
 
 
 def _plane_start(df: DataFrame) -> DataFrame:
-    """Trajectories of two steps or more, every third step, with the scale of the first action to the first move."""
+    """Trajectories of two steps or more, every third step, with the scale of the first action to the first move: infinite if that is none, NaN if the action is none too."""
     df = S.longer_than(df, 1).withColumns({"_p": vec("observation.position").col, "_a": vec("action").col})
-    scale = V.norm(S.at_step("_a", 0)) / F.sqrt(V.squared_distance(S.at_step("_p", 1), S.at_step("_p", 0)))
+    first, move = V.norm(S.at_step("_a", 0)), F.sqrt(V.squared_distance(S.at_step("_p", 1), S.at_step("_p", 0)))
+    scale = F.when(move > 0, F.try_divide(first, move)).when(first > 0, float("inf")).otherwise(float("nan"))
     return S.stride(df.withColumn("_scale", scale).drop("_p", "_a"), 3)
 
 
@@ -140,6 +145,17 @@ def _plane_end(df: DataFrame) -> DataFrame:
     return S.drop_last(rows.withColumn("action", F.array(x * F.col("_scale"), y * F.col("_scale")))).drop("_p", "_d", "_scale")
 
 
+def _first_channel(df: DataFrame, *names: str) -> DataFrame:
+    """Depths that are rows of points of channels, cut to rows of their first channel; others stay."""
+    own = df.schema["observation"].dataType
+    out = F.col("observation")
+    for name in names:
+        if name in own.fieldNames() and own[name].dataType.simpleString().startswith("array<array<array<"):
+            cut = F.transform(F.col(f"observation.`{name}`"), lambda row: F.transform(row, lambda point: F.get(point, 0).cast("float")))
+            out = out.withField(f"`{name}`", cut)
+    return df.withColumn("observation", out)
+
+
 def _inflate_state(df: DataFrame) -> DataFrame:
     return df.withColumns({"_pose": inflated(F.col("observation.`clip_function_input/base_pose_tool_reached`"), 7), "_closed": inflated(F.col("observation.gripper_closed"), 1)})
 
@@ -161,15 +177,15 @@ SPECS: dict[str, Spec] = {
     ),
     "toto": Spec(lambda: MOVE() + num("action.open_gripper"), STATE, "blank"),
     "language_table": Spec(
-        lambda: A() + zero(2) + zero(2) + one(1), lambda: O("effector_translation"),
+        lambda: A() + A().map(lambda _: F.lit(0.0)) + A().map(lambda _: F.lit(0.0)) + one(1), lambda: O("effector_translation"),
         after=lambda df: df.withColumn("language_instruction", spoken_from_codes(F.col("observation.instruction"))),
     ),
     "columbia_cairlab_pusht_real": Spec(lambda: MOVE() + num(GRIPPER), lambda: O("robot_state"), SPOKEN),
-    f"stanford_kuka_multimodal_dataset{RLDS}": Spec(lambda: A()[:3] + zero(3) + A()[-1:], lambda: O("ee_position") + O("ee_orientation")),
+    f"stanford_kuka_multimodal_dataset{RLDS}": Spec(lambda: A()[:3] + zero(3) + A()[-1:], lambda: O("ee_position") + O("ee_orientation"), after=lambda df: _first_channel(df, "depth_image")),
     f"nyu_rot_dataset{RLDS}": Spec(lambda: A()[:7], STATE),
     f"stanford_hydra_dataset{RLDS}": Spec(lambda: A()[:6] + inverted(A()[-1:]), lambda: STATE()[:3] + STATE()[7:10] + STATE()[-3:-2], "blank"),
     f"austin_buds_dataset{RLDS}": Spec(SOFT, lambda: STATE()[:8], "blank"),
-    f"nyu_franka_play_dataset{RLDS}": Spec(lambda: A()[-8:-2] + clipped(A()[-2:-1]), lambda: STATE()[-6:], "blank"),
+    f"nyu_franka_play_dataset{RLDS}": Spec(lambda: A()[-8:-2] + clipped(A()[-2:-1]), lambda: STATE()[-6:], "blank", after=lambda df: _first_channel(df, "depth", "depth_additional_view")),
     f"maniskill_dataset{RLDS}": Spec(None, lambda: O("tcp_pose") + STATE()[7:8]),
     f"furniture_bench_dataset{RLDS}": Spec(lambda: A()[:3] + euler(A()[3:7]) + inverted(clipped(A()[-1:])), lambda: STATE()[:7] + STATE()[-1:]),
     f"cmu_franka_exploration_dataset{RLDS}": Spec(FIRST_OUT, lambda: zero(1)),
@@ -240,13 +256,19 @@ def standardised(df: DataFrame, name: str) -> DataFrame:
     return spec.after(df) if spec.after else df
 
 
-def restructured(df: DataFrame, name: str, images: dict[str, str | None] | None = None, depths: dict[str, str | None] | None = None, proprio: bool = False, language: bool = True) -> DataFrame:
-    """Standard steps: ``dataset_name, traj, t``, ``image_*`` and ``depth_*`` (empty where a view is None), ``proprio``, ``timestep``, ``language_instruction``, ``action``."""
+def restructured(df: DataFrame, name: str, images: dict[str, str | None] | None = None, depths: dict[str, str | None] | None = None, proprio: bool = False, language: str | None = "language_instruction", seed: int = 0) -> DataFrame:
+    """Standard steps: ``dataset_name, traj, t``, ``image_*`` and ``depth_*`` (empty where a view is None), ``proprio``, ``timestep``, ``language_instruction``, ``action``.
+
+    ``language`` names the column of instructions; of several that match it as a pattern each trajectory draws one. It must be text.
+    """
     rows = standardised(df, name)
     views = [(f"{kind}_{new}", old) for kind, own in (("image", images), ("depth", depths)) for new, old in (own or {}).items()]
     cols = [(F.lit(b"") if old is None else F.col(f"observation.`{old}`").cast("binary")).alias(new) for new, old in views]
     if proprio:
         cols.append(F.col("proprio").cast("array<double>"))
     if language:
-        cols.append(F.col("language_instruction"))
+        own = fnmatch.filter(rows.columns, language)
+        if bad := [c for c in own if rows.schema[c].dataType.simpleString() != "string"]:
+            raise ValueError(f"{', '.join(bad)} must be text")
+        cols.append(pick_column(own, seed).alias("language_instruction"))
     return rows.select(F.lit(name).alias("dataset_name"), "traj", "t", F.col("t").alias("timestep"), *cols, F.col("action").cast("array<double>").alias("action"))

@@ -12,17 +12,20 @@ from pyspark.sql import functions as F
 from wayline.functions import vectors as V
 
 
-def statistics(df: DataFrame, column: str, group: Sequence[str] = (), traj: Sequence[str] = ("traj",), exact: bool = True) -> DataFrame:
+def statistics(df: DataFrame, column: str, group: Sequence[str] = (), traj: Sequence[str] = ("traj",), exact: bool = False) -> DataFrame:
     """For each group and dimension: mean, population deviation, extremes, 1st and 99th percentile, and the numbers of steps and trajectories.
 
-    Exact percentiles interpolate and keep the counts of distinct values of a
-    group; with ``exact=False`` they are approximate, in bounded memory.
+    Percentiles are approximate (to a ten-thousandth of the rows) in bounded
+    memory. With ``exact=True`` they are exact and interpolated, which keeps the
+    counts of all distinct values of a group's dimension in one task.
     """
-    q = (lambda p: F.percentile("x", F.lit(p))) if exact else (lambda p: F.percentile_approx("x", p, 10_000))
+    ends = F.array(F.lit(0.01), F.lit(0.99))
+    q = F.percentile("x", ends) if exact else F.percentile_approx("x", ends, 10_000)
     flat = df.select(*group, F.posexplode(F.col(column)).alias("dim", "x"))
     by_dim = flat.groupBy(*group, "dim").agg(
-        F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.max("x").alias("max"), F.min("x").alias("min"), q(0.99).alias("p99"), q(0.01).alias("p01")
+        F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.max("x").alias("max"), F.min("x").alias("min"), q.alias("_q")
     )
+    by_dim = by_dim.withColumns({"p99": F.get("_q", 1), "p01": F.get("_q", 0)}).drop("_q")
     counts = df.groupBy(*group).agg(F.count("*").alias("num_transitions"), F.count_distinct(*traj).alias("num_trajectories"))
     if not group:
         return by_dim.crossJoin(F.broadcast(counts))  # one row
@@ -53,12 +56,12 @@ def vectors_of(stats: DataFrame, group: Sequence[str] = ()) -> DataFrame:
 
 
 def normalized(df: DataFrame, stats: DataFrame, column: str, kind: str = "normal", mask: Sequence[bool] | None = None, group: Sequence[str] = ()) -> DataFrame:
-    """The column normalised by the rows of ``vectors_of``: one for each group, so few that they are broadcast."""
+    """The column normalised by the rows of ``vectors_of``: one row without a group, which is broadcast; rows of groups are left to the optimiser, which knows their size."""
     if kind not in ("normal", "bounds"):
         raise ValueError(f"unknown kind of normalisation: {kind}")
     m = None if mask is None else F.array(*(F.lit(bool(x)) for x in mask))
-    s = F.broadcast(stats.select(*group, F.struct("mean", "std", "p01", "p99").alias("_s")))
-    both = df.join(s, list(group)) if group else df.crossJoin(s)
+    s = stats.select(*group, F.struct("mean", "std", "p01", "p99").alias("_s"))
+    both = df.join(s, list(group)) if group else df.crossJoin(F.broadcast(s))
     if kind == "normal":
         z = V.normalize(F.col(column), F.col("_s.mean"), F.col("_s.std"), m)
     else:

@@ -93,10 +93,13 @@ def pad_mask(df: DataFrame, columns: Sequence[str]) -> Column:
 
 def pad_vectors(df: DataFrame, max_action_dim: int | None = None, max_proprio_dim: int | None = None, action: str = "action", proprio: str = "proprio") -> DataFrame:
     """Vectors filled up with zeros on the right, and ``action_pad_mask``, true for the dimensions that were there."""
-    out = df.withColumn("action_pad_mask", F.transform(action, lambda _: F.lit(True)))
+    chunks = isinstance(df.schema[action].dataType.elementType, T.ArrayType)
+    one = F.get(action, 0) if chunks else F.col(action)
+    out = df.withColumn("action_pad_mask", F.transform(one, lambda _: F.lit(True)))
     if max_action_dim is not None:
-        fill = F.array_repeat(F.lit(False), F.greatest(F.lit(max_action_dim) - F.size(action), F.lit(0)))
-        out = out.withColumn("action_pad_mask", F.concat("action_pad_mask", fill)).withColumn(action, V.pad_right(F.col(action), max_action_dim))
+        fill = F.array_repeat(F.lit(False), F.greatest(F.lit(max_action_dim) - F.size(one), F.lit(0)))
+        padded = F.transform(action, lambda v: V.pad_right(v, max_action_dim)) if chunks else V.pad_right(F.col(action), max_action_dim)
+        out = out.withColumn("action_pad_mask", F.concat("action_pad_mask", fill)).withColumn(action, padded)
     if max_proprio_dim is not None and proprio in df.columns:
         out = out.withColumn(proprio, V.pad_right(F.col(proprio), max_proprio_dim))
     return out
@@ -137,16 +140,20 @@ def first_of_chunk(column: str, size: int, chunk: Column) -> Column:
 def chunked(df: DataFrame, observations: Sequence[str], window: int = 1, horizon: int = 1, action: str = "action", goal: str | None = None, key: Keys = KEY) -> DataFrame:
     """Observations as histories, the action as a history of futures, and their masks.
 
+    An action that is made of chunks already (vectors of vectors) is cut to the
+    horizon instead of chunked; chunks shorter than that are an error.
+
     ``task_completed`` compares the goal's time (that of the last step if no
     column gives it) with a time counted from ``window + 1`` steps back: so the
     end is seen two steps late, by definition. ``action_pad_mask`` holds for
     dimensions that are there, until the task is completed.
     """
+    ready = isinstance(df.schema[action].dataType.elementType, T.ArrayType)
     n = length(key)
     out = df.withColumn("_goal", F.coalesce(F.col(goal), n - 1) if goal else n - 1)
     if "action_pad_mask" not in df.columns:
-        out = out.withColumn("action_pad_mask", F.transform(action, lambda _: F.lit(True)))
-    out = out.withColumn("_future", future(action, horizon, key))
+        out = out.withColumn("action_pad_mask", F.transform(F.col(action)[0] if ready else F.col(action), lambda _: F.lit(True)))
+    out = out.withColumn("_future", first_of_chunk(action, horizon, F.col(action)) if ready else future(action, horizon, key))
     out = out.select("*", *(history(c, window, key).alias(f"_h_{c}") for c in (*observations, "_future")))
     done = F.array(*(F.array(*(F.col("_goal") - (F.col("t") - (window + 1) + w + h) <= 0 for h in range(horizon))) for w in range(window)))
     out = out.withColumns({"timestep_pad_mask": history_mask(window), "task_completed": done})
@@ -169,11 +176,24 @@ def stride(df: DataFrame, k: int) -> DataFrame:
     return df.where(F.col("t") % k == 0).withColumn("t", (F.col("t") / k).cast("int"))
 
 
-def rolled(column: str, k: int, key: Keys = KEY) -> Column:
-    """The value k steps before (after, for negative k), going around the ends."""
-    n = length(key)
-    all_ = F.collect_list(F.struct("t", column)).over(whole(key))
-    return F.get(all_, F.pmod(F.col("t") - k, n).cast("int"))[column]
+def rolled(df: DataFrame, wanted: dict[str, tuple[str, int]], key: Keys = KEY) -> DataFrame:
+    """Columns, each of a name, a column and k: its value k steps before (after, for negative k), going around the ends.
+
+    Neighbours come from the window; only the few values at the ends, which
+    go around, are gathered, so a trajectory of n steps costs n.
+    """
+    most = max(abs(k) for _, k in wanted.values())
+    columns = sorted({c for c, _ in wanted.values()})
+    df = df.withColumn("_n", length(key))
+    ends = {"_first": F.col("t") < most, "_last": F.col("t") >= F.col("_n") - most}
+    df = df.withColumns({name: F.collect_list(F.when(near, F.struct("t", *columns))).over(whole(key)) for name, near in ends.items()})
+    out = {}
+    for name, (column, k) in wanted.items():
+        there = F.pmod(F.col("t") - k, F.col("_n")).cast("int")
+        around = F.get("_first", there) if k < 0 else F.get("_last", there - (F.col("_n") - F.size("_last")).cast("int"))
+        beside = F.lag(column, k).over(by(key)) if k > 0 else F.lead(column, -k).over(by(key))
+        out[name] = F.when((F.col("t") - k >= 0) & (F.col("t") - k < F.col("_n")), beside).otherwise(around[column])
+    return df.withColumns(out).drop("_n", *ends)
 
 
 def at_step(column: str, t: int, key: Keys = KEY) -> Column:

@@ -61,7 +61,12 @@ class TrajectoryTransforms:
 
 @dataclass(frozen=True)
 class Source:
-    """A named source: its steps, filters of raw steps, its standard form and how it is normalised."""
+    """A named source: its steps, filters of raw steps, its standard form and how it is normalised.
+
+    ``mask`` says which dimensions of the action are normalised; ``given`` may
+    hold rows of ``statistics.vectors_of`` for ``action`` and ``proprio``;
+    with ``skip_norm`` both stay as they are.
+    """
 
     name: str
     steps: DataFrame
@@ -70,23 +75,34 @@ class Source:
     kind: str = "normal"
     mask: Sequence[bool] | None = None
     weight: float = 1.0
-    extra: dict = field(default_factory=dict)
+    given: dict[str, DataFrame] = field(default_factory=dict)
+    skip_norm: bool = False
 
     def standard_steps(self) -> DataFrame:
         return self.standard(reduce(lambda d, f: f(d), self.filters, self.steps))
 
 
-def single(source: Source, transforms: TrajectoryTransforms, split: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Steps of one source, normalised by the statistics of all of it, and these."""
+def single(source: Source, transforms: TrajectoryTransforms, split: str | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Steps of one source, action and proprio (if it has one) normalised by the statistics of all of it, and these."""
     rows = source.standard_steps()
-    stats = statistics.vectors_of(statistics.statistics(rows, "action", traj=transforms.key))
+    stats = dict(source.given)
+    for column in ("action", "proprio"):
+        if column in rows.columns and column not in stats:
+            stats[column] = statistics.vectors_of(statistics.statistics(rows, column, traj=transforms.key))
+    if source.mask is not None:
+        dims = stats["action"].select(F.size("mean")).first()
+        statistics.check_mask(source.mask, dims[0] if dims and dims[0] >= 0 else len(source.mask))
     if split:
         rows = mixture.split(rows, transforms.key[0]).where(F.col("split") == split).drop("split")
-    return transforms(statistics.normalized(rows, stats, "action", source.kind, source.mask)), stats
+    if not source.skip_norm:
+        rows = statistics.normalized(rows, stats["action"], "action", source.kind, source.mask)
+        if "proprio" in rows.columns:
+            rows = statistics.normalized(rows, stats["proprio"], "proprio", source.kind)
+    return transforms(rows), stats
 
 
-def interleaved(sources: Sequence[Source], transforms: TrajectoryTransforms, n: int, balance: bool = True, seed: int = 0) -> DataFrame:
-    """n frames drawn from the sources by weight, each source normalised by its own statistics."""
+def interleaved(sources: Sequence[Source], transforms: TrajectoryTransforms, n: int | None = None, balance: bool = True, seed: int = 0) -> DataFrame:
+    """n frames (by default those of an epoch) drawn from the sources by weight, each source normalised by its own statistics."""
     names = [s.name for s in sources]
     if len({*names}) < len(names):
         raise ValueError("a source is there twice")
@@ -94,9 +110,10 @@ def interleaved(sources: Sequence[Source], transforms: TrajectoryTransforms, n:
     for s in sources:
         rows, stats = single(s, transforms)
         frames.append(numbered_frames(rows, s.name, transforms.key, seed))
-        sizes.append(stats.select(F.lit(s.name).alias("name"), F.lit(float(s.weight)).alias("weight"), F.col("num_transitions")))
-    weights = mixture.balanced(reduce(DataFrame.unionByName, sizes), balance)
-    return mixture.interleaved(reduce(DataFrame.unionByName, frames), weights, n, seed)
+        sizes.append(stats["action"].select(F.lit(s.name).alias("name"), F.lit(float(s.weight)).alias("weight"), F.col("num_transitions")))
+    known = reduce(DataFrame.unionByName, sizes)
+    n = mixture.expected_length(known) if n is None else n
+    return mixture.interleaved(reduce(DataFrame.unionByName, frames), mixture.balanced(known, balance), n, seed)
 
 
 def numbered_frames(rows: DataFrame, name: str, key: Sequence[str], seed: int) -> DataFrame:

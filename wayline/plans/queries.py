@@ -9,14 +9,14 @@ from wayline.functions import vectors as V
 from wayline.functions.uniform import uniform
 from wayline.operators import evaluate, mixture, model, relabel, standardise, statistics
 from wayline.operators import steps as S
-from wayline.plans import views
+from wayline.plans import standards, views
 from wayline.plans.pipelines import Source, TrajectoryTransforms, interleaved, single
 from wayline.plans.views import ARM, EVENTS, ITEMS, drawn, table
 from wayline.sources import catalog
 from wayline.streaming import control
 
-QUERIES: dict[str, object] = {}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, object] = {**standards.QUERIES}
+SQL: dict[str, str] = {**standards.SQL}
 
 
 def query(sql: str | None = None):
@@ -114,9 +114,9 @@ from n x join ev b on x.traj = b.traj and b.t = (((x.t - 3) % x.n) + x.n) % x.n
 window w as (partition by x.traj order by x.t rows between unbounded preceding and unbounded following)
 """)
 def step_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.events(spark, sf_dir).withColumn("a0", at("action", 0))
+    rows = S.rolled(views.events(spark, sf_dir).withColumn("a0", at("action", 0)), {"roll3": ("a0", 3), "roll_minus2": ("a0", -2)})
     return rows.select(
-        "traj", "t", r6(at_of(S.difference_ahead("action"), 0)).alias("ahead"), S.rolled("a0", 3).alias("roll3"), S.rolled("a0", -2).alias("roll_minus2"),
+        "traj", "t", r6(at_of(S.difference_ahead("action"), 0)).alias("ahead"), "roll3", "roll_minus2",
         S.at_step("a0", 0).alias("first_a0"), S.at_step("a0", 1).alias("second_a0"), S.at_step("a0", -1).alias("last_a0"), S.to_end().alias("left_steps"),
     )
 
@@ -204,7 +204,7 @@ s as (select label, dim, avg(x) as mean, stddev_pop(x) as std, max(x) as max, mi
 
 def _embedding_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").withColumn("action", F.col("embedding").cast("array<double>"))
-    return statistics.statistics(e, "action", ["label"], ["vec_id"])
+    return statistics.statistics(e, "action", ["label"], ["vec_id"], exact=True)
 
 
 NUMBERS = ("mean", "std", "max", "min", "p99", "p01")
@@ -232,7 +232,7 @@ select traj, t, round(b, 6) + 0 as b, a1 as unmasked, round(z, 6) + 0 as z, roun
 """)
 def normalisations(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = views.items(spark, sf_dir).withColumn("action", F.slice("action", 1, 2))
-    s = statistics.vectors_of(statistics.statistics(li, "action"))
+    s = statistics.vectors_of(statistics.statistics(li, "action", exact=True))
     both = li.crossJoin(F.broadcast(s))
     mask = F.array(F.lit(True), F.lit(False))
     both = both.withColumns({"b": V.normalize_bounds(F.col("action"), F.col("p01"), F.col("p99"), mask), "z": V.normalize(F.col("action"), F.col("mean"), F.col("std"), mask)})
@@ -253,7 +253,7 @@ def relabelled_goals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 with {EVENTS}, p(instruction, paraphrases) as (select distinct event_type, event_type || ' now.do ' || event_type from events where event_type <> 'error'),
 f as (select *, first_value(lang) {ALL} as f from ev),
-o as (select f.*, string_split(f.f || '.' || coalesce(paraphrases, ''), '.') as o from f left join p on p.instruction = f.f)
+o as (select f.*, string_split(f.f || case when coalesce(paraphrases, '') <> '' then '.' || paraphrases else '' end, '.') as o from f left join p on p.instruction = f.f)
 select traj, t, case when {drawn('rephrase', "'3'", 'traj')} < 0.5 then o[(floor({drawn('phrase', "'3'", 'traj', 't')} * len(o)) + 1)::bigint] else lang end as language_instruction from o
 """)
 def rephrased(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,12 +292,33 @@ def conditioning_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relabel.modes(c, ["image"], "text").select("conv_id", "turn", "mode", "text", "image")
 
 
-@query()
+def _listed(column: int, place: int) -> str:
+    return f"nullif(list_filter(string_split(trim(x[{column}]), ' '), lambda y: y <> '')[{place}], '-')"
+
+
+LISTED = f"""
+line as (select unnest(string_split('{catalog.SOURCES.strip()}', chr(10))) as line, unnest(range(len(string_split('{catalog.SOURCES.strip()}', chr(10))))) as i),
+cat as (select i, trim(x[1]) as name, {', '.join(f"{_listed(2 + k // 3, k % 3 + 1)} as {('image', 'depth')[k // 3]}_{v}" for k, v in enumerate([*catalog.VIEWS, *catalog.VIEWS]))},
+  trim(x[4]) as proprio_encoding, trim(x[5]) as action_encoding,
+  case trim(x[5]) when 'EEF_POS' then 7 when 'JOINT_POS' then 8 when 'NAV_2D' then 2 when 'JOINT_POS_BIMANUAL' then 14 when 'JOINT_POS_BIMANUAL_NAV' then 16 end::int as action_dim
+  from (select i, string_split(line, '|') as x from line))"""
+
+
+@query(f"with {LISTED} select * exclude (i) from cat")
 def source_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.catalog_frame(spark)
 
 
-@query()
+@query(f"""
+with {LISTED}, l as (select unnest(string_split('{catalog.MIXES.strip()}', chr(10))) as l, unnest(range(len(string_split('{catalog.MIXES.strip()}', chr(10))))) as k),
+h as (select k, l, last_value(case when l like '%:' then rtrim(l, ':') end ignore nulls) over (order by k) as mix from l),
+e as (select mix, (row_number() over (partition by mix order by k) - 1)::int as pos, string_split(l, ' ')[1] as name, string_split(l, ' ')[2]::double as weight from h where l not like '%:'),
+a as (select * from e where mix <> 'franka' union all select 'rtx_franka', pos, name, weight from e where mix = 'rtx'
+  union all select 'rtx_franka', pos + (select count(*) from e where mix = 'rtx')::int, name, weight from e where mix = 'franka'
+  union all select 'full', i::int, name, 1.0 from cat where i <= (select i from cat where name = 'gnm_dataset')),
+f as (select *, row_number() over (partition by mix, name order by pos) as r from a)
+select mix, pos, f.name, weight, action_encoding, action_dim from f join cat on f.name = cat.name where r = 1
+""")
 def named_mixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixes = catalog.distinct_entries(catalog.mix_frame(spark))
     return mixes.join(catalog.catalog_frame(spark).select("name", "action_encoding", "action_dim"), "name")
@@ -313,9 +334,12 @@ def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 with {SIZES}, w as (select *, weight * num_transitions / sum(weight * num_transitions) over () as sampling_weight from z),
-f as (select *, floor(sampling_weight * 48) as whole from w)
+p as (select *, (48 - count(*) over before) / (sum(sampling_weight) over () - coalesce(sum(sampling_weight) over before, 0)) as unit from w
+  window before as (order by sampling_weight, name rows between unbounded preceding and 1 preceding)),
+o as (select *, bool_or(sampling_weight * unit >= 1) over (order by sampling_weight, name rows between unbounded preceding and current row) as open from p),
+s as (select *, case when open then sampling_weight * (48 - count(*) filter (where not open) over ()) / sum(sampling_weight) filter (where open) over () else 1.0::double end as share from o)
 select name, num_transitions, round(sampling_weight, 6) as sampling_weight,
-  (whole + case when row_number() over (order by sampling_weight * 48 - whole desc, name) <= 48 - sum(whole) over () then 1 else 0 end)::bigint as units from f
+  (floor(share) + case when row_number() over (order by share - floor(share) desc, name desc) <= 48 - sum(floor(share)) over () then 1 else 0 end)::bigint as units from s
 """)
 def balanced_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = mixture.allocated(mixture.balanced(_sizes(spark, sf_dir)), 48)
@@ -324,7 +348,7 @@ def balanced_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 with {SIZES}, w as (select *, sum(weight * num_transitions) over (order by name) / sum(weight * num_transitions) over () as upto, row_number() over (order by name) - 1 as i from z),
-s as (select slot, {drawn('slot', "'1'", 'slot')} as u from (select unnest(range(3000)) as slot)),
+s as (select slot, {drawn('slot', "'1'", 'slot')} as u from (select unnest(range((select floor(sum(num_transitions * weight) * 0.95)::bigint from z))) as slot)),
 p as (select slot, least((select count(*) from w where upto <= u), 9) as i from s),
 q as (select slot, w.name, (row_number() over (partition by w.name order by slot) - 1) % num_transitions as frame_no from p join w using (i)),
 f as (select label::varchar as name, row_number() over (partition by label order by vec_id) - 1 as frame_no, vec_id from embeddings)
@@ -334,7 +358,8 @@ def interleaved_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = table(spark, sf_dir, "embeddings").select(
         F.col("label").cast("string").alias("name"), (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("long").alias("frame_no"), "vec_id"
     )
-    return mixture.interleaved(frames, mixture.balanced(_sizes(spark, sf_dir)), 3000, 1).select("slot", "name", "frame_no", "vec_id")
+    sizes = _sizes(spark, sf_dir)
+    return mixture.interleaved(frames, mixture.balanced(sizes), mixture.expected_length(sizes), 1).select("slot", "name", "frame_no", "vec_id")
 
 
 @query(f"""
@@ -369,32 +394,38 @@ def step_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 AROUND = f"""{METRIC_SQL},
 r as (select s.*, b.cq as cb, a.cq as ca, o.cq as co, s.n - s.t as left_steps from s
   join s b on b.traj = s.traj and b.t = (((s.t - 3) % s.n) + s.n) % s.n join s a on a.traj = s.traj and a.t = (s.t + 3) % s.n join s o on o.traj = s.traj and o.t = (s.t - 1 + s.n) % s.n),
-g as (select *, not cb and ca as gripping, cb and not ca as releasing, cb <> ca as gripper_changing, cq and not co as is_first_grip, left_steps < 10 as under_10_to_end, left_steps > 20 as over_20_to_end from r)"""
+h as (select *, (cq and not cb) or (ca and not cq) as gripping, (cb and not cq) or (cq and not ca) as releasing, cq and not co as is_first_grip from r),
+g as (select *, gripping or releasing as gripper_changing, not (gripping or releasing) as still, left_steps < 10 as "<10_to_end", left_steps > 20 as ">20_to_end" from h)"""
 
 
-@query(f"with {AROUND} select traj, t, gripping, releasing, gripper_changing, is_first_grip, under_10_to_end, over_20_to_end from g")
+@query(f'with {AROUND} select traj, t, gripping, releasing, gripper_changing, still, is_first_grip, "<10_to_end" as under_10_to_end, ">20_to_end" as over_20_to_end from g')
 def trajectory_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = evaluate.trajectory_metrics(evaluate.step_metrics(views.arm(spark, sf_dir)))
-    return m.select("traj", "t", "gripping", "releasing", "gripper_changing", "is_first_grip", "under_10_to_end", "over_20_to_end")
+    near, far = (F.col(f"`{c}`").alias(a) for c, a in ((evaluate.NEAR_END, "under_10_to_end"), (evaluate.FAR_FROM_END, "over_20_to_end")))
+    return m.select("traj", "t", "gripping", "releasing", "gripper_changing", "still", "is_first_grip", near, far)
 
 
 @query(f"""
-with {METRIC_SQL}
-select s.traj, s.t, {' or '.join(f'j{k}.cp' for k in range(1, 5))} as early_gripped, {' or '.join(f'(j{k}.cp and j{k}.height - s.height > 0.005)' for k in range(1, 5))} as early_gripped_height_aware,
-  greatest({', '.join(f'case when j{k}.cp then {k} else 0 end' for k in range(1, 5))})::int as timestep_to_grip,
-  round(greatest({', '.join(f'case when j{k}.cp then greatest(j{k}.height - s.height, 0.0::double) else 0.0::double end' for k in range(1, 5))}), 6) as height_to_grip, s.cp and not ({' or '.join(f'j{k}.cp' for k in range(1, 5))}) as gripped_on_time
-from s {' '.join(f'join s j{k} on j{k}.traj = s.traj and j{k}.t = (((s.t - {k}) % s.n) + s.n) % s.n' for k in range(1, 5))}
+with {METRIC_SQL},
+e as (select s.traj, s.t, s.cp, s.cq and not j1.cq as g, b.cp as np1, {' or '.join(f'j{k}.cp' for k in range(1, 5))} as early, {' or '.join(f'(j{k}.cp and j{k}.height - s.height > 0.005)' for k in range(1, 5))} as high,
+  greatest({', '.join(f'case when j{k}.cp then {k} else 0 end' for k in range(1, 5))})::int as steps,
+  greatest({', '.join(f'case when j{k}.cp then greatest(j{k}.height - s.height, 0.0::double) else 0.0::double end' for k in range(1, 5))}) as height
+  from s {' '.join(f'join s j{k} on j{k}.traj = s.traj and j{k}.t = (((s.t - {k}) % s.n) + s.n) % s.n' for k in range(1, 5))} join s b on b.traj = s.traj and b.t = (s.t + 1) % s.n)
+select traj, t, g as is_first_grip, g and early as early_gripped, g and high as early_gripped_height_aware, case when g then steps else 0 end as timestep_to_grip,
+  round(case when g then height else 0.0::double end, 6) as height_to_grip, g and (cp or np1) as gripped_on_time from e
 """)
 def early_grips(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = evaluate.early_grip_metrics(evaluate.step_metrics(views.arm(spark, sf_dir)))
-    return m.select("traj", "t", "early_gripped", "early_gripped_height_aware", "timestep_to_grip", r6("height_to_grip").alias("height_to_grip"), "gripped_on_time")
+    return m.select("traj", "t", "is_first_grip", "early_gripped", "early_gripped_height_aware", "timestep_to_grip", r6("height_to_grip").alias("height_to_grip"), "gripped_on_time")
 
 
 def _means_sql() -> str:
     parts = []
-    for name, (quantity, own) in evaluate.METRICS.items():
-        for c in ("all", *evaluate.CONDITIONS):
-            where = " and ".join([*own, *([] if c == "all" else [c])]) or "true"
+    metrics = {"mse": ("mse", []), "xyz_angle": ("xyz_angle", ["moving"]), "xyz_angle_accuracy": ("xyz_angle_accuracy", ["moving"]), "xyz_accuracy": ("xyz_accuracy", ["moving"])}
+    metrics |= {"gripping_accuracy": ("gripper_correct", ["gripper_changing"]), "gripping_accuracy_full": ("gripper_correct", [])}
+    for name, (quantity, own) in metrics.items():
+        for c in ("all", "<10_to_end", ">20_to_end"):
+            where = " and ".join([*own, *([] if c == "all" else [f'"{c}"'])]) or "true"
             parts.append(f"select '{name}' as metric, '{c}' as condition, round(avg({quantity}::double) filter (where {where}), 6) as value from g")
     return f"with {AROUND} {' union all '.join(parts)}"
 
@@ -402,7 +433,7 @@ def _means_sql() -> str:
 @query(_means_sql())
 def conditional_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = evaluate.trajectory_metrics(evaluate.step_metrics(views.arm(spark, sf_dir)))
-    return evaluate.conditional_means(m).select("metric", "condition", r6("value").alias("value"))
+    return evaluate.conditional_means(m, conditions=(evaluate.NEAR_END, evaluate.FAR_FROM_END)).select("metric", "condition", r6("value").alias("value"))
 
 
 @query(f"with {EVENTS}, b as (select lang, traj, avg(a0) as m from ev group by lang, traj) select lang, round(avg(m), 6) as a0 from b group by lang")
@@ -620,14 +651,78 @@ def label_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("lang").agg(F.round(F.avg("quality"), 6).alias("quality"), F.round(F.avg(F.when(F.col("toxic") == 1, F.col("n_chars"))), 4).alias("toxic_chars"), F.count("*").alias("n"))
 
 
-@query()
+@query(f"""
+with {EVENTS}, m as (select avg(a0) as m0, stddev_pop(a0) as s0, avg(a1) as m1, stddev_pop(a1) as s1 from ev),
+k as (select traj, row_number() over (order by traj) as r, count(*) over () as n from (select distinct traj from ev)),
+z as (select traj, t, (a0 - m0) / (s0 + 1e-8::double) as z0, (a1 - m1) / (s1 + 1e-8::double) as z1, count(*) over (partition by traj) as n from ev, m
+  where traj in (select traj from k where r <= floor(0.95 * n + 0.5))),
+b as (select *, bool_and(coalesce(abs(z0) <= 5 and abs(z1) <= 5, false)) over (partition by traj) as keep from z),
+g as (select *, least((t + floor({drawn('goal', "'0'", 'traj', 't')} * (n - t)))::int, (n - 1)::int) as task_timestep,
+  row_number() over (partition by traj order by {drawn('subsample', "'0'", 'traj', 't')}, t) as r from b where keep)
+select g.traj, g.t, g.task_timestep, 2::int as w, round(g.z0, 6) + 0 as now, round(e.z0, 6) + 0 as goal from g join z e on e.traj = g.traj and e.t = g.task_timestep where r <= 30
+""")
 def single_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _ = single(Source("events", views.events(spark, sf_dir)), TrajectoryTransforms(window=2, horizon=4, goals="uniform", goal_columns=("action",), subsample=30, max_action=5.0), "train")
-    return out.select("traj", "t", "task_timestep", F.size("action").alias("w"))
+    return out.select("traj", "t", "task_timestep", F.size("action").alias("w"), r6(at("action", 1, 0, 0)).alias("now"), r6(at("task_action", 0)).alias("goal"))
+
+
+@query(f"""
+with {EVENTS}, p as (select traj, t, a0, a1, a1 * 2 as p0, a0 - a1 as p1 from ev),
+m as (select avg(p0) as m0, stddev_pop(p0) as s0, avg(p1) as m1, stddev_pop(p1) as s1, avg(a0) as m, stddev_pop(a0) as s from p),
+z as (select traj, t, a1, (a0 - m) / (s + 1e-8::double) as z, (p0 - m0) / (s0 + 1e-8::double) as z0, (p1 - m1) / (s1 + 1e-8::double) as z1 from p, m),
+b as (select *, bool_and(coalesce(abs(z0) <= 3 and abs(z1) <= 3, false)) over (partition by traj) as keep from z)
+select traj, t, round(z, 6) + 0 as action0, a1 as action1, 3::int as n_action, round(coalesce(lag(z0) {W}, z0), 6) + 0 as before0, round(z1, 6) + 0 as now1, 4::int as n_proprio from b where keep
+""")
+def proprio_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.events(spark, sf_dir).withColumn("proprio", F.array(at("action", 1) * 2, at("action", 0) - at("action", 1)))
+    transforms = TrajectoryTransforms(window=2, observations=("proprio",), max_proprio=3.0, max_action_dim=3, max_proprio_dim=4)
+    out, _ = single(Source("events", rows, mask=(True, False)), transforms)
+    return out.select(
+        "traj", "t", r6(at("action", 1, 0, 0)).alias("action0"), at("action", 1, 0, 1).alias("action1"), F.size(at("action", 0, 0)).alias("n_action"),
+        r6(at("proprio", 0, 0)).alias("before0"), r6(at("proprio", 1, 1)).alias("now1"), F.size(at("proprio", 0)).alias("n_proprio"),
+    )
+
+
+@query(f"""
+with {EVENTS}, n as (select *, count(*) over (partition by traj) as n from ev)
+select traj, t, coalesce(lag(a0) {W}, a0) as h00, coalesce(lag(a0) {W}, a0) + 1 as h01, a0 as h10, a0 + 1 as h11, 2::int as horizon, not (n - 1 - (t - 3 + 1 + 1) <= 0) as mask11 from n
+""")
+def chunks_as_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunk = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: F.array(at("action", 0) + j))
+    rows = S.pad_vectors(views.events(spark, sf_dir).select("traj", "t", chunk.alias("action")), 2)
+    out = S.chunked(rows, (), window=2, horizon=2)
+    cell = lambda w, h: at("action", w, h, 0)
+    return out.select("traj", "t", cell(0, 0).alias("h00"), cell(0, 1).alias("h01"), cell(1, 0).alias("h10"), cell(1, 1).alias("h11"), F.size(at("action", 0)).alias("horizon"), at("action_pad_mask", 1, 1, 0).alias("mask11"))
 
 
-@query()
+@query(f"""
+with {EVENTS}, i as (select traj, t, lang, case when {drawn('there', 'traj', 't')} < 0.3 then '' else 'a' end as image_a, {drawn('delete', "'4'", 'traj', 't')} < 0.5 or lang = '' as keep from (select traj, t, case when lang = 'error' then '' else lang end as lang from ev)),
+d as (select traj, t, keep, image_a <> '' and keep as a, keep as b, lang <> '' and not keep as said from i),
+k as (select *, case when a and b then case when floor({drawn('keep', "'5'", 'traj', 't')} * 2) = 0 then 'image_a' else 'image_b' end when b then 'image_b' end as stays from d)
+select traj, t, said as has_language, a and (stays = 'image_a' or {drawn('drop', "'5'", "'image_a'", 'traj', 't')} >= 0.6) as has_a, b and (stays = 'image_b' or {drawn('drop', "'5'", "'image_b'", 'traj', 't')} >= 0.6) as has_b from k
+""")
+def masks_in_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = uniform("there", F.col("traj"), F.col("t"))
+    said = F.when(F.col("language_instruction") == "error", "").otherwise(F.col("language_instruction"))
+    rows = views.events(spark, sf_dir).select("traj", "t", said.alias("language_instruction"), F.when(u < 0.3, "").otherwise("a").alias("image_a"), F.lit("b").alias("image_b"))
+    images = ["image_a", "image_b"]
+    rows = rows.withColumn("pad_mask_dict", S.pad_mask(rows, [*images, "language_instruction"]))
+    out = relabel.drop_images(relabel.delete_conditioning(rows, images, 0.5, 4), images, 0.6, 5)
+    return out.select("traj", "t", *(F.col(f"pad_mask_dict.{c}").alias(a) for c, a in (("language_instruction", "has_language"), ("image_a", "has_a"), ("image_b", "has_b"))))
+
+
+@query(f"""
+with {EVENTS}, {ITEMS},
+f as (select 'events' as name, traj, t, row_number() over (order by {drawn('frame', "'0'", 'traj', 't')}, traj, t) - 1 as frame_no from ev
+  union all select 'items', traj, t, row_number() over (order by {drawn('frame', "'0'", 'traj', 't')}, traj, t) - 1 from li),
+z as (select name, count(*) as n, case name when 'events' then 1.0::double else 0.5::double end as weight from f group by name),
+w as (select *, sum(weight * n) over (order by name) / sum(weight * n) over () as upto, row_number() over (order by name) - 1 as i from z),
+s as (select slot, {drawn('slot', "'0'", 'slot')} as u from (select unnest(range((select floor(sum(weight * n) * 0.95)::bigint from z))) as slot)),
+p as (select slot, least((select count(*) from w where upto <= u), 1) as i from s),
+q as (select slot, w.name, (row_number() over (partition by w.name order by slot) - 1) % n as frame_no from p join w using (i))
+select slot, q.name, q.frame_no, traj, t from q join f using (name, frame_no)
+""")
 def mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = views.items(spark, sf_dir).withColumn("action", F.slice("action", 1, 2)).withColumn("language_instruction", F.lit(""))
-    out = interleaved([Source("events", views.events(spark, sf_dir)), Source("items", li, kind="bounds", weight=0.5)], TrajectoryTransforms(horizon=2), 2000)
+    out = interleaved([Source("events", views.events(spark, sf_dir)), Source("items", li, kind="bounds", weight=0.5)], TrajectoryTransforms(horizon=2))
     return out.select("slot", "name", "frame_no", "traj", "t")

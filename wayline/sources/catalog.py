@@ -218,10 +218,13 @@ def mixes() -> dict[str, list[tuple[str, float]]]:
 
 
 def source_config(name: str, views: Sequence[str] = ("primary",), depth: bool = False, proprio: bool = False, language: bool = True) -> dict:
-    """The columns that are wanted of a source, and which dimensions of its action are normalised; an error for a view that it lacks."""
+    """The columns that are wanted of a source, and which dimensions of its action are normalised.
+
+    A view without a column is None and becomes padding; one that no source has is an error.
+    """
     entry = entries()[name]
-    if missing := [v for v in views if entry["images"].get(v) is None]:
-        raise ValueError(f"{name} has no view {', '.join(missing)}")
+    if unknown := [v for v in views if v not in entry["images"]]:
+        raise ValueError(f"{name} has no view {', '.join(unknown)}")
     out = {"name": name, "images": {v: entry["images"][v] for v in views}, "action_normalization_mask": entry["action"].value}
     if depth:
         out["depths"] = {v: entry["depths"][v] for v in views}
@@ -244,7 +247,7 @@ def first_of_each(mix: Iterable[tuple[str, float]]) -> list[tuple[str, float]]:
 
 
 def mix_configs(mix: str | Sequence[tuple[str, float]], **wanted) -> tuple[list[dict], list[float]]:
-    """Configurations and weights of a mix's sources; sources that lack a wanted view are skipped, unknown ones are an error."""
+    """Configurations and weights of a mix's sources; with a warning those are skipped for which a view is unknown, and an unknown source is an error."""
     configs, weights = [], []
     for name, weight in first_of_each(mixes()[mix] if isinstance(mix, str) else mix):
         try:

@@ -20,10 +20,14 @@ def path_of(base: str, name: str, version: str | None = None) -> str:
 
 
 def read_steps(spark: SparkSession, base: str, name: str, key: Sequence[str], order: Sequence[str], shuffle_seed: int | None = None) -> DataFrame:
-    """Steps of a source in Parquet, numbered by ``t``; with a seed, files come in the order of a draw."""
+    """Steps of a source in Parquet, numbered by ``t``; with a seed also ``file_order``, a draw for each file.
+
+    Rows of a table have no order of their own: what reads them file by file in
+    the order of the draw (``mixture.numbered`` by it, say) names the column.
+    """
     df = spark.read.parquet(path_of(base, name))
     if shuffle_seed is not None:
-        df = df.orderBy(uniform("file", shuffle_seed, F.input_file_name()))
+        df = df.withColumn("file_order", uniform("file", shuffle_seed, F.element_at(F.split(F.input_file_name(), "/"), -1)))
     return S.with_t(df, order, key)
 
 
