@@ -25,12 +25,13 @@ documents are not returned, whatever their names.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby, repeat
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,33 +49,42 @@ RATE = 0.01
 SHARD = 1 << 20
 #: Partitions of a round, at most; each holds whole shards, one after the other.
 MOST_PARTS = 10_000
-#: Distinct words that a task counts before it passes them on.
-HELD = 200_000
+#: Words that a task counts before it passes the counts on.
+COUNTED = 4_000_000
 #: Words that are scored at a time.
 BLOCK = 3_000_000
 
 
-def tokens(text: str) -> list[bytes]:
-    """The words with A to Z in lower case; the end is not among them."""
-    return text.encode().lower().split()
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts with A to Z in lower case, one text after the other, and the number of words of each; the ends are not among them."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    words, bounds = split.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])
+    real = pc.greater(pc.binary_length(words), 0)  # blanks at a text's ends leave empty words
+    so_far = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    return words.filter(real), np.diff(so_far[bounds])
 
 
 def count_words(docs: DataFrame) -> DataFrame:
     """``word, c`` for each token of the texts, the end of a text as the empty word; checkpointed."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: Counter[bytes] = Counter()
+    def counted(held: list[pa.Array], ends: int) -> pa.RecordBatch:
+        both = pc.value_counts(pa.concat_arrays([*held, pa.array([], pa.large_string())]))
+        words, n = both.field("values").cast(pa.binary()), both.field("counts")
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([words, pa.array([END], pa.binary())]), pa.concat_arrays([n, pa.array([ends], pa.int64())])], ["word", "c"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Array] = []
+        ends = 0
         for batch in batches:
-            for text in batch["text"]:
-                held.update(tokens(text))
-                if len(held) > HELD:
-                    yield pd.DataFrame({"word": list(held), "c": list(held.values())})
-                    held.clear()
-            held[END] += len(batch)
-        yield pd.DataFrame({"word": list(held), "c": list(held.values())})
+            held.append(tokens(batch.column(0))[0])
+            ends += batch.num_rows
+            if sum(map(len, held)) > COUNTED:
+                yield counted(held, ends)
+                held, ends = [], 0
+        yield counted(held, ends)
 
-    counted = docs.select("text").mapInPandas(count, "word binary, c long")
-    return checkpointed(counted.where("c > 0").groupBy("word").agg(F.sum("c").alias("c")))
+    rows = docs.select("text").mapInArrow(count, "word binary, c long")
+    return checkpointed(rows.where("c > 0").groupBy("word").agg(F.sum("c").alias("c")))
 
 
 class Vocabulary:
@@ -84,17 +94,13 @@ class Vocabulary:
         """``words`` begins with the end of a text; ``rare`` and ``rare_distinct`` are of the classes, without the first WORDS words."""
         self.words, self.counts, self.total, self.distinct = words, counts, total, distinct
         self.rare, self.rare_distinct = rare, rare_distinct
-        self.place: dict[bytes, int] = {}
-
-    def __getstate__(self) -> dict:
-        return {**self.__dict__, "place": {}, "number": None}
 
     def built(self) -> Vocabulary:
-        if not self.place:
-            self.place = {w: i for i, w in enumerate(self.words)}
-            own = np.arange(min(WORDS, len(self.words)))
-            rest = np.array([self._other(w) for w in self.words[WORDS:]], dtype=np.int64)
-            self.number = np.concatenate([own, rest]).astype(np.int32)
+        if not hasattr(self, "values"):
+            self.values = pa.array(self.words, pa.large_binary())
+            number = self._others(self.values)
+            number[:WORDS] = np.arange(min(WORDS, len(number)))
+            self.number = number
             self.log_count = np.log10(self.counts + 0.5)
             self.norm = math.log10(self.total + 0.5 * (self.distinct + 1))
             self.log_share = np.log10(self.rare + 0.5 * (self.rare_distinct + 1))
@@ -105,18 +111,27 @@ class Vocabulary:
         """Numbers below this are words that the model knows."""
         return -(-min(WORDS, len(self.words)) // recurrent.IN) * recurrent.IN
 
-    def _other(self, word: bytes) -> int:
-        return self.frequent + recurrent.tail_row(word) * recurrent.RARE + recurrent.rare_class(word)
-
-    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the words and the end among the frequent ones (-1: none), and their numbers for the model."""
-        at = np.zeros(len(words) + 1, dtype=np.int64)
-        at[:-1] = np.fromiter(map(self.place.get, words, repeat(-1)), dtype=np.int64, count=len(words))
-        number = self.number[at]
-        missing = np.flatnonzero(at < 0)
-        if len(missing):
-            number[missing] = [self._other(words[i]) for i in missing.tolist()]
-        return at, number
+    def _others(self, words: pa.Array) -> np.ndarray:
+        """Numbers of words that the model does not know."""
+        ends, content = np.frombuffer(words.buffers()[1], dtype=np.int64)[words.offset : words.offset + len(words) + 1], words.buffers()[2]
+        content = np.frombuffer(content, dtype=np.uint8) if content is not None else np.zeros(0, dtype=np.uint8)
+        if not len(content):
+            return np.zeros(len(words), dtype=np.int32)
+        rows, classes = recurrent.tail_rows(content, ends), recurrent.rare_classes(content, ends)
+        return (self.frequent + rows * recurrent.RARE + classes).astype(np.int32)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """Of the words and the end of each text, one text after the other: numbers for the model, places among the frequent words (-1: none), and places among the words met (-1: the end); where each text's begin (and the end); and the words met."""
+        words, count = tokens(texts)
+        met = words.dictionary_encode()
+        own = met.dictionary.cast(pa.large_binary())
+        place = np.concatenate([met.indices.to_numpy(), [0]]).astype(np.int64) if len(words) else np.zeros(1, dtype=np.int64)
+        bounds = np.concatenate([[0], np.cumsum(count + 1)])
+        at = np.full(bounds[-1], -1, dtype=np.int64)  # the end of a text
+        at[np.arange(len(words)) + np.repeat(np.arange(len(count)), count)] = place[:-1]
+        known = pc.fill_null(pc.index_in(own, value_set=self.values), -1).to_numpy().astype(np.int64)
+        number = np.where(known >= 0, self.number[known], self._others(own))
+        return np.append(number, 0).astype(np.int32)[at], np.append(known, 0)[at], at, bounds, own
 
     def start(self) -> recurrent.Params:
         return recurrent.start(self.counts[:WORDS].astype(float), self.rare)
@@ -161,14 +176,20 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, shard_words:
     def one(flat: np.ndarray, rate: float):
         begin = docs.sparkSession.sparkContext.broadcast(flat)
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             v = sent.value.built()
             start = recurrent.unpacked(begin.value, {k: np.empty(s) for k, s in shapes.items()})
-            rows = (row for b in batches for row in zip(b["shard"], b["text"], strict=True))
-            for shard, own in groupby(rows, lambda row: row[0]):
+
+            def rows() -> Iterator[tuple[int, np.ndarray]]:
+                for batch in batches:
+                    number, _, _, bounds, _ = v.encode(batch.column(1))
+                    yield from zip(batch.column(0).to_pylist(), np.split(number, bounds[1:-1]), strict=True)
+
+            for shard, own in groupby(rows(), lambda row: row[0]):
                 trainer = recurrent.Trainer(start, rate)
-                n = trainer.train(recurrent.pieces(v.encode(tokens(t))[1] for _, t in own))
-                yield pd.DataFrame({"shard": [shard], "n": [float(n)], "content": [(trainer.flat * np.float64(n)).astype(np.float32).tobytes()]})
+                n = trainer.train(recurrent.pieces(number for _, number in own))
+                content = (trainer.flat * np.float64(n)).astype(np.float32).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([float(n)]), pa.array([content], pa.binary())], ["shard", "n", "content"])
 
         return run
 
@@ -180,7 +201,7 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, shard_words:
     flat = recurrent.flattened(params)
     for k in range(rounds):
         taken = dealt.where(F.col("round") == k).select("shard", "doc_id", "text").repartition(min(shards, MOST_PARTS), "shard").sortWithinPartitions("shard", "doc_id", F.xxhash64("text"))
-        results = taken.select("shard", "text").mapInPandas(one(flat, RATE / (1 + k)), weighted)
+        results = taken.select("shard", "text").mapInArrow(one(flat, RATE / (1 + k)), weighted)
         for slots in (512, 8):  # sums of up to 512 and then of 8 rows; as many reach the driver
             results = results.groupBy((F.col("shard") % slots).alias("slot")).applyInPandas(added, weighted)
         got = sorted(results.collect(), key=lambda r: r["shard"])
@@ -205,39 +226,48 @@ def score_documents(docs: DataFrame, learn: Column, text: str = "text", doc_id:
     sent = spark.sparkContext.broadcast((vocab, params))
     schema = "row long, doc_id long, n_tokens long, known long, base double, model double, words array<binary>, times array<int>"
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, net = sent.value[0].built(), recurrent.Network(sent.value[1])
-        held: list[tuple] = []
-        total = 0
-
-        def done() -> pd.DataFrame:
-            log_p = net.score([x[-1] for x in held]) / math.log(10)
-            out = pd.DataFrame([x[:-1] for x in held], columns=["row", "doc_id", "n_tokens", "known", "base", "model", "words", "times"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            out["model"] += log_p
-            return out
+        held: list[tuple[list[pa.Array], np.ndarray]] = []
+        texts: list[np.ndarray] = []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            log_p, at = net.score(texts) / math.log(10), 0
+            for arrays, model in held:
+                arrays[5] = pa.array(model + log_p[at : at + len(model)])
+                at += len(model)
+                yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "n_tokens", "known", "base", "model", "words", "times"])
+            held.clear()
+            texts.clear()
 
         for batch in batches:
-            for row, i, t in zip(batch["row"], batch["doc_id"], batch["text"], strict=True):
-                words = tokens(t)
-                at, number = v.encode(words)
-                found = at[at >= 0]
-                rare = number >= v.frequent
-                shares = v.log_share[(number[rare] - v.frequent) % recurrent.RARE].sum()
-                logs = v.log_count[found]
-                known = int((v.counts[found] > 0).sum())
-                base, model = float(logs.sum() - len(at) * v.norm), float(logs[rare[at >= 0]].sum() - shares)
-                rest = Counter(words[k] for k in np.flatnonzero(at < 0).tolist())
-                held.append((row, None if pd.isna(i) else int(i), len(at), known, base, model, [*rest], [*rest.values()], number))
-                total += len(at)
-                if total > BLOCK:
-                    yield done()
-                    held, total = [], 0
+            if not batch.num_rows:
+                continue
+            number, known, at, bounds, own = v.encode(batch.column(2))
+            sums = lambda values, starts=bounds[:-1]: np.add.reduceat(values, starts)
+            size = np.diff(bounds)
+            logs = np.where(known >= 0, v.log_count[known], 0.0)
+            rare = number >= v.frequent
+            shares = np.where(rare, v.log_share[np.where(rare, number - v.frequent, 0) % recurrent.RARE], 0.0)
+            model = sums(np.where(rare, logs, 0.0) - shares)
+            unknown = np.flatnonzero(known < 0)
+            doc = np.repeat(np.arange(len(size)), size)[unknown]
+            pairs, times = np.unique(doc * max(1, len(own)) + at[unknown], return_counts=True)
+            ends = np.searchsorted(pairs // max(1, len(own)), np.arange(len(size) + 1)).astype(np.int32)
+            words = own.take(pa.array(pairs % max(1, len(own)))).cast(pa.binary())
+            arrays = [
+                batch.column(0), batch.column(1), pa.array(size), pa.array(sums((known >= 0) & (v.counts[known] > 0)).astype(np.int64)), pa.array(sums(logs) - size * v.norm), None,
+                pa.ListArray.from_arrays(pa.array(ends), words), pa.ListArray.from_arrays(pa.array(ends), pa.array(times.astype(np.int32))),
+            ]
+            held.append((arrays, model))
+            texts += np.split(number, bounds[1:-1])
+            if sum(map(len, texts)) > BLOCK:
+                yield from done()
         if held:
-            yield done()
+            yield from done()
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    scored = stored(numbered.mapInPandas(score, schema), "scores")  # once, for the words that no task knows are joined with their counts
+    scored = stored(numbered.mapInArrow(score, schema), "scores")  # once, for the words that no task knows are joined with their counts
     rest = scored.select("row", F.inline(F.arrays_zip("words", "times"))).join(counts.where(~frequent).withColumnRenamed("word", "words"), "words", "left")
     found = rest.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("logs"), F.sum(F.when(F.col("c").isNotNull(), F.col("times"))).alias("more"))
     both = scored.drop("words", "times").join(found, "row", "left")

@@ -44,9 +44,19 @@ def rare_class(word: bytes) -> int:
     return word[0] % RARE
 
 
-def tail_row(word: bytes) -> int:
-    """Input row, from 0, of a word that is not frequent."""
-    return int.from_bytes(word[-3:], "little") * 2654435761 % (1 << 32) * TAILS >> 32
+def rare_classes(content: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``rare_class`` of each word of bytes that lie one after the other; of an empty one any."""
+    return content[np.minimum(ends[:-1], len(content) - 1)] % RARE
+
+
+def tail_rows(content: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Input rows, from 0, of words that are not frequent, by their last three bytes."""
+    tail = np.zeros(len(ends) - 1, dtype=np.uint64)
+    starts = np.maximum(ends[:-1], ends[1:] - 3)
+    for k in range(3):
+        at = starts + k
+        tail |= np.where(at < ends[1:], content[np.minimum(at, len(content) - 1)], 0).astype(np.uint64) << np.uint64(8 * k)
+    return ((tail * np.uint64(2654435761) & np.uint64(0xFFFFFFFF)) * np.uint64(TAILS) >> np.uint64(32)).astype(np.int64)
 
 
 def start(counts: np.ndarray, rare: np.ndarray) -> Params:
