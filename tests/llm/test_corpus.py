@@ -188,14 +188,50 @@ def test_secret_scan(spark):
     assert not by_id[n + 2]
 
 
-def test_randomness_tests_hold_their_level(spark):
-    rng = np.random.default_rng(0)
-    rows = [([int(x) for x in rng.integers(0, 62, 60)],) for _ in range(400)]
-    df = spark.createDataFrame(rows, "v array<int>")
-    p = [r["p"] for r in df.select(secrets.p_random(F.col("v"), F.lit(62)).alias("p")).collect()]
-    assert np.mean(np.array(p) < 0.05) < 0.1
-    worse = spark.createDataFrame([([1, 2] * 30,), ([5] * 60,), (list(range(60)),)], "v array<int>")
-    assert all(r["p"] < 0.01 for r in worse.select(secrets.p_random(F.col("v"), F.lit(62)).alias("p")).collect())
+KEYS = {name: letters for name, letters, _ in secrets.ALPHABETS if name != "digits"}
+
+
+def test_randomness_battery_holds_its_level(spark):
+    """For random strings the sum of deviates is about zero, for structured ones large."""
+    rng = random.Random(0)
+    rows = [(name, "".join(rng.choice(letters) for _ in range(n))) for name, letters in KEYS.items() for n in (20, 40, 80) for _ in range(60)]
+    names = [name for name, _, _ in secrets.ALPHABETS]
+    df = spark.createDataFrame([(names.index(name), t) for name, t in rows], "enc int, t string")
+    d = df.select("enc", secrets.distance(F.col("t"), F.col("enc")).alias("d")).toPandas()
+    assert (d.groupby("enc")["d"].mean().abs() < 0.7).all() and (d["d"] > secrets.MOST_SUM).mean() < 0.03
+    worse = [(3, "theharbouriscoldandtheshipsareathome"), (1, "0123456789abcdef0123456789abcdef"), (9, "aB3" * 12), (3, "abcdefghijklmnopqrstuvwxyz"), (1, "00000000000000000000000000f")]
+    assert all(r["d"] > secrets.MOST_SUM for r in spark.createDataFrame(worse, "enc int, t string").select(secrets.distance(F.col("t"), F.col("enc")).alias("d")).collect())
+
+
+def test_planted_secrets_by_length_and_encoding(spark):
+    """Random strings are found in every encoding from 20 characters on; ordinary text as long is not."""
+    rng = random.Random(7)
+    d = documents(MIDDLE)
+    texts, kind = d["text"].tolist(), {}
+    for name, letters in KEYS.items():
+        for n in (20, 24, 32, 48):
+            for _ in range(20):
+                kind[len(texts)] = (name, n)
+                texts.append(f"see {''.join(rng.choice(letters) for _ in range(n))} there")
+    prose_texts = [t for t in d["text"] if t and len(t.split()) > 60]
+    for n in (20, 24, 32, 48):
+        for join in (lambda w: "".join(w).lower(), lambda w: "".join(x.capitalize() for x in w), lambda w: "-".join(w), lambda w: "/".join(w)):
+            for _ in range(40):
+                own = re.findall("[A-Za-z]{3,19}", rng.choice(prose_texts))
+                at = rng.randrange(max(1, len(own) - 25))
+                kind[len(texts)] = ("ordinary", n)
+                texts.append(f"see {join(own[at : at + 25])[:n]} there")
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: r["n"] > 0 for r in secrets.find_secrets(df).select("doc_id", (F.size("base") + F.size("random")).alias("n")).collect()}
+    caught = collections.defaultdict(list)
+    for i, k in kind.items():
+        caught[k].append(found[i])
+    by_length = {n: np.mean([np.mean(v) for (name, m), v in caught.items() if m == n and name != "ordinary"]) for n in (20, 24, 32, 48)}
+    assert all(v >= 0.9 for v in by_length.values()) and by_length[32] >= 0.97
+    assert all(np.mean(v) >= 0.7 for (name, _), v in caught.items() if name != "ordinary")
+    false = sum(sum(v) for (name, _), v in caught.items() if name == "ordinary")
+    reported = sum(found[i] for i in kind)
+    assert false <= 0.05 * reported
 
 
 def test_collision_rate_is_generalised_jaccard():
