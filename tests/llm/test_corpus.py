@@ -466,8 +466,8 @@ def test_crowded_segment(spark):
     texts = [head + f"{i * 7919:09d} tail {i:05d}" for i in range(200)]
     texts += [t[:-1] + ("x" if t[-1] != "x" else "y") for t in texts[:20]]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    gone = {r["doc_id"] for r in lines.dedup_lines(df, drop_emptied=True).join(df.select("doc_id"), "doc_id", "right").where("lines_gone is null").collect()}
-    want = {i for i, t in enumerate(texts) for u in texts[:i] if edit_distance(t, u) <= 1}
+    gone = {r["doc_id"] for r in lines.dedup_lines(df, least_words=1).join(df.select("doc_id"), "doc_id", "right").where("lines_gone is null").collect()}
+    want = {i for i, t in enumerate(texts) for u in texts[:i] if edit_distance(t, u) <= lines.EDITS}
     assert gone == want
 
 

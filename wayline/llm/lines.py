@@ -8,29 +8,31 @@ that many edits must contain one unchanged, at a place that the two lengths and
 the segment's number confine; so each line is entered under its segments and
 looks up those few of its substrings that could be a segment of a line as long
 or shorter. Under a key that very many lines share, what is left of each line
-is cut and looked up in the same way. Pairs that meet are verified by a
+is cut and looked up in the same way, again and again while it is long enough. Pairs that meet are verified by a
 bit-parallel edit distance restricted to the band of ``2 * edits + 1`` diagonals.
 
 Defined cases: a null text has no lines and stays null; shorter lines always
 stay; a document that loses all of its lines keeps its row with an empty text
-(``drop_emptied`` removes it); repeated rows, having equal id and text, count
+(``least_words`` removes it); repeated rows, having equal id and text, count
 as one document and stay alike; nulls among ids come first; an empty table
 gives an empty result; other columns pass through whatever their names.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm.common import checkpointed, let, sized, table, whole
+from wayline.llm.common import checkpointed, let, sized, table, whole, words
 
-EDITS = 1
+EDITS = 2
 MIN_CHARS = 20
 #: Distinct lines under a key from which on the rest of each is looked at too.
 CROWD = 32
-#: Times that a crowd is cut anew.
-DEPTH = 3
+#: Code points that every segment of a rest must have for a crowd to be cut anew.
+LEAST_PART = 2
 
 
 def _segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
@@ -149,12 +151,13 @@ def near_lines(lines: DataFrame, edits: int) -> DataFrame:
     shared = emitted.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.bool_or("entered").alias("any")).where("lo <> hi and any")
     rows = emitted.join(sized(shared.select("key")), "key", "left_semi").dropDuplicates(["key", "entered", "h"])
     found = []
-    for depth in range(DEPTH + 1):
+    for depth in count():
         rows = checkpointed(rows)
-        if depth == DEPTH:
-            found.append(_met(rows))
-            break
-        crowd = sized(rows.groupBy("key").agg(F.count_distinct("h").alias("n")).where(F.col("n") > CROWD).select("key"))
+        crowd = rows.groupBy("key").agg(F.count_distinct("h").alias("n"), *([F.min(F.length("rest")).alias("least")] if depth else []))
+        crowd = crowd.where(F.col("n") > CROWD)
+        if depth:  # rests become shorter each time; those too short to be cut stay in the crowd they are in
+            crowd = crowd.where(F.col("least") >= LEAST_PART * (edits + 1))
+        crowd = sized(crowd.select("key"))
         found.append(_met(rows.join(crowd, "key", "left_anti")))
         if crowd.isEmpty():
             break
@@ -197,15 +200,19 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
     return gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, text: str = "text", doc_id: str = "doc_id", drop_emptied: bool = False) -> DataFrame:
-    """The rows with the repeated lines taken out of the text, and ``lines_gone``, their number."""
+def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, text: str = "text", doc_id: str = "doc_id", least_words: int = 0) -> DataFrame:
+    """The rows with the repeated lines taken out of the text, and ``lines_gone``, their number.
+
+    A document that has lost lines and is left with fewer than ``least_words``
+    words goes.
+    """
     gone = sized(repeated_lines(docs, edits, min_chars, text, doc_id).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash", "gone": "_gone"}), F.size("_gone"))
     rows = docs.join(gone, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left")
     numbers = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_gone"))
     left = let(F.split(text, "\n"), lambda x: F.array_join(F.transform(numbers(x), lambda i: F.get(x, i)), "\n"))
     out = rows.withColumns({text: F.when(F.col("_gone").isNull(), F.col(text)).otherwise(left), "lines_gone": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")})
-    if drop_emptied:
-        out = out.where((F.col("lines_gone") == 0) | (F.trim(text) != ""))
+    if least_words:
+        out = out.where((F.col("lines_gone") == 0) | (F.size(words(F.col(text))) >= least_words))
     return out.select(*[c for c in docs.columns if c != "lines_gone"], "lines_gone")
 
 

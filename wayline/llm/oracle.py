@@ -55,21 +55,32 @@ select doc_id, size, source_size, target, (size * (whole + case when rest > 0 an
 from r
 """
 
-#: A line within one edit keeps its first or its second half; ids are unique here.
-OP9 = r"""
+#: Letters of more than one byte that the tables hold, each for a control character: DuckDB's distance counts bytes.
+_LETTERS = "èéêçÉÈÊÇöäüßÄÖÜóíñÓÍÑáÁúÚàâî"
+_BYTES = " || ".join(f"chr({i})" for i in (*range(1, 9), 11, 12, *range(14, 32)))
+
+
+def op9(edits: int) -> str:
+    """A line within some edits of another keeps one of that many parts and one more, moved by as many places at most; ids are unique here."""
+    p = edits + 1
+    return rf"""
 with l as (
   select doc_id, i - 1 as line_no, line, length(line) as n
   from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents)
   where length(line) >= 20),
-f as (select line, n, min(struct_pack(doc_id := doc_id, line_no := line_no)) as p from l group by line, n),
-k as (
-  select line, n, p, m, left(line, m // 2) as a, right(line, m - m // 2) as b
-  from (select *, unnest([n, n - 1]) as m from f)),
-pairs as (
-  select x.line as u, y.line as v, x.p as pu, y.p as pv from k x join k y on x.m = y.m and x.a = y.a and y.m = y.n and x.line <> y.line
-  union
-  select x.line, y.line, x.p, y.p from k x join k y on x.m = y.m and x.b = y.b and y.m = y.n and x.line <> y.line),
-near as (select distinct case when pu < pv then v else u end as line from pairs where levenshtein(u, v) <= 1),
+f as (select line, n, row_number() over (order by line) as id, min(struct_pack(doc_id := doc_id, line_no := line_no)) as p from l group by line, n),
+own as (
+  select id, n as m, part, substring(line, (n * part // {p})::bigint + 1, (n * (part + 1) // {p} - n * part // {p})::bigint) as x
+  from f, (select unnest(range({p})) as part)),
+met as (
+  select id, m, part, substring(line, (m * part // {p} + shift)::bigint + 1, (m * (part + 1) // {p} - m * part // {p})::bigint) as x
+  from (select id, line, n, n - less as m, part, shift from f, (select unnest(range({p})) as less), (select unnest(range({p})) as part), (select unnest(range(-{edits}, {p})) as shift))
+  where m * part // {p} + shift >= 0 and m * (part + 1) // {p} + shift <= n),
+pairs as (select distinct least(met.id, own.id) as u, greatest(met.id, own.id) as v from met join own using (m, part, x) where met.id <> own.id),
+near as (
+  select distinct case when a.p < b.p then b.line else a.line end as line
+  from pairs join f a on a.id = u join f b on b.id = v
+  where levenshtein(translate(a.line, '{_LETTERS}', {_BYTES}), translate(b.line, '{_LETTERS}', {_BYTES})) <= {edits}),
 gone as (
   select l.doc_id, list(l.line_no) as g from l join f on l.line = f.line left join near on l.line = near.line
   where near.line is not null or l.doc_id <> f.p.doc_id or l.line_no <> f.p.line_no group by l.doc_id),
@@ -82,4 +93,5 @@ select doc_id, lines_gone, len(string_split(coalesce(text, ''), chr(10)))::bigin
 from t
 """
 
-SQL: dict[str, str] = {"op9_line_dedup": OP9, "op8_quality_rules": OP8, "op7_mix_sources": OP7}
+
+SQL: dict[str, str] = {"op9_line_dedup": op9(2), "op8_quality_rules": OP8, "op7_mix_sources": OP7}

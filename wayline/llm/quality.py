@@ -25,6 +25,8 @@ from wayline.llm.common import let, table, whole, words
 
 WINDOW = 8
 SYMBOLS = r"[#*$%&|<>]"
+#: Words that a document must have.
+LEAST_WORDS = 20
 #: Rows of the sample on which costs and rejections are estimated.
 SAMPLE_ROWS = 500
 
@@ -91,7 +93,7 @@ def default_rules() -> list[Rule]:
     """Rules that a clean document of ordinary prose passes in any language."""
     n = F.size
     return [
-        Rule("few_words", lambda t, w: n(w) < 20),
+        Rule("few_words", lambda t, w: n(w) < LEAST_WORDS),
         Rule("many_symbols", lambda t, w: symbol_count(t) * 10 > n(w) * 3),
         Rule("odd_word_length", lambda t, w: (word_chars(w) > n(w) * 20) | (word_chars(w) < n(w) * 2)),
         Rule("shouting", lambda t, w: F.regexp_count(t, F.lit(r"\p{Lu}")) * 2 > F.regexp_count(t, F.lit(r"\p{L}"))),
