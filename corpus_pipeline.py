@@ -2,7 +2,7 @@
 
 Every stage takes what the one before it kept: quality rules reject documents,
 line dedup takes repeated lines out of the texts (and drops documents that lose
-all), the n-gram join keeps one document of each group of near copies, the mix
+so many that the rules would reject the rest as too short), the n-gram join keeps one document of each group of near copies, the mix
 takes each document a number of times, and the last stage encodes the texts.
 All but the last return the columns of documents, with ``n_chars`` brought up
 to date. Nulls, empty tables and extra columns are handled as the operators
@@ -29,7 +29,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = lines.dedup_lines(docs.select(*COLUMNS), drop_emptied=True)
+    left = lines.dedup_lines(docs.select(*COLUMNS), least_words=quality.LEAST_WORDS)
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
