@@ -8,7 +8,10 @@ toxic together where neither is alone.
 It is fitted on the driver on a bounded sample of labelled rows (at most
 ``FIT_ROWS`` are expected; which are taken depends on a hash of their ids
 alone), on the buckets whose use differs most between the labels by a
-chi-squared statistic. Every text is scored whole.
+chi-squared statistic, and on those that differ in pairs: of the ``PAIRED``
+buckets that most toxic rows have, every pair is counted, and both buckets of
+a pair that differs by far more than either does alone are taken. Every text is
+scored whole.
 
 Defined cases: a null or empty text has no term and gets the score of the bias
 alone; labels that are null, and labels without a document, are not learned
@@ -41,6 +44,8 @@ FIT_ROWS = 16_000
 MOST_TERMS = 4096
 #: Chi-squared statistic that a bucket must reach: one in a hundred thousand would by chance.
 LEAST_CHI = 19.5
+#: Buckets of which all pairs are tried, share of rows that such a one has at most, and the statistic that a pair must reach.
+PAIRED, COMMON, LEAST_PAIR_CHI = 2048, 0.5, 40.0
 FACTORS = 8
 EPOCHS = 60
 KEPT = 200_000
@@ -98,6 +103,37 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.score(flat, doc, len(texts))[0], -30, 30)))
 
 
+def telling(a: np.ndarray, toxic: np.ndarray, n: int, n1: int) -> np.ndarray:
+    """Chi-squared statistic of what ``a`` of n rows have, ``toxic`` of them among the n1 toxic ones."""
+    cross = toxic * (n - n1) - (a - toxic) * n1
+    return cross * cross * n / np.maximum(a * (n - a) * n1 * (n - n1), 1.0)
+
+
+def paired(sets: list[np.ndarray], labels: np.ndarray, of_all: np.ndarray, of_toxic: np.ndarray, chi: np.ndarray) -> np.ndarray:
+    """Buckets that tell in pairs, the most telling pairs first, repeats among them."""
+    n, n1 = len(labels), int(labels.sum())
+    usable = np.flatnonzero((of_all >= 5) & (of_all <= COMMON * n))
+    tried = np.sort(usable[np.argsort(-of_toxic[usable], kind="stable")[:PAIRED]])
+    m = len(tried)
+    place = np.full(BUCKETS, -1)
+    place[tried] = np.arange(m)
+    both, both_toxic = np.zeros((m, m)), np.zeros((m, m))
+    for lo in range(0, n, 2048):
+        x = np.zeros((len(sets[lo : lo + 2048]), m), dtype=np.float32)
+        for i, s in enumerate(sets[lo : lo + 2048]):
+            p = place[s]
+            x[i, p[p >= 0]] = 1
+        both += x.T @ x
+        x = x[labels[lo : lo + 2048] == 1]
+        both_toxic += x.T @ x
+    pair = telling(both, both_toxic, n, n1)
+    alone = chi[tried]
+    good = (pair >= LEAST_PAIR_CHI) & (pair >= 4 * np.maximum(alone[:, None], alone[None, :])) & (both >= 5)
+    a, b = np.nonzero(np.triu(good, 1))
+    order = np.argsort(-pair[a, b], kind="stable")
+    return tried[np.stack([a[order], b[order]], axis=1).reshape(-1)]
+
+
 def train(sets: list[np.ndarray], labels: np.ndarray) -> Machine:
     """A machine for sets of buckets and labels 0 and 1: stochastic steps on the logistic loss, with a rate for each weight."""
     n, n1 = len(labels), int(labels.sum())
@@ -109,10 +145,10 @@ def train(sets: list[np.ndarray], labels: np.ndarray) -> Machine:
     flat, doc = np.concatenate(sets).astype(np.int64), np.repeat(np.arange(n), size)
     of_all = np.bincount(flat, minlength=BUCKETS).astype(float)
     of_toxic = np.bincount(flat[labels[doc] == 1], minlength=BUCKETS).astype(float)
-    cross = of_toxic * (n - n1) - (of_all - of_toxic) * n1
-    chi = cross * cross * n / np.maximum(of_all * (n - of_all) * n1 * (n - n1), 1.0)
+    chi = telling(of_all, of_toxic, n, n1)
     kept = np.flatnonzero((of_all >= 3) & (chi >= LEAST_CHI))
-    kept = np.sort(kept[np.argsort(-chi[kept], kind="stable")[:MOST_TERMS]])
+    kept = kept[np.argsort(-chi[kept], kind="stable")[: MOST_TERMS * 3 // 4]]
+    kept = np.unique(np.concatenate([kept, paired(sets, labels, of_all, of_toxic, chi)[: MOST_TERMS // 4]]))
     m = Machine(kept, bias)
     if not len(kept):
         return m
