@@ -87,6 +87,28 @@ def test_edge_cases(name, edge, empty):
     assert OPERATORS[name](empty).count() == 0
 
 
+def test_rules_are_ordered_by_rejections_per_cost():
+    """By hand: what a rule rejects counts only among the rows that the rules before it have left."""
+    rules = [quality.Rule(n, lambda m: F.lit(False)) for n in ("dear", "broad", "echo", "never", "idle")]
+    seen = [({"dear": True, "broad": False, "echo": False}, 20), ({"dear": False, "broad": True, "echo": True}, 50), ({"dear": False, "broad": False, "echo": True}, 2), ({"dear": False, "broad": False, "echo": False}, 100)]
+    seen = [({**x, "never": False, "idle": False}, c) for x, c in seen]
+    cost = {"dear": 5.0, "broad": 1.0, "echo": 1.5, "never": 3.0, "idle": 2.0}
+    # broad: 50 a second, echo 34.7, dear 4; after broad echo rejects 2 more, so dear goes before it; then the cheaper of the idle ones.
+    assert [r.name for r in quality.ordered(rules, cost, seen)] == ["broad", "dear", "echo", "idle", "never"]
+
+
+def test_order_of_rules_changes_no_verdict(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rules = quality.default_rules()
+    verdicts = []
+    for own in (rules, rules[::-1]):
+        m = quality.Measures(F.col("_text"), F.col("_words"))
+        kept = quality.prepared(docs).select("doc_id", quality.rejected_by(own, m).isNull().alias("kept")).collect()
+        verdicts.append({r["doc_id"]: r["kept"] for r in kept})
+    chosen = {r["doc_id"]: r["rejected_by"] is None for r in quality.apply_rules(docs).select("doc_id", "rejected_by").collect()}
+    assert verdicts[0] == verdicts[1] == chosen and {r.name for r in quality.order_rules(docs, rules)} == {r.name for r in rules}
+
+
 def test_edge_results(edge):
     q = quality.apply_rules(edge).where("text is null or text = ''").collect()
     assert {r["rejected_by"] is not None for r in q} == {True}

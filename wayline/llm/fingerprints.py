@@ -17,7 +17,8 @@ e', with e' / r as the shift. Ratios are compared by their place in that
 distribution, 32 bits; so terms of weight one need their hash only.
 
 Defined cases: a null text is the empty text; texts without a word have the
-same fingerprint, which shares no sample with any other; a text of fewer words
+same fingerprint, which shares a sample with another by a chance collision of
+16 bits only; a text of fewer words
 than n has one term, all its words; equal texts have equal fingerprints,
 wherever they are; an empty table gives an empty result; columns of the caller
 with the names of added ones are replaced. Texts are taken whole.
@@ -163,7 +164,7 @@ def in_order(docs: DataFrame, parts: int) -> DataFrame:
     extra = placed.where(F.col("_key").isin(ids)).groupBy("_key").agg(F.first("doc_id").alias("doc_id"), F.min("text").alias("text"))
     extra = extra.select("doc_id", "text", before[F.col("_key")].alias("_part"), F.lit(True).alias("extra"))
     rows = placed.select("doc_id", "text", "_part", F.lit(False).alias("extra")).union(extra)
-    return rows.repartition(len(order), "_part").sortWithinPartitions("_part", "extra", "doc_id", "text")
+    return rows.repartitionById(parts, F.col("_part")).sortWithinPartitions("extra", "doc_id", "text")
 
 
 def _compare(batches: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:

@@ -200,7 +200,7 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, shard_words:
 
     flat = recurrent.flattened(params)
     for k in range(rounds):
-        taken = dealt.where(F.col("round") == k).select("shard", "doc_id", "text").repartition(min(shards, MOST_PARTS), "shard").sortWithinPartitions("shard", "doc_id", F.xxhash64("text"))
+        taken = dealt.where(F.col("round") == k).select("shard", "doc_id", "text").repartitionById(min(shards, MOST_PARTS), F.col("shard")).sortWithinPartitions("shard", "doc_id", F.xxhash64("text"))
         results = taken.select("shard", "text").mapInArrow(one(flat, RATE / (1 + k)), weighted)
         for slots in (512, 8):  # sums of up to 512 and then of 8 rows; as many reach the driver
             results = results.groupBy((F.col("shard") % slots).alias("slot")).applyInPandas(added, weighted)

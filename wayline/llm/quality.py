@@ -15,13 +15,13 @@ caller with the names of added ones are replaced.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm.common import let, table, whole, words
+from wayline.llm.common import checkpointed, let, table, whole, words
 
 WINDOW = 8
 SYMBOLS = r"[#*$%&|<>]"
@@ -29,14 +29,48 @@ SYMBOLS = r"[#*$%&|<>]"
 LEAST_WORDS = 20
 #: Rows of the sample on which costs and rejections are estimated.
 SAMPLE_ROWS = 500
+SEED = 23
+
+
+class Measures:
+    """What rules tell by, each made from a text and the array of its words; those that are known are columns already."""
+
+    def __init__(self, text: Column, words: Column, known: Mapping[str, Column] | None = None):
+        self.text, self.words, self.known = text, words, known or {}
+
+    def _of(self, name: str, make: Callable[[], Column]) -> Column:
+        return self.known[name] if name in self.known else make()
+
+    @property
+    def n_words(self) -> Column:
+        return self._of("n_words", lambda: F.size(self.words).cast("long"))
+
+    @property
+    def word_chars(self) -> Column:
+        return self._of("word_chars", lambda: word_chars(self.words))
+
+    @property
+    def n_symbols(self) -> Column:
+        return self._of("n_symbols", lambda: symbol_count(self.text))
+
+    @property
+    def n_dup_lines(self) -> Column:
+        return self._of("n_dup_lines", lambda: duplicate_lines(self.text))
+
+    @property
+    def n_repeat_words(self) -> Column:
+        return self._of("n_repeat_words", lambda: repeated_words(self.words))
+
+    def matches(self, pattern: str) -> Column:
+        return F.regexp_count(self.text, F.lit(pattern))
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` tells of a text and the array of its words, both columns."""
+    """``rejects`` makes a condition of a text's measures."""
 
     name: str
-    rejects: Callable[[Column, Column], Column]
+    rejects: Callable[[Measures], Column]
 
 
 def word_chars(w: Column) -> Column:
@@ -91,42 +125,29 @@ def prepared(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def default_rules() -> list[Rule]:
     """Rules that a clean document of ordinary prose passes in any language."""
-    n = F.size
     return [
-        Rule("few_words", lambda t, w: n(w) < LEAST_WORDS),
-        Rule("many_symbols", lambda t, w: symbol_count(t) * 10 > n(w) * 3),
-        Rule("odd_word_length", lambda t, w: (word_chars(w) > n(w) * 20) | (word_chars(w) < n(w) * 2)),
-        Rule("shouting", lambda t, w: F.regexp_count(t, F.lit(r"\p{Lu}")) * 2 > F.regexp_count(t, F.lit(r"\p{L}"))),
-        Rule("repeated_lines", lambda t, w: duplicate_lines(t) * 10 > n(F.split(t, "\n")) * 5),
-        Rule("repeated_windows", lambda t, w: repeated_words(w) * 100 > n(w) * 30),
+        Rule("few_words", lambda m: m.n_words < LEAST_WORDS),
+        Rule("many_symbols", lambda m: m.n_symbols * 10 > m.n_words * 3),
+        Rule("odd_word_length", lambda m: (m.word_chars > m.n_words * 20) | (m.word_chars < m.n_words * 2)),
+        Rule("shouting", lambda m: m.matches(r"\p{Lu}") * 2 > m.matches(r"\p{L}")),
+        Rule("repeated_lines", lambda m: m.n_dup_lines * 10 > F.size(F.split(m.text, "\n")) * 5),
+        Rule("repeated_windows", lambda m: m.n_repeat_words * 100 > m.n_words * 30),
     ]
 
 
-def order_rules(docs: DataFrame, rules: Sequence[Rule], text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by rejections per cost, estimated on at most ``sample_rows`` rows.
+def sampled(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:
+    """About so many rows, drawn from all, with their words; written once, for every rule reads them."""
+    n = docs.count()
+    drawn = docs.select(text) if n <= rows else docs.select(text).sample(fraction=rows / n, seed=SEED)
+    return checkpointed(prepared(drawn, text).coalesce(1))
 
-    One small job per rule times it; one more counts the combinations of
-    rejections (at most the rows of the sample). The next rule is always
-    the one with most rejections per second among the rows left so far.
-    """
-    base = prepared(docs.select(text).limit(sample_rows), text)
-    t, w = F.col("_text"), F.col("_words")
-    empty = base.agg(F.sum(F.size("_words")))
-    empty.collect()
 
-    def seconds(df: DataFrame) -> float:
-        began = time.perf_counter()
-        df.collect()
-        return time.perf_counter() - began
+def ordered(rules: Sequence[Rule], cost: Mapping[str, float], seen: Sequence[tuple[Mapping[str, bool], int]]) -> list[Rule]:
+    """The rules by rejections per cost among the rows that the rules before have left; of those that reject none the cheapest first.
 
-    floor = seconds(empty)
-    cost = {}
-    for r in rules:
-        job = base.agg(F.sum(F.size("_words")), F.count_if(r.rejects(t, w)))
-        job.collect()
-        cost[r.name] = max(seconds(job) - floor, 1e-4)
-    seen = base.select(*(F.coalesce(r.rejects(t, w), F.lit(False)).alias(r.name) for r in rules)).groupBy(*(r.name for r in rules)).count().collect()
-    left, order, todo = [(row.asDict(), row["count"]) for row in seen], [], list(rules)
+    ``seen`` holds combinations of rejections with the number of rows that have them.
+    """
+    left, order, todo = [*seen], [], [*rules]
     while todo:
         best = max(todo, key=lambda r: (sum(c for x, c in left if x[r.name]) / cost[r.name], -cost[r.name]))
         order.append(best)
@@ -135,11 +156,35 @@ def order_rules(docs: DataFrame, rules: Sequence[Rule], text: str = "text", samp
     return order
 
 
-def rejected_by(rules: Sequence[Rule], text: Column, words: Column) -> Column:
+def order_rules(docs: DataFrame, rules: Sequence[Rule], text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """The rules by rejections per cost, estimated on about ``sample_rows`` rows.
+
+    One small job for each rule times it, after one that warms it up; one more
+    counts the combinations of rejections (at most the rows of the sample).
+    """
+    base = sampled(docs, text, sample_rows)
+    m = Measures(F.col("_text"), F.col("_words"))
+
+    def seconds(df: DataFrame) -> float:
+        began = time.perf_counter()
+        df.collect()
+        return time.perf_counter() - began
+
+    def timed(df: DataFrame) -> float:
+        df.collect()
+        return min(seconds(df) for _ in range(2))
+
+    floor = timed(base.agg(F.sum(F.size("_words"))))
+    cost = {r.name: max(timed(base.agg(F.sum(F.size("_words")), F.count_if(r.rejects(m)))) - floor, 1e-4) for r in rules}
+    seen = base.select(*(F.coalesce(r.rejects(m), F.lit(False)).alias(r.name) for r in rules)).groupBy(*(r.name for r in rules)).count().collect()
+    return ordered(rules, cost, [(row.asDict(), row["count"]) for row in seen])
+
+
+def rejected_by(rules: Sequence[Rule], measures: Measures) -> Column:
     """Name of the first rule that rejects, null if none does; later rules are not evaluated."""
     verdict = F.lit(None).cast("string")
     for r in reversed(rules):
-        verdict = F.when(r.rejects(text, words), F.lit(r.name)).otherwise(verdict)
+        verdict = F.when(r.rejects(measures), F.lit(r.name)).otherwise(verdict)
     return verdict
 
 
@@ -151,7 +196,7 @@ def apply_rules(docs: DataFrame, rules: Sequence[Rule] | None = None, text: str
 def _judged(docs: DataFrame, rules: Sequence[Rule] | None, text: str) -> DataFrame:
     rules = order_rules(docs, default_rules() if rules is None else rules, text)
     rows = prepared(docs, text).withColumn("_at", F.spark_partition_id())
-    return rows.withColumn("rejected_by", rejected_by(rules, F.col("_text"), F.col("_words")))
+    return rows.withColumn("rejected_by", rejected_by(rules, Measures(F.col("_text"), F.col("_words"))))
 
 
 def quality_filter(docs: DataFrame, rules: Sequence[Rule] | None = None, text: str = "text") -> DataFrame:
@@ -166,17 +211,12 @@ def quality_filter(docs: DataFrame, rules: Sequence[Rule] | None = None, text: s
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's measures, which the contract asks for, and the cascade's verdict by them: a rule that needs no further measure costs nothing more."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = order_rules(docs, default_rules())
-    t, w = F.col("_text"), F.col("_words")
-    measured = prepared(docs).select(
-        "doc_id",
-        F.size(w).cast("long").alias("n_words"),
-        word_chars(w).alias("word_chars"),
-        symbol_count(t).alias("n_symbols"),
-        duplicate_lines(t).alias("n_dup_lines"),
-        repeated_words(w).alias("n_repeat_words"),
-        rejected_by(rules, t, w).isNull().alias("_passed"),
-    )
+    m = Measures(F.col("_text"), F.col("_words"))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    measured = prepared(docs).select("doc_id", "_text", "_words", *(getattr(m, n).alias(n) for n in names))
+    passed = rejected_by(rules, Measures(F.col("_text"), F.col("_words"), {n: F.col(n) for n in names})).isNull()
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
-    return measured.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & F.col("_passed")).drop("_passed")
+    return measured.select("doc_id", *names, failed.alias("base_failed"), (~failed & passed).alias("kept"))
