@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import zlib
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from wayline.functions import vectors as V
 from wayline.operators import evaluate, mixture, model, relabel, standardise, statistics
 from wayline.operators import steps as S
+from wayline.plans import specs
 from wayline.plans.pipelines import Source, TrajectoryTransforms, interleaved, single
 from wayline.sources import catalog
 from wayline.streaming import control
@@ -364,3 +366,27 @@ def test_empty_table(spark):
     df = frame(spark, [])
     assert S.chunked(df.withColumn("state", F.col("action")), ["state"], 2, 3).count() == 0
     assert mixture.batches(df.select("traj", "t"), 4, 0, "traj", "t").count() == 0
+
+
+def test_specifications_by_name(spark):
+    given = specs.spec(S.stride, k=2)
+    assert given == specs.spec("wayline.operators.steps:stride", k=2) == json.loads(json.dumps(given))
+    assert specs.text_of(given) == "wayline.operators.steps:stride(k=2)" and specs.text_of(specs.spec(S.stride, 3, k=2)) == "wayline.operators.steps:stride(3, k=2)"
+    df = spark.createDataFrame([(0, t) for t in range(5)], "traj long, t int")
+    assert sorted(r["t"] for r in specs.instantiate(given)(df).collect()) == [0, 1, 2]
+    for bad in ({"module": "os", "name": "system", "args": [], "kwargs": {}}, {"module": "wayline.operators.steps"}):
+        with pytest.raises(ValueError):
+            specs.instantiate(bad)
+    with pytest.raises(ValueError):
+        specs.spec("no colon")
+    assert specs.formatted("{a}-{b_c}", {"a": 1, "b": {"c": "x"}}) == "1-x"
+
+
+def test_hooks_and_normalisation_on_a_stream(spark, tmp_path):
+    spark.createDataFrame([(i, [float(i), 1.0]) for i in range(6)], "traj long, proprio array<double>").repartition(2).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("traj long, proprio array<double>").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    seen, steps = [], []
+    out = control.normalised(stream, {"mean": [1.0, 0.0], "std": [2.0, 1.0], "mask": [True, False]})
+    control.hooked(out, [lambda b, k: seen.extend(b.collect()), lambda b, k: steps.append(k)], str(tmp_path / "c")).awaitTermination()
+    assert steps == [0, 1] and {r["traj"]: round(r["proprio"][0], 5) for r in seen} == {i: round((i - 1) / 2, 5) for i in range(6)}
+    assert {r["proprio"][1] for r in seen} == {1.0}

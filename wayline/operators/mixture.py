@@ -159,3 +159,15 @@ def iterate(df: DataFrame, prefetch: bool = True):
 def expected_length(stats: DataFrame, share: float = 0.95) -> int:
     """Steps of an epoch: the sources' steps times their weights, and of these the split's share."""
     return int((stats.agg(F.sum(F.col("num_transitions") * F.col("weight"))).first()[0] or 0) * share)
+
+
+def chosen(sources: DataFrame, names: Sequence[str] | None = None, name: str = "name", weight: str = "weight") -> DataFrame:
+    """The sources to evaluate on: all for None, else those named; without weights all weigh 1."""
+    out = sources if weight in sources.columns else sources.withColumn(weight, F.lit(1.0))
+    return out if names is None else out.where(F.col(name).isin(*names) if names else F.lit(False))
+
+
+def report(sources: DataFrame, width: int = 80, name: str = "name", weight: str = "weight") -> DataFrame:
+    """``line``: each source with its weight to six digits, filled up with equals signs."""
+    filled = F.lpad(F.format_string("%.6f", F.col(weight)), F.lit(width) - F.length(name), F.lit("="))
+    return sources.select(F.concat(F.lit("# "), F.col(name), F.lit(": "), filled, F.lit(" #")).alias("line"))

@@ -162,6 +162,28 @@ def chunked(df: DataFrame, observations: Sequence[str], window: int = 1, horizon
     return out.withColumn("action_pad_mask", mask).drop("_goal", "_future", "_h__future", *(f"_h_{c}" for c in observations))
 
 
+def over_history(df: DataFrame, f, observations: Sequence[str], tasks: Sequence[str] = ()) -> DataFrame:
+    """A function of a value's column applied to every entry of the observations' histories, and to the tasks as they are."""
+    return df.withColumns({c: F.transform(c, f) for c in observations} | {c: f(F.col(c)) for c in tasks})
+
+
+def transposed(rows: Column, fields: Sequence[str]) -> Column:
+    """A struct of arrays from an array of structs."""
+    return F.struct(*(rows[c].alias(c) for c in fields))
+
+
+def rollout(df: DataFrame, observations: Sequence[str], key: Keys = KEY) -> DataFrame:
+    """What a policy is asked at each step of chunked trajectories: ``task_<c>``, the last step's last observation as the goal, and ``truth``, the step's own first action."""
+    newest = lambda x: F.get(x, F.size(x) - 1)
+    goals = {f"task_{c}": F.last(newest(F.col(c))).over(whole(key)) for c in observations}
+    return df.withColumns(goals | {"truth": F.get(newest(F.col("action")), 0)})
+
+
+def first_predictions(chunks: Column) -> Column:
+    """Of each sampled chunk of actions the first action."""
+    return F.transform(chunks, lambda chunk: F.get(chunk, 0))
+
+
 def difference_ahead(column: str, key: Keys = KEY) -> Column:
     """The next step's vector less this one's; null at the last step."""
     return F.zip_with(F.lead(column).over(by(key)), F.col(column), lambda b, a: b - a)

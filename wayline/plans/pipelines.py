@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -101,6 +101,11 @@ def single(source: Source, transforms: TrajectoryTransforms, split: str | None =
     return transforms(rows), stats
 
 
+def validation(source: Source, transforms: TrajectoryTransforms, train: bool = False) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """The held-out part of a source as ``single`` makes it, without augmentation or subsampling; with ``train`` the other part, with both."""
+    return single(source, replace(transforms, train=train), "train" if train else "val")
+
+
 def interleaved(sources: Sequence[Source], transforms: TrajectoryTransforms, n: int | None = None, balance: bool = True, seed: int = 0) -> DataFrame:
     """n frames (by default those of an epoch) drawn from the sources by weight, each source normalised by its own statistics."""
     names = [s.name for s in sources]

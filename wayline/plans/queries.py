@@ -10,7 +10,7 @@ from wayline.functions.uniform import uniform
 from wayline.operators import evaluate, mixture, model, relabel, standardise, statistics
 from wayline.operators import steps as S
 from wayline.plans import standards, views
-from wayline.plans.pipelines import Source, TrajectoryTransforms, interleaved, single
+from wayline.plans.pipelines import Source, TrajectoryTransforms, interleaved, single, validation
 from wayline.plans.views import ARM, EVENTS, ITEMS, drawn, table
 from wayline.sources import catalog
 from wayline.streaming import control
@@ -726,3 +726,66 @@ def mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = views.items(spark, sf_dir).withColumn("action", F.slice("action", 1, 2)).withColumn("language_instruction", F.lit(""))
     out = interleaved([Source("events", views.events(spark, sf_dir)), Source("items", li, kind="bounds", weight=0.5)], TrajectoryTransforms(horizon=2))
     return out.select("slot", "name", "frame_no", "traj", "t")
+
+
+@query(f"""
+with {EVENTS}, m as (select avg(a0) as m0, stddev_pop(a0) as s0 from ev),
+k as (select traj, row_number() over (order by traj) as r, count(*) over () as n from (select distinct traj from ev))
+select traj, t, round((a0 - m0) / (s0 + 1e-8::double), 6) + 0 as action0, 3::int as horizon from ev, m where traj in (select traj from k where r > floor(0.95 * n + 0.5))
+""")
+def validation_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = validation(Source("events", views.events(spark, sf_dir)), TrajectoryTransforms(horizon=3, subsample=1))
+    return out.select("traj", "t", r6(at("action", 0, 0, 0)).alias("action0"), F.size(at("action", 0)).alias("horizon"))
+
+
+@query(f"with {SIZES} select name, weight from z where name in ('1', '3', '4', 'none') union all select name || ' of all', 1.0::double from z")
+def chosen_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = _sizes(spark, sf_dir)
+    some = mixture.chosen(sizes, ["1", "3", "4", "none"]).select("name", "weight")
+    every = mixture.chosen(sizes.drop("weight")).select(F.concat("name", F.lit(" of all")).alias("name"), "weight")
+    return some.union(every).union(mixture.chosen(sizes, []).select("name", "weight"))
+
+
+@query(f"with {SIZES} select '# ' || name || ': ' || lpad(format('{{:.6f}}', weight), (80 - length(name))::int, '=') || ' #' as line from z")
+def mix_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.report(_sizes(spark, sf_dir))
+
+
+@query("""
+select conv_id, string_agg(role, '|' order by turn) as roles, string_agg(turn::varchar, '|' order by turn) as turns from conversations group by conv_id
+""")
+def transposed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("traj"), F.col("turn").alias("t"), "role")
+    rows = S.nested(c).select("traj", S.transposed(F.col("steps"), ["t", "role"]).alias("x"))
+    return rows.select(F.col("traj").alias("conv_id"), F.array_join("x.role", "|").alias("roles"), F.array_join(F.transform("x.t", lambda t: t.cast("string")), "|").alias("turns"))
+
+
+@query(f"""
+with {EVENTS}, g as (select *, last_value(a0) {ALL} as goal from ev)
+select traj, t, round(a0 + goal, 6) + 0 as first_sample, round(a0 * 2 + goal, 6) + 0 as second_sample, a0 as truth0, a1 as truth1 from g
+""")
+def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.events(spark, sf_dir).withColumn("state", at("action", 0))
+    asked = S.rollout(S.chunked(rows, ["state"], window=2, horizon=2), ["state"]).select("traj", "t", at("state", 1).alias("now"), "task_state", "truth")
+
+    def policy(batch):  # two samples of chunks of two actions
+        chunks = [[[k * now + goal, -1.0] for k in (1, 2)] for now, goal in zip(batch["now"], batch["task_state"], strict=True)]
+        return batch[["traj", "t", "truth"]].assign(chunks=chunks)
+
+    out = model.apply_policy(asked, policy, 64, "traj long, t int, truth array<double>, chunks array<array<double>>")
+    first = out.withColumn("p", S.first_predictions(F.col("chunks")))
+    return first.select("traj", "t", r6(at("p", 0)).alias("first_sample"), r6(at("p", 1)).alias("second_sample"), at("truth", 0).alias("truth0"), at("truth", 1).alias("truth1"))
+
+
+@query(f"with {EVENTS} select traj, t, round(coalesce(lag(a0) {W}, a0) * 2 + 1, 6) + 0 as before, round(a0 * 2 + 1, 6) + 0 as now, round(a1 * 2 + 1, 6) + 0 as task from ev")
+def functions_over_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.events(spark, sf_dir).select("traj", "t", at("action", 0).alias("state"), at("action", 1).alias("task"))
+    out = S.over_history(rows.withColumn("state", S.history("state", 2)), lambda x: x * 2 + 1, ["state"], ["task"])
+    return out.select("traj", "t", r6(at("state", 0)).alias("before"), r6(at("state", 1)).alias("now"), r6("task").alias("task"))
+
+
+@query(f"with {EVENTS} select traj, t, round((a0 - 0.25::double) / (2.0::double + 1e-8::double), 6) + 0 as x0, a1 as x1 from ev")
+def online_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.events(spark, sf_dir).withColumnRenamed("action", "proprio")
+    out = control.normalised(rows, {"mean": [0.25, 9.0], "std": [2.0, 3.0], "mask": [True, False]})
+    return out.select("traj", "t", r6(at("proprio", 0)).alias("x0"), at("proprio", 1).alias("x1"))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from wayline.functions import vectors as V
 from wayline.operators import steps as S
 
 
@@ -82,3 +83,22 @@ def executed(df: DataFrame, exec_horizon: int) -> DataFrame:
     ended = F.coalesce(F.bool_or("done").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
     rows = rows.withColumns({"_ended": ended, "reward_so_far": F.sum("reward").over(w)})
     return rows.where(~F.col("_ended")).drop("_ended")
+
+
+def normalised(df: DataFrame, statistics: dict, column: str = "proprio") -> DataFrame:
+    """Vectors of a table or stream normalised by given statistics: ``mean, std`` and, if not all dimensions are, ``mask``."""
+    number = lambda xs: F.array(*(F.lit(float(x)) for x in xs))
+    mask = statistics.get("mask")
+    return df.withColumn(column, V.normalize(F.col(column), number(statistics["mean"]), number(statistics["std"]), None if mask is None else F.array(*(F.lit(bool(x)) for x in mask))))
+
+
+def hooked(df: DataFrame, hooks, checkpoint: str):
+    """A query that calls every hook with each micro-batch and its number, the step."""
+
+    def each(batch: DataFrame, step: int) -> None:
+        batch.persist()
+        for hook in hooks:
+            hook(batch, step)
+        batch.unpersist()
+
+    return df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
