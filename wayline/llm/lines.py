@@ -27,10 +27,12 @@ from pyspark.sql import functions as F
 
 from wayline.llm.common import checkpointed, let, sized, table, whole, words
 
-EDITS = 2
+EDITS = 1
 MIN_CHARS = 20
 #: Distinct lines under a key from which on the rest of each is looked at too.
 CROWD = 32
+#: From the third time on that a crowd is cut anew, so many.
+LARGE_CROWD = 2048
 #: Code points that every segment of a rest must have for a crowd to be cut anew.
 LEAST_PART = 2
 
@@ -154,7 +156,7 @@ def near_lines(lines: DataFrame, edits: int) -> DataFrame:
     for depth in count():
         rows = checkpointed(rows)
         crowd = rows.groupBy("key").agg(F.count_distinct("h").alias("n"), *([F.min(F.length("rest")).alias("least")] if depth else []))
-        crowd = crowd.where(F.col("n") > CROWD)
+        crowd = crowd.where(F.col("n") > (CROWD if depth < 3 else LARGE_CROWD))
         if depth:  # rests become shorter each time; those too short to be cut stay in the crowd they are in
             crowd = crowd.where(F.col("least") >= LEAST_PART * (edits + 1))
         crowd = sized(crowd.select("key"))

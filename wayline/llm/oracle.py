@@ -94,4 +94,4 @@ from t
 """
 
 
-SQL: dict[str, str] = {"op9_line_dedup": op9(2), "op8_quality_rules": OP8, "op7_mix_sources": OP7}
+SQL: dict[str, str] = {"op9_line_dedup": op9(1), "op8_quality_rules": OP8, "op7_mix_sources": OP7}
