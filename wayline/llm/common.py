@@ -73,8 +73,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-#: A table whose rows hold a few numbers is broadcast up to so many rows, counted first; a larger one is joined by a shuffle.
-MOST_BROADCAST = 1_000_000
+#: A table whose rows hold a few numbers (100 bytes or so in the hashed table) is broadcast up to so many rows, counted first: some 20 MB; a larger one is joined by a shuffle.
+MOST_BROADCAST = 200_000
 
 
 def sized(df: DataFrame, weight: Column | None = None) -> DataFrame:
