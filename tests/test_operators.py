@@ -176,6 +176,10 @@ def test_statistics_cache(spark, tmp_path):
     assert first["action"]["mean"] == [2.0] and first["num_transitions"] == 2 and len(calls) == 1
     statistics.cached(spark, str(tmp_path), ["a", "b"], compute, force=True)
     assert len(calls) == 2
+    (tmp_path / "file").write_text("no folder can be made under a file")
+    for _ in range(2):  # kept in the other folder, and read from there
+        assert statistics.cached(spark, str(tmp_path / "file" / "x"), ["c"], compute, fallback=str(tmp_path / "other")) == first
+    assert len(calls) == 3
 
 
 def test_normalise_and_back(spark):

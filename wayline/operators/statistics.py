@@ -99,15 +99,24 @@ def read_json(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
-def cached(spark: SparkSession, folder: str, depends_on: Sequence[str], compute, force: bool = False) -> dict:
-    """The statistics kept under the key of what they depend on; computed and kept if there are none."""
-    path = f"{folder}/stats_{cache_key(*depends_on)}"
-    if not force:
+def cached(spark: SparkSession, folder: str, depends_on: Sequence[str], compute, force: bool = False, fallback: str | None = None) -> dict:
+    """The statistics kept under the key of what they depend on; computed and kept if there are none.
+
+    Where the folder cannot be written to they are kept in the fallback folder, which is read after it.
+    """
+    paths = [f"{own}/stats_{cache_key(*depends_on)}" for own in (folder, fallback) if own]
+    for path in [] if force else paths:
         try:
             return read_json(spark, path)
         except Exception as e:  # noqa: BLE001  Spark tells of a missing path by an analysis error
             if "PATH_NOT_FOUND" not in str(e):
                 raise
     text = compute()
-    write_json(spark, text, path)
+    for place, path in enumerate(paths):
+        try:
+            write_json(spark, text, path)
+            break
+        except Exception:  # noqa: BLE001  of what kind depends on the store
+            if place == len(paths) - 1:
+                raise
     return json.loads(text)

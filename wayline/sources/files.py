@@ -13,6 +13,10 @@ from wayline.functions.uniform import uniform
 from wayline.operators import steps as S
 
 
+#: Rows of a shard that are held at a time.
+ROWS = 5_000
+
+
 def path_of(base: str, name: str, version: str | None = None) -> str:
     """Folder of a source; a name may carry its version after a colon. Any path that Spark reads will do."""
     name, _, own = name.partition(":")
@@ -96,14 +100,17 @@ def records(content: bytes) -> Iterator[bytes]:
 def read_records(spark: SparkSession, path: str, skip_bad: bool = False) -> DataFrame:
     """``path, place, name, texts, floats, ints``: a row for each feature of each record of the shards.
 
-    A task reads whole shards, one at a time, so a shard must fit its memory.
-    With ``skip_bad`` records that do not parse are left out.
+    A task takes whole shards, one at a time and none over 2 GB, which is what
+    Spark reads as one value; their rows leave it some thousand at a time. With
+    ``skip_bad`` records that do not parse are left out.
     """
 
+    names = ["path", "place", "name", "texts", "floats", "ints"]
+
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for p, content in zip(batch["path"], batch["content"], strict=True):
-                rows = []
+                rows: list[tuple] = []
                 for i, record in enumerate(records(content)):
                     try:
                         features = parse_example(record)
@@ -114,7 +121,10 @@ def read_records(spark: SparkSession, path: str, skip_bad: bool = False) -> Data
                     for name, values in features.items():
                         kind = type(values[0]) if values else bytes
                         rows.append((p, i, name, *(values if kind is k else None for k in (bytes, float, int))))
-                yield pd.DataFrame(rows, columns=["path", "place", "name", "texts", "floats", "ints"])
+                    if len(rows) >= ROWS:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
+                yield pd.DataFrame(rows, columns=names)
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(parse, "path string, place long, name string, texts array<binary>, floats array<float>, ints array<long>")
