@@ -592,3 +592,16 @@ def test_pipeline(spark):
     assert len(frames) == 1
     whole = p.run(spark, SMALL)
     assert plain(whole.toPandas().itertuples(index=False)) == plain(pd.DataFrame([r.asDict() for r in coded])[whole.columns].itertuples(index=False))
+
+
+def test_another_pattern_is_taken_as_it_is():
+    """A pattern that joins words across blanks: each of its matches is encoded as one piece."""
+    import public_tokenizers as P
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    pattern = r"\w+ \w+|\w+|[^\w]"
+    texts = ["one two three  four", " a b", "", "x", "é ü ß\n\nq r"]
+    codec = bpe.Codec(bpe.read_ranks(open(P.path("byte_bpe_50k.tiktoken"), "rb").read()), pattern)
+    want = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in codec.encode(texts)] == [want.encode_ordinary(t) for t in texts]

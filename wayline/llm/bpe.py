@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from importlib.util import find_spec
 
 import numpy as np
 import pandas as pd
@@ -42,11 +43,12 @@ def read_ranks(content: bytes) -> dict[bytes, int]:
 
 
 class Codec:
-    """Encoder and decoder of one vocabulary and pattern."""
+    """Encoder and decoder of one vocabulary and pattern; ``separable`` says that no match of the pattern goes over a blank that follows a visible character."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, separable: bool = False):
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
+        self.separable = separable
         # Other texts are cut before each blank that follows a visible character, so that a repeated segment is encoded once.
         self.odd_gap = regex.compile(r"[\s\x1c-\x1f](?= )").search
         self.token = [b""] * (max(ranks.values()) + 1)
@@ -168,9 +170,11 @@ class Codec:
             self.kept[s] = b"".join([done[p] for p in ps])
 
     def segments(self, text: str) -> list[str]:
-        """Parts of the text that the pattern cuts independently of each other."""
+        """Parts of the text that the pattern cuts independently of each other; the whole text for a pattern of which none are known."""
         if not text:
             return []
+        if not self.separable:
+            return [text]
         if text[0] != " " and not self.odd_gap(text):
             first, *rest = text.split(" ")
             return [first, *[" " + x for x in rest]]
@@ -195,14 +199,14 @@ class Codec:
         return b"".join([token[i] for i in np.frombuffer(ids, dtype="<u4").tolist()])
 
 
-_CODECS: dict[tuple[int, str], Codec] = {}
+_CODECS: dict[tuple[int, str, bool], Codec] = {}
 
 
-def _codec(content: bytes, pattern: str) -> Codec:
-    key = (hash(content), pattern)
+def _codec(content: bytes, pattern: str, separable: bool) -> Codec:
+    key = (hash(content), pattern, separable)
     if key not in _CODECS:
         _CODECS.clear()
-        _CODECS[key] = Codec(read_ranks(content), pattern)
+        _CODECS[key] = Codec(read_ranks(content), pattern, separable)
     return _CODECS[key]
 
 
@@ -223,10 +227,11 @@ def encoder(spark: SparkSession, ranks_path: str, pattern: str):
     small_batches(spark)
     with open(ranks_path, "rb") as f:
         content = spark.sparkContext.broadcast(f.read())
+    cut = is_separable(pattern)
 
     @pandas_udf("binary")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = _codec(content.value, pattern)
+        codec = _codec(content.value, pattern, cut)
         for texts in batches:
             yield pd.Series([ids for part in _in_slices(texts.tolist()) for ids in codec.encode(part)], dtype=object)
 
@@ -238,10 +243,11 @@ def decoder(spark: SparkSession, ranks_path: str, pattern: str):
     small_batches(spark)
     with open(ranks_path, "rb") as f:
         content = spark.sparkContext.broadcast(f.read())
+    cut = is_separable(pattern)
 
     @pandas_udf("binary")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = _codec(content.value, pattern)
+        codec = _codec(content.value, pattern, cut)
         for ids in batches:
             yield pd.Series([codec.decode(x) for x in ids], dtype=object)
 
@@ -253,10 +259,11 @@ def round_trip(spark: SparkSession, ranks_path: str, pattern: str):
     small_batches(spark)
     with open(ranks_path, "rb") as f:
         content = spark.sparkContext.broadcast(f.read())
+    cut = is_separable(pattern)
 
     @pandas_udf("struct<ids:binary,decoded:binary>")
     def code(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        codec = _codec(content.value, pattern)
+        codec = _codec(content.value, pattern, cut)
         for texts in batches:
             ids = [x for part in _in_slices(texts.tolist()) for x in codec.encode(part)]
             yield pd.DataFrame({"ids": ids, "decoded": [codec.decode(x) for x in ids]}, dtype=object)
@@ -285,6 +292,11 @@ def public_vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
     return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
+def is_separable(pattern: str) -> bool:
+    """Whether the pattern is the public one, of which it is known where it never joins."""
+    return find_spec("public_tokenizers") is not None and pattern == public_vocabulary()[1]
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_vocabulary()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
