@@ -605,3 +605,55 @@ def test_another_pattern_is_taken_as_it_is():
     codec = bpe.Codec(bpe.read_ranks(open(P.path("byte_bpe_50k.tiktoken"), "rb").read()), pattern)
     want = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     assert [np.frombuffer(x, dtype="<u4").tolist() for x in codec.encode(texts)] == [want.encode_ordinary(t) for t in texts]
+
+
+def test_weight_zero_takes_nothing(spark):
+    rows = spark.createDataFrame([("a", 100, 1.0), ("b", 50, 0.0), ("c", 10, 3.0)], "source string, source_size long, weight double")
+    got = {r["source"]: r["target"] for r in mixing.water_fill(rows, 1.0, 2.0).collect()}
+    assert got == {"a": 140.0, "b": 0.0, "c": 20.0}
+    none = spark.createDataFrame([("a", 100, 0.0), ("b", 50, 0.0)], "source string, source_size long, weight double")
+    assert {r["target"] for r in mixing.water_fill(none, 1.0, 2.0).collect()} == {0.0}
+
+
+def test_links_do_not_depend_on_the_order_of_rows(spark):
+    """A family whose members are about 0.7 alike, so that hardly any pair links but many meet, and one of near copies."""
+    rng, texts = random.Random(9), []
+    base = prose(900, 160).split()
+    for i in range(70):
+        w = list(base)
+        for k in rng.sample(range(160), 3):
+            w[k] = f"own{i}x{k}"
+        texts.append(" ".join(w))
+    near_base = prose(901, 200).split()
+    for i in range(30):
+        w = list(near_base)
+        w[rng.randrange(200)] = f"near{i}"
+        texts.append(" ".join(w))
+    sets = [grams(t) for t in texts]
+    reach = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    want = {i: sum(reach(a, b) for b in sets) - 1 for i, a in enumerate(sets)}
+    classes = near_classes(range(len(texts)), texts)
+    rows = [*enumerate(texts)]
+    for seed, parts in ((1, 1), (2, 5)):
+        random.Random(seed).shuffle(rows)
+        got = near.ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+        assert {r["doc_id"]: r["n_links"] for r in got} == want and {r["doc_id"]: r["class_id"] for r in got} == classes
+
+
+def test_pipeline_takes_edge_rows_and_leaves_no_short_rests(spark, tmp_path):
+    import corpus_pipeline
+
+    shared_lines = [prose(500 + i, 14) for i in range(12)]
+    rests = [(100 + i, "\n".join([*shared_lines, f"only these few words are left {i}"]), "en", "a", 1) for i in range(5)]
+    spark.createDataFrame([*edge_rows(), *rests], SCHEMA).withColumn("score", F.lit("own")).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    after = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        after[name] = docs.collect()
+    kept = {r["doc_id"] for r in after["line_dedup"]}
+    assert kept & {100 + i for i in range(5)} == {100}
+    assert all(len(r["text"].split()) >= quality.LEAST_WORDS for r in after["line_dedup"])
+    assert {r["text"] for r in after["ngram_join"]} <= {r["text"] for r in after["line_dedup"]} and len(after["byte_bpe"]) == len(after["mix_sources"]) > 0
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0

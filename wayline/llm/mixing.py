@@ -10,7 +10,7 @@ the target. The cut is found by three histograms of the hash, so no source,
 however large, is sorted or gathered in one place.
 
 Defined cases: a null text has no words; a null source is a source, the last
-in order; sources without words get the target 0 and are taken 0 times; rows
+in order; sources without words or of weight 0 get the target 0 and are taken 0 times; rows
 of equal id fall on the same side of the cut; an empty table gives an empty
 result. Columns of the caller with the names of added ones are replaced.
 """
@@ -50,11 +50,12 @@ def water_fill(sources: DataFrame, share: float, max_epochs: float) -> DataFrame
     level is not above the next cap. For every larger k the level fits too but
     is lower, so the greatest level that fits is the one.
     """
-    ordered = Window.orderBy(F.col("_cap") / F.col("weight"), "weight", "_cap")
+    ordered = Window.orderBy(F.try_divide("_cap", "weight").asc_nulls_last(), "weight", "_cap")
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
     everyone = Window.partitionBy()
-    level = (F.col("_all") * share - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / (
-        F.sum("weight").over(everyone) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
+    level = F.try_divide(
+        F.col("_all") * share - F.coalesce(F.sum("_cap").over(before), F.lit(0.0)),
+        F.sum("weight").over(everyone) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)),
     )
     filled = (
         sources.withColumn("_cap", F.col("source_size") * float(max_epochs))
@@ -63,7 +64,7 @@ def water_fill(sources: DataFrame, share: float, max_epochs: float) -> DataFrame
         .withColumn("_fits", F.when(F.col("_level") * F.col("weight") <= F.col("_cap"), F.col("_level")))
         .withColumn("_common", F.max("_fits").over(everyone))
     )
-    target = F.coalesce(F.least("_cap", F.col("_common") * F.col("weight")), F.col("_cap"))
+    target = F.when(F.col("weight") > 0, F.coalesce(F.least("_cap", F.col("_common") * F.col("weight")), F.col("_cap"))).otherwise(0.0)
     return filled.withColumn("target", target).drop("_cap", "_all", "_level", "_fits", "_common")
 
 
