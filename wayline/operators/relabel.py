@@ -121,3 +121,12 @@ MODALITIES = {
     "text_conditioned": {"goals": None, "keep_image_prob": 0.0},
     "multimodal": {"goals": "uniform", "keep_image_prob": 0.5},
 }
+
+
+def conditioned(df: DataFrame, modality: str, images: Sequence[str], seed: int = 0, most_ahead: int | None = None, key: S.Keys = S.KEY) -> DataFrame:
+    """Goal images and instructions as a modality has them: goals relabelled where it says so, then one of the two kept."""
+    how = MODALITIES[modality]
+    if how["goals"]:
+        df = relabel_goals(df, images, seed, most_ahead, key)
+        df = df.drop(*images).withColumnsRenamed({f"task_{c}": c for c in images})
+    return delete_conditioning(df, images, how["keep_image_prob"], seed, key=key)

@@ -789,3 +789,52 @@ def online_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.events(spark, sf_dir).withColumnRenamed("action", "proprio")
     out = control.normalised(rows, {"mean": [0.25, 9.0], "std": [2.0, 3.0], "mask": [True, False]})
     return out.select("traj", "t", r6(at("proprio", 0)).alias("x0"), at("proprio", 1).alias("x1"))
+
+
+@query(f"""
+with {EVENTS} select traj, t, round(cos(a0 / 10), 6) + 0 as wave0, round(cos(a0 / 10 * exp(-ln(10000.0::double) / 2)), 6) + 0 as wave1, round(sin(a0 / 10 * exp(-ln(10000.0::double))), 6) + 0 as wave5,
+  round(a0 / 127.5::double - 1, 6) + 0 as plain, round((a1 / 255.0::double - 0.456::double) / 0.224::double, 6) + 0 as scaled, a0 + 1 as second_chunk, 2::int as n_chunks from ev
+""")
+def vector_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.events(spark, sf_dir)
+    waves, both = V.fourier(at("action", 0) / 10, 6), V.chunks(F.concat("action", F.transform("action", lambda x: x + 1)), 2)
+    rows = rows.select("traj", "t", waves.alias("w"), V.pixels(F.col("action")).alias("p"), V.pixels(F.col("action"), "channels").alias("c"), both.alias("b"))
+    return rows.select(
+        "traj", "t", r6(at("w", 0)).alias("wave0"), r6(at("w", 1)).alias("wave1"), r6(at("w", 5)).alias("wave5"), r6(at("p", 0)).alias("plain"), r6(at("c", 1)).alias("scaled"),
+        at("b", 1, 0).alias("second_chunk"), F.size("b").alias("n_chunks"),
+    )
+
+
+@query(f"""
+with {EVENTS}, n as (select *, count(*) over (partition by traj) as n from ev)
+select traj, t, t >= 1 and not (n - 1 - (t - 3) <= 0) as before, not (n - 1 - (t - 3 + 1) <= 0) as now, a0 > 0 or lang = 'click' as any_there, true as none_asked from n
+""")
+def combined_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = S.chunked(S.pad_vectors(views.events(spark, sf_dir).withColumn("a0", at("action", 0))), (), window=2)
+    mask = model.combined_mask(F.col("timestep_pad_mask"), F.col("action_pad_mask"))
+    there = model.any_present([F.col("a0") > 0, F.col("language_instruction") == "click"])
+    return rows.withColumn("m", mask).select("traj", "t", at("m", 0, 0, 0).alias("before"), at("m", 1, 0, 0).alias("now"), there.alias("any_there"), model.any_present([]).alias("none_asked"))
+
+
+@query("""
+select conv_id, turn, 'text/bytes' as name, strlen(text)::double as value from conversations union all select conv_id, turn, 'text/by/chars', length(text)::double from conversations union all select conv_id, turn, 'place', turn::double from conversations
+""")
+def metric_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.struct(F.octet_length("text").alias("bytes"), F.struct(F.length("text").alias("chars")).alias("by"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("turn").alias("place"), text.alias("text"))
+    return evaluate.metric_rows(rows, ["conv_id", "turn"])
+
+
+@query(f"""
+with {EVENTS}, n as (select *, count(*) over (partition by traj) as n from (select traj, t, case when lang = 'error' then '' else lang end as lang from ev)),
+g as (select *, least((t + floor({drawn('goal', "'6'", 'traj', 't')} * (n - t)))::int, (n - 1)::int) as goal from n)
+select 'image_conditioned' as modality, traj, t, true as keep_images, '' as language_instruction, 'img' || goal as image, goal as task_timestep from g
+union all select 'text_conditioned', traj, t, lang = '', lang, case when lang = '' then 'img' || t else '' end, -1 from g
+""")
+def modalities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.when(F.col("language_instruction") == "error", "").otherwise(F.col("language_instruction"))
+    rows = views.events(spark, sf_dir).select("traj", "t", said.alias("language_instruction"), F.concat(F.lit("img"), "t").alias("image"))
+    both = [relabel.conditioned(rows, m, ["image"], 6).withColumn("modality", F.lit(m)) for m in ("image_conditioned", "text_conditioned")]
+    both[1] = both[1].withColumn("task_timestep", F.lit(-1))
+    names = ["modality", "traj", "t", "keep_images", "language_instruction", "image", "task_timestep"]
+    return both[0].select(names).union(both[1].select(names))
