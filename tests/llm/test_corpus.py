@@ -409,10 +409,12 @@ def test_toxicity_is_as_good_as_plain_logistic_regression():
     texts, y = d["text"].fillna("").tolist(), (d["toxic"] > 0).astype(int).to_numpy()
     sets = [np.array(sorted({x for w in toxicity.words_of(t) for x in toxicity.buckets_of(w)}), dtype=np.int64) for t in texts]
     m = toxicity.train([s for s, h in zip(sets, held, strict=True) if not h], y[~held])
-    names, back = np.unique(np.concatenate(sets), return_inverse=True)
-    x = np.zeros((len(sets), len(names)), dtype=np.float32)
-    x[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), back] = 1
-    w, b = np.zeros(len(names)), 0.0
+    names, back, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    doc, common = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), often[back] >= 5
+    place = np.cumsum(often >= 5) - 1
+    x = np.zeros((len(sets), int((often >= 5).sum())), dtype=np.float32)
+    x[doc[common], place[back[common]]] = 1
+    w, b = np.zeros(x.shape[1], dtype=np.float32), 0.0
     for _ in range(300):
         g = 1 / (1 + np.exp(-(x[~held] @ w + b))) - y[~held]
         w -= 0.01 * (x[~held].T @ g / len(g) + 1e-4 * w)
