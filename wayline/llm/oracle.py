@@ -94,4 +94,33 @@ from t
 """
 
 
-SQL: dict[str, str] = {"op9_line_dedup": op9(1), "op8_quality_rules": OP8, "op7_mix_sources": OP7}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: Checksums by the usual table of 256 remainders, made here by eight shifts each; buckets and counts over distinct features.
+OP13 = rf"""
+with step as (
+  select b, list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end, b::bigint) as c from range(256) r(b)),
+tab as (select list(c order by b) as tab from step),
+texts as (select doc_id, coalesce(text, '') as text, true as own from documents union all select null, coalesce(text, ''), false from benchmark),
+w as (select doc_id, own, row_number() over () as k, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from texts),
+f as (
+  select k, own, f, count(*) as n
+  from (select k, own, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as f from w) group by all),
+hexed as (select f, hex(encode(f)) as h from (select distinct f from f)),
+bytes as (select f, list_transform(range(1, len(h) // 2 + 1), lambda i: ('0x' || substring(h, 2 * i - 1, 2))::bigint) as x from hexed),
+crc as (select f, xor(list_reduce(x, lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295::bigint), 4294967295::bigint) % 10000 as bucket from bytes, tab),
+counts as (select bucket, coalesce(sum(n) filter (own), 0) as s, coalesce(sum(n) filter (not own), 0) as t from f join crc using (f) group by bucket),
+every as (select coalesce(sum(s), 0)::double as s, coalesce(sum(t), 0)::double as t from counts),
+gain as (select bucket, floor(1000 * ln((c.t + 1)::double * (e.s + 10000) / ((c.s + 1)::double * (e.t + 10000)))) as gain from counts c, every e),
+mean as (select k, sum(n)::bigint as n_features, floor(sum(n * gain) / sum(n))::bigint as weight from f join crc using (f) join gain using (bucket) where own group by k),
+d as (
+  select doc_id, coalesce(n_features, 0)::bigint as n_features, coalesce(weight, 0)::bigint as weight, len(w) >= 20 as drawable,
+    (('0x' || substring(sha256('7:' || doc_id), 1, 8))::bigint + 0.5::double) / 4294967296 as u
+  from w left join mean using (k) where own),
+s as (select *, weight + floor(-1000 * ln(-ln(u)))::bigint as score from d),
+r as (select *, row_number() over (partition by drawable order by score desc, doc_id) as place, 25 * count(*) over (partition by drawable) // 100 as drawn from s)
+select doc_id, n_features, weight, score, case when drawable and place <= drawn then place end as rank from r
+"""
+
+
+SQL: dict[str, str] = {"op9_line_dedup": op9(1), "op8_quality_rules": OP8, "op7_mix_sources": OP7, "op13_importance_resampling": OP13}
