@@ -1,22 +1,25 @@
 """License scans by a positional index of rare words.
 
 A template is the wording of a license notice with key phrases it must not
-lack. The index holds, for each template, its words of highest inverse document
-frequency over all documents and the positions at which they stand in it. Of a
-file the words that are in the index (its license words of highest frequency
-rank) are looked up; each place of such a word votes, for every posting, for
-the place at which the template would begin. Votes for one template that agree
-within its slack, from enough of its rare words, make a candidate; there its
-key phrases must all stand at their places relative to each other, within the
-slack, and the words in the template's place must be those of the template to a
-least share, weighted by inverse document frequency. That share is the
-placement's score. Placements add labels to the base ones: a base phrase is
-found wherever its words stand one after the other, and scores 1.
-
-Nothing is capped: the index keeps the rare words of every template, so a long
-file with many license words of one kind loses none of another kind, and all
-votes count. Document frequencies are taken over all documents of the table,
-for the words of templates only, whose number is that of the templates' words.
+lack. The index holds, for each template, the words of its key phrases that
+have the highest inverse document frequency over all documents, and the
+positions at which they stand in it. Of a file the words that are in the index
+(its license words of highest frequency rank) are looked up; each place of such
+a word votes, for every posting, for the place at which the template would
+begin. Where all rare words of one template vote for places within its slack
+there is a candidate; there its key phrases must all stand at their places
+relative to the first, within the slack, and the words in the template's place
+must be those of the template to a least share, weighted by inverse document
+frequency. That share is the placement's score. Placements add labels to the
+base ones: a base phrase is found wherever its words stand one after the other,
+and scores 1.
+
+The lookup loses nothing: whatever passes the key phrases holds all the rare
+words, as these are taken from them, and nothing is capped, so a long file with
+many license words of one kind loses none of another kind. Document frequencies
+are taken over all documents of the table, for the words of templates only,
+whose number is that of the templates' words; each template counts as one more
+document, so that small tables rank words sensibly.
 
 Defined cases: a null text is the empty text; texts without words have 0 words,
 no places, no labels and the score 0; ties of document frequency go by word;
@@ -127,8 +130,8 @@ TEMPLATES = (
     Template("cc0-1", "dedicated to the public domain under the Creative Commons CC0 1.0 Universal Public Domain Dedication", ("cc0 1 0 universal",)),
 )
 
-#: Rare words of a template in the index, and the least share of them whose places must agree.
-RARE, LEAST_VOTES = 8, 0.5
+#: Rare words of a template in the index.
+RARE = 8
 #: Least share of a template's words, by weight, in its place.
 LEAST_SHARE = 0.7
 
@@ -168,12 +171,14 @@ class Index:
 
     def __init__(self, vocabulary: Vocabulary, doc_counts: dict[int, int], n_docs: int):
         self.vocabulary = v = vocabulary
-        self.idf = np.array([math.log((n_docs + 1) / (doc_counts.get(i, 0) + 1)) + 1e-3 for i in range(len(v.word_list))])
+        own = [v.numbers(words(t.text.encode())) for t in v.templates]
+        held = np.bincount(np.concatenate([np.unique(x) for x in own]), minlength=len(v.word_list))
+        self.idf = np.array([math.log((n_docs + len(own) + 1) / (doc_counts.get(i, 0) + n + 0.5)) for i, n in enumerate(held.tolist())])
         self.base = [(v.numbers(words(p.encode())), label) for p, label in v.base]
         self.texts, self.keys, self.counts, self.rare, self.slack = [], [], [], [], []
         postings = []
         for k, t in enumerate(v.templates):
-            ids = v.numbers(words(t.text.encode()))
+            ids = own[k]
             self.texts.append(ids)
             phrases = [v.numbers(words(p.encode())) for p in t.keys]
             starts = [places(ids, p) for p in phrases]
@@ -182,9 +187,10 @@ class Index:
             self.keys.append([(p, int(s[0])) for p, s in zip(phrases, starts, strict=True)])
             self.counts.append(np.bincount(ids, minlength=len(v.word_list)))
             self.slack.append(slack_of(len(ids)))
-            rare = sorted(set(ids.tolist()), key=lambda i: (-self.idf[i], v.word_list[i]))[:RARE]
+            spots = sorted({q + i for p, q in self.keys[k] for i in range(len(p))})
+            rare = sorted({int(ids[q]) for q in spots}, key=lambda i: (-self.idf[i], v.word_list[i]))[:RARE]
             self.rare.append(len(rare))
-            postings += [(w, k, q, r) for r, w in enumerate(rare) for q in np.flatnonzero(ids == w).tolist()]
+            postings += [(w, k, q, r) for r, w in enumerate(rare) for q in spots if ids[q] == w]
         postings.sort()
         p = np.array(postings, dtype=np.int64).reshape(-1, 4)
         self.template, self.place, self.bit = p[:, 1], p[:, 2], np.int64(1) << p[:, 3]
@@ -202,11 +208,11 @@ class Index:
         order = np.lexsort((start, template))
         template, start, bit = template[order], start[order], bit[order]
         new = np.ones(len(start), dtype=bool)
-        new[1:] = (template[1:] != template[:-1]) | (np.diff(start) > np.array(self.slack)[template[1:]])
+        new[1:] = (template[1:] != template[:-1]) | (np.diff(start) > 2 * np.array(self.slack)[template[1:]])
         begins = np.flatnonzero(new)
         votes = np.bitwise_or.reduceat(bit, begins)
         ends = np.append(begins[1:], len(start)) - 1
-        return [(k, int(start[b]), int(start[e])) for b, e, k, x in zip(begins, ends, template[begins].tolist(), votes.tolist(), strict=True) if x.bit_count() >= LEAST_VOTES * self.rare[k]]
+        return [(k, int(start[b]), int(start[e])) for b, e, k, x in zip(begins, ends, template[begins].tolist(), votes.tolist(), strict=True) if x.bit_count() == self.rare[k]]
 
     def placements(self, ids: np.ndarray) -> list[tuple[str, int, int, float]]:
         """Label, first word, the word after the last, and score, of each verified template."""

@@ -143,7 +143,7 @@ def packed_rows(rows: DataFrame, cells: Cells, size: int) -> DataFrame:
             yield block()
 
     schema = "block long, ids binary, labels binary, vectors binary, codes binary" + "".join(f", {c} array<{rows.schema[c].dataType.simpleString()}>" for c in extra)
-    return rows.coalesce(min(parts, wanted)).select("vec_id", "label", "v", *extra).mapInArrow(pack, schema)
+    return rows.coalesce(max(1, min(parts, wanted))).select("vec_id", "label", "v", *extra).mapInArrow(pack, schema)
 
 
 def fitted(rows: DataFrame) -> Cells:
@@ -235,7 +235,7 @@ def _met(anchors: DataFrame, rows: DataFrame) -> DataFrame:
     return left.hint("merge").join(right, "lane").drop("lane")
 
 
-_FOUND = "anchor_id long, positive_id long, positive_score long, score long, row_id long"
+_FOUND = "anchor_id long, place long, positive_id long, positive_score long, score long, row_id long"
 
 
 class Pass:
@@ -248,7 +248,7 @@ class Pass:
 
     def found(self) -> pa.RecordBatch:
         out = [(int(a), *key, s, x) for a, per in zip(self.anchors.ids, self.kept, strict=True) for key, (scores, ids) in per for s, x in zip(scores.tolist(), ids.tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 5)], ["anchor_id", "positive_id", "positive_score", "score", "row_id"])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 6)], ["anchor_id", "place", "positive_id", "positive_score", "score", "row_id"])
 
 
 class Nearest(Pass):
@@ -256,7 +256,7 @@ class Nearest(Pass):
 
     def __init__(self, r: dict, cells: Cells, k: int):
         super().__init__(r, cells)
-        self.k, self.kept = k, [[((None, None), _NONE)] for _ in self.queries]
+        self.k, self.kept = k, [[((None,) * 3, _NONE)] for _ in self.queries]
 
     def meet(self, rows: Block) -> None:
         of_label = {x: np.flatnonzero(rows.labels == x) for x in np.unique(self.anchors.labels).tolist()}
@@ -264,7 +264,7 @@ class Nearest(Pass):
             own = of_label[int(self.anchors.labels[i])]
             own = own[rows.ids[own] != self.anchors.ids[i]]
             if len(own):
-                self.kept[i] = [((None, None), nearest_in(rows, q, self.tables[i], own, self.kept[i][0][1], self.k))]
+                self.kept[i] = [((None,) * 3, nearest_in(rows, q, self.tables[i], own, self.kept[i][0][1], self.k))]
 
 
 class Windowed(Pass):
@@ -273,7 +273,7 @@ class Windowed(Pass):
     def __init__(self, r: dict, cells: Cells, k: int, low: int, high: int):
         super().__init__(r, cells)
         self.k = k
-        self.kept = [[((p["positive_id"], p["score"]), _NONE) for p in per] for per in r["positives"]]
+        self.kept = [[((p["place"], p["positive_id"], p["score"]), _NONE) for p in per] for per in r["positives"]]
         self.windows = [[(-(-low * p["score"] // 100), high * p["score"] // 100) for p in per] for per in r["positives"]]
 
     def meet(self, rows: Block) -> None:
@@ -316,10 +316,10 @@ def mine(rows: DataFrame, is_anchor: Column, positives: int = POSITIVES, negativ
     file = checkpointed(packed_rows(rows, cells, ROWS))
     anchors = checkpointed(rows.where(is_anchor).groupBy("vec_id").agg(F.min(F.struct("label", "v")).alias("m")).select("vec_id", "m.*"))
     near = _run(_met(packed_rows(anchors, cells, ANCHORS), file), lambda r: Nearest(r, cells, positives), cells)
-    near = _top(near, ["anchor_id"], positives).groupBy("anchor_id").agg(F.collect_list(F.struct(F.col("row_id").alias("positive_id"), "score")).alias("positives"))
+    near = _top(near, ["anchor_id"], positives).groupBy("anchor_id").agg(F.collect_list(F.struct(F.col("rank").alias("place"), F.col("row_id").alias("positive_id"), "score")).alias("positives"))
     queries = checkpointed(anchors.join(near, anchors["vec_id"] == near["anchor_id"]).drop("anchor_id"))
     hard = _run(_met(packed_rows(queries, cells, ANCHORS), file), lambda r: Windowed(r, cells, negatives, low, high), cells)
-    best = _top(hard, ["anchor_id", "positive_id", "positive_score"], negatives)
+    best = _top(hard, ["anchor_id", "place"], negatives)
     return best.select("anchor_id", "positive_id", "rank", F.col("row_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
 
 

@@ -132,10 +132,10 @@ def _order(doc_id: str) -> list[Column]:
 
 def _scored(docs: DataFrame, weights: DataFrame, seed: int, least_words: int, text: str, doc_id: str) -> DataFrame:
     """The rows with ``n_features, weight, score`` and ``_drawable``; copies of one text meet its weight by its digest."""
-    docs = docs.drop("n_features", "weight", "score", "rank", "_digest", "_drawable").withColumn("_digest", F.unhex(F.sha2(whole(F.col(text)), 256)))
-    weights = weights.select(F.col("digest").alias("_key"), F.col("n_features").alias("_f"), F.col("weight").alias("_w"), (F.col("n_words") >= least_words).alias("_drawable"))
-    both = docs.join(weights, F.col("_digest") == F.col("_key"))
-    return both.select(*docs.drop("_digest").columns, F.col("_f").alias("n_features"), F.col("_w").alias("weight"), (F.col("_w") + noise(F.col(doc_id), seed)).alias("score"), "_drawable")
+    own = [c for c in docs.columns if c not in ("n_features", "weight", "score", "_drawable")]
+    rows = docs.select(F.struct(*own).alias("row"), F.col(doc_id).alias("id"), F.unhex(F.sha2(whole(F.col(text)), 256)).alias("digest"))
+    both = rows.join(weights, "digest")
+    return both.select("row.*", "n_features", "weight", (F.col("weight") + noise(F.col("id"), seed)).alias("score"), (F.col("n_words") >= least_words).alias("_drawable"))
 
 
 def _prepared(docs: DataFrame, target: DataFrame, percent: int, least_words: int, text: str) -> tuple[DataFrame, int]:
