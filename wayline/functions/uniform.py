@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ def uniform(*key: Column | str | int) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
+def plain_uniform(*key: str | int) -> float:
+    """The same within a task."""
+    return int(hashlib.md5(":".join(map(str, key)).encode()).hexdigest()[:8], 16) / 4294967296.0
+
+
 def sql_uniform(*key: str) -> str:
     """DuckDB text of the same; constants of the key come quoted."""
     joined = ", ".join(f"({k})::varchar" for k in key)

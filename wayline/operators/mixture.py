@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayline.functions.uniform import uniform
+from wayline.functions.uniform import plain_uniform, uniform
 
 #: Slots of a mix that are numbered together.
 BLOCK = 1 << 20
@@ -151,6 +152,62 @@ def batches(df: DataFrame, size: int, seed: int, *key: str) -> DataFrame:
     return out.withColumns({"batch_id": F.floor((F.col("_rn") - 1) / size), "place": (F.col("_rn") - 1) % size}).drop("_rn")
 
 
+def file_lanes(df: DataFrame, file: str, lanes: int, seed: int = 0) -> DataFrame:
+    """``lane`` and ``file_draw`` of each row: files in the order of a draw, dealt out to the lanes in turn. A row a file is ordered in one task."""
+    draw = uniform("file", seed, F.col(file))
+    files = df.select(F.col(file).alias("_file")).distinct()
+    rank = F.row_number().over(Window.orderBy(uniform("file", seed, F.col("_file")), "_file")) - 1
+    dealt = files.select("_file", (rank % lanes).cast("int").alias("lane"))
+    return df.join(dealt, F.col(file).eqNullSafe(F.col("_file"))).drop("_file").withColumn("file_draw", draw)
+
+
+def buffer_shuffled(df: DataFrame, order: Sequence[str], size: int, lanes: int, seed: int = 0, lane: str = "lane") -> DataFrame:
+    """The rows of each lane from 0 to ``lanes`` in the order in which a buffer of ``size`` rows lets them go, numbered by ``place`` from 0.
+
+    A lane is a partition, read in the given order. Its first rows fill the
+    buffer; each further row takes the place in it that a draw of the lane and
+    the row's number names, and the row that was there goes. What is left at the
+    end goes by a draw for each place of the buffer. So a row moves forwards by
+    less than ``size`` places, backwards by any number, and memory holds a
+    buffer and a batch. A rerun, or another partitioning of the input, gives the
+    same order if ``order`` leaves no ties.
+    """
+    if size < 1 or lanes < 1:
+        raise ValueError("a buffer needs a row, and rows a lane")
+    rows = df.drop("place").repartitionById(lanes, F.col(lane)).sortWithinPartitions(lane, *order)
+
+    def let_go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held, n, at = None, None, 0, 0
+
+        def numbered_from(t: pa.Table, start: int) -> list[pa.RecordBatch]:
+            return t.append_column("place", pa.array(range(start, start + len(t)), pa.int64())).combine_chunks().to_batches()
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            own = batch[lane][0].as_py() if own is None else own
+            kept = 0 if held is None else len(held)
+            slots, gone = list(range(kept)), []
+            for k in range(len(batch)):
+                if n < size:
+                    slots.append(kept + k)
+                else:
+                    s = int(plain_uniform("buffer", seed, own, n) * size)
+                    gone.append(slots[s])
+                    slots[s] = kept + k
+                n += 1
+            new = pa.Table.from_batches([batch])
+            both = new if held is None else pa.concat_tables([held, new])
+            yield from numbered_from(both.take(pa.array(gone, pa.int64())), at)
+            at += len(gone)
+            held = both.take(pa.array(slots, pa.int64())).combine_chunks()
+        if held is not None:
+            rest = sorted(range(len(held)), key=lambda s: (plain_uniform("flush", seed, own, s), s))
+            yield from numbered_from(held.take(rest), at)
+
+    return rows.mapInArrow(let_go, T.StructType([*rows.schema.fields, T.StructField("place", T.LongType())]))
+
+
 def iterate(df: DataFrame, prefetch: bool = True):
     """Rows one by one, a partition at a time."""
     return df.toLocalIterator(prefetchPartitions=prefetch)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from wayline.functions.uniform import uniform
 from wayline.operators import mixture, relabel, statistics, steps
+from wayline.operators.skips import Skipped
 
 
 @dataclass(frozen=True)
@@ -65,7 +66,8 @@ class Source:
 
     ``mask`` says which dimensions of the action are normalised; ``given`` may
     hold rows of ``statistics.vectors_of`` for ``action`` and ``proprio``;
-    with ``skip_norm`` both stay as they are.
+    with ``skip_norm`` both stay as they are. ``bad`` is true of standard steps
+    that cannot be used: their trajectories are skipped whole, and counted.
     """
 
     name: str
@@ -77,14 +79,21 @@ class Source:
     weight: float = 1.0
     given: dict[str, DataFrame] = field(default_factory=dict)
     skip_norm: bool = False
+    bad: Column | None = None
 
     def standard_steps(self) -> DataFrame:
         return self.standard(reduce(lambda d, f: f(d), self.filters, self.steps))
 
 
-def single(source: Source, transforms: TrajectoryTransforms, split: str | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """Steps of one source, action and proprio (if it has one) normalised by the statistics of all of it, and these."""
+def single(source: Source, transforms: TrajectoryTransforms, split: str | None = None, skipped: Skipped | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Steps of one source, action and proprio (if it has one) normalised by the statistics of all of it, and these.
+
+    Trajectories with steps that cannot be used count in ``skipped`` under the
+    source's name, and in no statistic.
+    """
     rows = source.standard_steps()
+    if source.bad is not None:
+        rows = (skipped or Skipped()).trajectories(rows, source.bad, source.name, transforms.key)
     stats = dict(source.given)
     for column in ("action", "proprio"):
         if column in rows.columns and column not in stats:
@@ -106,14 +115,14 @@ def validation(source: Source, transforms: TrajectoryTransforms, train: bool = F
     return single(source, replace(transforms, train=train), "train" if train else "val")
 
 
-def interleaved(sources: Sequence[Source], transforms: TrajectoryTransforms, n: int | None = None, balance: bool = True, seed: int = 0) -> DataFrame:
+def interleaved(sources: Sequence[Source], transforms: TrajectoryTransforms, n: int | None = None, balance: bool = True, seed: int = 0, skipped: Skipped | None = None) -> DataFrame:
     """n frames (by default those of an epoch) drawn from the sources by weight, each source normalised by its own statistics."""
     names = [s.name for s in sources]
     if len({*names}) < len(names):
         raise ValueError("a source is there twice")
     frames, sizes = [], []
     for s in sources:
-        rows, stats = single(s, transforms)
+        rows, stats = single(s, transforms, skipped=skipped)
         frames.append(numbered_frames(rows, s.name, transforms.key, seed))
         sizes.append(stats["action"].select(F.lit(s.name).alias("name"), F.lit(float(s.weight)).alias("weight"), F.col("num_transitions")))
     known = reduce(DataFrame.unionByName, sizes)

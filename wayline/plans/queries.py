@@ -9,14 +9,14 @@ from wayline.functions import vectors as V
 from wayline.functions.uniform import uniform
 from wayline.operators import evaluate, mixture, model, relabel, standardise, statistics
 from wayline.operators import steps as S
-from wayline.plans import standards, views
+from wayline.plans import loading, standards, views
 from wayline.plans.pipelines import Source, TrajectoryTransforms, interleaved, single, validation
 from wayline.plans.views import ARM, EVENTS, ITEMS, drawn, table
 from wayline.sources import catalog
 from wayline.streaming import control
 
-QUERIES: dict[str, object] = {**standards.QUERIES}
-SQL: dict[str, str] = {**standards.SQL}
+QUERIES: dict[str, object] = {**standards.QUERIES, **loading.QUERIES}
+SQL: dict[str, str] = {**standards.SQL, **loading.SQL}
 
 
 def query(sql: str | None = None):
