@@ -14,6 +14,7 @@ from wayline.plans.pipelines import Source, TrajectoryTransforms, interleaved, s
 from wayline.plans.views import EVENTS, ITEMS, drawn
 from wayline.sources import files, records
 from wayline.sources.shared import new_folder
+from wayline.streaming import ordered
 
 QUERIES: dict[str, object] = {}
 SQL: dict[str, str] = {}
@@ -137,3 +138,45 @@ def buffered_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps file by file in the order of a draw, through a bounded buffer; the kind of event stands for a file."""
     rows = mixture.file_lanes(views.events(spark, sf_dir).select("traj", "t", F.col("language_instruction").alias("file")), "file", LANES, 9)
     return mixture.buffer_shuffled(rows, ["file_draw", "file", "traj", "t"], BUFFER, LANES, 9).select("lane", "traj", "t", "place")
+
+
+def _streamed(df: DataFrame, batches: int, through) -> DataFrame:
+    """A table cut at random into so many files, sent through a stream one file after the other; what comes out is kept in the shared folder."""
+    spark = df.sparkSession
+    path, out, name = new_folder(spark, "in"), new_folder(spark, "out"), "spark.sql.streaming.stateStore.providerClass"
+    lot = F.floor(uniform("lot", F.col("traj"), F.col("t")) * batches).cast("int")
+    df.withColumn("lot", lot).repartition("lot").write.partitionBy("lot").parquet(path)
+    before = spark.conf.get(name)
+    ordered.use_state_store(spark)
+    try:
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/lot=*")
+        through(stream).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start(f"{out}/rows").awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.parquet(f"{out}/rows")
+
+
+@query(f"""
+with {EVENTS}
+select traj, t, coalesce(lag(a0, 2) over w, first_value(a0) over w) as h0, coalesce(lag(a0) over w, a0) as h1, a0 as h2, t >= 2 as m0, t >= 1 as m1
+from ev window w as (partition by traj order by t)
+""")
+def late_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of steps that three micro-batches bring in no order."""
+    rows = views.events(spark, sf_dir).select("traj", "t", F.slice("action", 1, 1).alias("x"))
+    out = _streamed(rows, 3, lambda s: ordered.histories(s, 3)).where("not late")
+    cell = lambda i: F.get(F.get("history", i), 0)
+    return out.select("traj", "t", cell(0).alias("h0"), cell(1).alias("h1"), cell(2).alias("h2"), F.get("mask", 0).alias("m0"), F.get("mask", 1).alias("m1"))
+
+
+@query(f"""
+with {EVENTS}, x as (select traj, t as made, unnest(range(4)) as j, a0 from ev),
+c as (select traj, made, (made + j)::int as t, a0 + j as v, row_number() over (partition by traj, made + j order by made) - 1 as i from x),
+w as (select traj, t, sum(v * exp(-0.1::double * i)) / sum(exp(-0.1::double * i)) as action from c group by traj, t)
+select traj, t, round(action, 6) + 0 as action from w join ev using (traj, t)
+""")
+def late_ensembles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ensembles of chunks that three micro-batches bring in no order."""
+    rows = views.events(spark, sf_dir).select("traj", "t", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: F.get("action", 0) + j).alias("chunk"))
+    out = _streamed(rows, 3, lambda s: ordered.ensembles(s, 4, 0.1)).where("not late")
+    return out.select("traj", "t", (F.round("action", 6) + 0.0).alias("action"))
