@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayline.functions.uniform import plain_uniform, uniform
+from wayline.sources.shared import checkpointed
 
 #: Slots of a mix that are numbered together.
 BLOCK = 1 << 20
@@ -46,6 +47,25 @@ def numbered(df: DataFrame, by: Column, ties: Sequence[str] = (), name: str = "r
     return out.drop("_own", "_by", "_part")
 
 
+def numbered_within(df: DataFrame, group: str, order: Sequence[str], name: str = "rn") -> DataFrame:
+    """Row numbers from 0 within each group by the order, whatever the groups' sizes.
+
+    All rows are range-partitioned by group and order; a row's number is its
+    place in its partition, less the rows there of groups before its own, plus
+    those of its group in partitions before. Of a partition only its first row
+    of each group is told, so a row a partition and group is gathered. Rows that
+    tie in all of the order may swap numbers in a rerun.
+    """
+    by = [F.col(group).asc_nulls_first(), *(F.col(c).asc_nulls_first() for c in order)]
+    rows = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
+    rows = checkpointed(rows).withColumn("_part", F.shiftright("_at", 33))
+    runs = rows.groupBy(F.col(group).alias("_group"), "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_count"))
+    before = F.sum("_count").over(Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.withColumn("_offset", F.coalesce(before, F.lit(0)) - F.col("_first")).withColumnRenamed("_part", "_of").drop("_count", "_first")
+    met = rows.join(runs, (F.col("_part") == F.col("_of")) & F.col(group).eqNullSafe(F.col("_group")))
+    return met.withColumn(name, F.col("_at") + F.col("_offset")).drop("_at", "_part", "_of", "_offset", "_group")
+
+
 def split(df: DataFrame, key: str, share: float = 0.95, name: str = "split") -> DataFrame:
     """``train`` for the first share of the trajectories by key, rounded to a whole number of them, ``val`` for the rest."""
     keys = numbered(df.select(key).distinct(), F.col(key), name="_rn")  # keys of any type that has an order

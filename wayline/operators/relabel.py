@@ -21,19 +21,19 @@ def goal_index(u: Column, n: Column, most_ahead: int | None = None, t: Column |
 def relabel_goals(df: DataFrame, columns: Sequence[str], seed: int = 0, most_ahead: int | None = None, key: S.Keys = S.KEY) -> DataFrame:
     """``task_<column>`` of a later step of the same trajectory, and ``task_timestep``, its time.
 
-    A trajectory becomes one row of its steps in order, in which the goal is
-    found by its place; so a trajectory of n steps costs n, and nothing is joined.
+    Steps are numbered by ``t`` from 0. Each step fetches its goal's columns by
+    trajectory and place, in a join; the lengths of trajectories come from a
+    count. So no task or row holds more of a trajectory than the steps that
+    fall to it, and what is not fetched does not move twice.
     """
     u = uniform("goal", seed, *(F.col(k) for k in key), F.col("t"))
-    one = S.nested(df.withColumn("_u", u), key)
-
-    def with_goal(step: Column) -> Column:
-        there = goal_index(step["_u"], F.size("steps"), most_ahead, step["t"])
-        rest = (step[c].alias(c) for c in df.columns if c not in key)
-        return F.struct(*rest, there.alias("task_timestep"), *(F.get(F.col("steps"), there)[c].alias(f"task_{c}") for c in columns))
-
-    out = one.select(*key, F.inline(F.transform("steps", with_goal)))
-    return out.select(*df.columns, "task_timestep", *(f"task_{c}" for c in columns))
+    own = F.struct(*key)
+    lengths = df.groupBy(own.alias("_own")).agg(F.count(F.lit(1)).alias("_n"))
+    goals = df.select(F.struct(*key, F.col("t").cast("int").alias("t")).alias("_goal"), *(F.col(c).alias(f"task_{c}") for c in columns))
+    there = goal_index(u, F.col("_n"), most_ahead)
+    rows = df.drop("task_timestep", *(f"task_{c}" for c in columns)).withColumn("_own", own).join(lengths, "_own").withColumn("task_timestep", there)
+    rows = rows.withColumn("_goal", F.struct(*key, F.col("task_timestep").alias("t"))).join(goals, "_goal", "left")
+    return rows.select(*df.columns, "task_timestep", *(f"task_{c}" for c in columns))
 
 
 def rephrase(df: DataFrame, phrases: DataFrame, prob: float, seed: int = 0, column: str = "language_instruction", key: S.Keys = S.KEY) -> DataFrame:

@@ -6,25 +6,80 @@ import hashlib
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayline.functions import vectors as V
+from wayline.sources.shared import checkpointed
+
+
+#: Intervals into which a pass of ``exact_quantiles`` cuts each range.
+BINS = 1024
+
+
+def _magnitude(x: Column) -> Column:
+    """Grows with x, by its logarithm to both sides of zero; doubles lie within 1,460 of it."""
+    return F.signum(x) * (F.coalesce(F.ln(F.nullif(F.abs(x), F.lit(0.0))), F.lit(0.0)) + 746)
+
+
+def _interval(x: Column, low: Column, high: Column) -> Column:
+    """Of equal width, by magnitude in ranges that span zero or a factor over 1,024; the ends have intervals of their own, so that every pass narrows every range."""
+    wide = (F.signum(low) * F.signum(high) <= 0) | (F.greatest(F.abs(low), F.abs(high)) / 1024 > F.least(F.abs(low), F.abs(high)))
+    y = lambda c: F.when(wide, _magnitude(c)).otherwise(c / 2)  # noqa: E731  halves, as the width may be no double
+    share = F.nanvl((y(x) - y(low)) / (y(high) - y(low)), F.lit(0.0))
+    inner = F.least(F.greatest(F.floor(share * (BINS - 2)).cast("int"), F.lit(0)), F.lit(BINS - 3)) + 1
+    return F.when(x == low, 0).when(x == high, BINS - 1).otherwise(inner)
+
+
+def exact_quantiles(flat: DataFrame, key: Sequence[str], quantiles: Sequence[float], x: str = "x") -> DataFrame:
+    """``<key>, q``: for each key the interpolated quantiles of its numbers, in the order asked for.
+
+    Order statistics are found by passes over the rows. Each pass counts the
+    numbers of a range in ``BINS`` intervals, with the least and greatest in
+    each, and the interval that holds the wanted rank is the next range, until
+    a range is one value: a pass for the magnitude, and one for each factor of a
+    thousand in what numbers differ by within it, six at most. What is kept of a key is a few ranges, and of a pass the
+    intervals of these, whatever the rows. Nulls do not count; NaN is above all
+    numbers; a key without numbers has no row.
+    """
+    k = F.struct(*key)
+    rows = flat.where(F.col(x).isNotNull()).select(k.alias("_k"), F.col(x).cast("double").alias("_x"))
+    ends = rows.groupBy("_k").agg(F.count("*").alias("n"), F.min("_x").alias("low"), F.max("_x").alias("high"))
+    place = [F.lit(float(q)) * (F.col("n") - 1) for q in quantiles]
+    ranks = F.array_distinct(F.array(*(f(p).cast("long") for p in place for f in (F.floor, F.ceil))))
+    found = checkpointed(ends.select("_k", "n", F.explode(ranks).alias("rank"), "low", "high", F.lit(0).cast("long").alias("before")))
+    while not (open_ := found.where("low < high")).isEmpty():
+        ranges = open_.select("_k", "low", "high", "before").distinct()
+        inside = rows.join(ranges, "_k").where(F.col("_x").between(F.col("low"), F.col("high")))
+        counts = inside.groupBy("_k", "low", "high", "before", _interval(F.col("_x"), F.col("low"), F.col("high")).alias("bin")).agg(F.count("*").alias("c"), F.min("_x").alias("_low"), F.max("_x").alias("_high"))
+        upto = F.sum("c").over(Window.partitionBy("_k", "low", "high").orderBy("bin"))
+        counts = counts.withColumn("_upto", F.col("before") + upto).withColumn("_before", F.col("_upto") - F.col("c"))
+        narrowed = open_.drop("before").join(counts.drop("before"), ["_k", "low", "high"]).where((F.col("rank") >= F.col("_before")) & (F.col("rank") < F.col("_upto")))
+        narrowed = narrowed.select("_k", "n", "rank", F.col("_low").alias("low"), F.col("_high").alias("high"), F.col("_before").alias("before"))
+        found = checkpointed(found.where("not low < high").unionByName(narrowed))
+    values = found.groupBy("_k").agg(F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("rank", "low"))).alias("_v"))
+
+    def between(p: Column) -> Column:
+        low, high = (F.element_at("_v", f(p).cast("long")) for f in (F.floor, F.ceil))
+        return F.when(low == high, low).otherwise(low + (p - F.floor(p)) * (high - low))
+
+    return values.select("_k.*", F.array(*(between(p) for p in place)).alias("q"))
 
 
 def statistics(df: DataFrame, column: str, group: Sequence[str] = (), traj: Sequence[str] = ("traj",), exact: bool = False) -> DataFrame:
     """For each group and dimension: mean, population deviation, extremes, 1st and 99th percentile, and the numbers of steps and trajectories.
 
-    Percentiles are approximate (to a ten-thousandth of the rows) in bounded
-    memory. With ``exact=True`` they are exact and interpolated, which keeps the
-    counts of all distinct values of a group's dimension in one task.
+    Percentiles are approximate (to a ten-thousandth of the rows) in one pass.
+    With ``exact=True`` they are exact and interpolated, in several passes
+    (``exact_quantiles``). Memory is bounded either way.
     """
-    ends = F.array(F.lit(0.01), F.lit(0.99))
-    q = F.percentile("x", ends) if exact else F.percentile_approx("x", ends, 10_000)
     flat = df.select(*group, F.posexplode(F.col(column)).alias("dim", "x"))
-    by_dim = flat.groupBy(*group, "dim").agg(
-        F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.max("x").alias("max"), F.min("x").alias("min"), q.alias("_q")
-    )
+    sums = [F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.max("x").alias("max"), F.min("x").alias("min")]
+    if exact:
+        quantiles = exact_quantiles(flat, [*group, "dim"], (0.01, 0.99)).select(F.struct(*group, "dim").alias("_k"), F.col("q").alias("_q"))
+        by_dim = flat.groupBy(*group, "dim").agg(*sums).withColumn("_k", F.struct(*group, "dim")).join(quantiles, "_k", "left").drop("_k")
+    else:
+        by_dim = flat.groupBy(*group, "dim").agg(*sums, F.percentile_approx("x", F.array(F.lit(0.01), F.lit(0.99)), 10_000).alias("_q"))
     by_dim = by_dim.withColumns({"p99": F.get("_q", 1), "p01": F.get("_q", 0)}).drop("_q")
     counts = df.groupBy(*group).agg(F.count("*").alias("num_transitions"), F.count_distinct(*traj).alias("num_trajectories"))
     if not group:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayline.functions import vectors as V
@@ -355,9 +355,8 @@ f as (select label::varchar as name, row_number() over (partition by label order
 select slot, q.name, q.frame_no, vec_id from q join f using (name, frame_no)
 """)
 def interleaved_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = table(spark, sf_dir, "embeddings").select(
-        F.col("label").cast("string").alias("name"), (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("long").alias("frame_no"), "vec_id"
-    )
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("name"), "vec_id")
+    frames = mixture.numbered_within(e, "name", ["vec_id"], "frame_no")
     sizes = _sizes(spark, sf_dir)
     return mixture.interleaved(frames, mixture.balanced(sizes), mixture.expected_length(sizes), 1).select("slot", "name", "frame_no", "vec_id")
 
