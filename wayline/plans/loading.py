@@ -1,4 +1,4 @@
-"""Queries that read and write shards, skip what is damaged, and shuffle through buffers, with their SQL."""
+"""Queries that read and write shards, skip what is damaged, shuffle through buffers, take steps that come late and cut words into pieces, with their SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayline.functions.uniform import uniform
-from wayline.operators import mixture
+from wayline.operators import images, mixture, subwords
 from wayline.operators import steps as S
 from wayline.operators.skips import Skipped
 from wayline.plans import views
@@ -180,3 +180,79 @@ def late_ensembles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.events(spark, sf_dir).select("traj", "t", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: F.get("action", 0) + j).alias("chunk"))
     out = _streamed(rows, 3, lambda s: ordered.ensembles(s, 4, 0.1)).where("not late")
     return out.select("traj", "t", (F.round("action", 6) + 0.0).alias("action"))
+
+
+LENGTH = 24
+
+
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vocabulary by rule: beginnings of four characters and ends of three of the texts' words, and single characters; none with q, x or z."""
+    text = F.lower(F.coalesce("text", F.lit("")))
+    w = views.table(spark, sf_dir, "conversations").select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+|[^\p{L}\p{N}\s])"), 1))).alias("w")).distinct()
+    single = F.explode(F.split("w", "")).alias("piece")
+    starts = w.select(F.substring("w", 1, 4).alias("piece")).union(w.select(single))
+    ends = w.where(F.length("w") > 3).select(F.substring("w", -3, 3).alias("piece")).union(w.select(single))
+    both = starts.union(ends.select(F.concat(F.lit("##"), "piece"))).distinct().where("not rlike(piece, '[qxz]') and piece not in ('', '##')")
+    return mixture.numbered(both, F.col("piece"), ["piece"], "rn").select("piece", (F.col("rn") + 3).cast("int").alias("id"))
+
+
+@query(rf"""
+with c as (select conv_id, turn, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}\s]') as w from conversations),
+w as (select distinct unnest(w) as w from c),
+one as (select w, unnest(string_split(w, '')) as p from w),
+v as (
+  select piece, (row_number() over (order by encode(piece)) + 3)::int as id
+  from (select w[1:4] as piece from w union select p from one union select '##' || w[-3:] from w where length(w) > 3 union select '##' || p from one)
+  where not regexp_matches(piece, '[qxz]') and piece not in ('', '##')),
+p as (
+  select id, true as begins, piece as p, length(piece) as n from v where not (piece like '##%')
+  union all select id, false, substring(piece, 3), length(piece) - 2 from v where piece like '##%'),
+cut as (
+  with recursive r(w, pos, ids) as (
+    select w, 1::bigint, []::int[] from w
+    union all
+    select r.w, r.pos + max(p.n), list_append(any_value(r.ids), arg_max(p.id, p.n)) from r join p on p.begins = (r.pos = 1) and substring(r.w, r.pos, p.n) = p.p
+    where r.pos <= length(r.w) group by r.w, r.pos)
+  select w, ids from r where pos > length(w)),
+k as (select w, coalesce(ids, [1::int]) as ids from w left join cut using (w)),
+t as (
+  select conv_id, turn, coalesce(flatten(list(ids order by i)), []) as ids
+  from (select conv_id, turn, unnest(w) as w, generate_subscripts(w, 1) as i from c) join k using (w) group by conv_id, turn),
+f as (select conv_id, turn, [2::int] || coalesce(ids, [])[1:{LENGTH - 2}] || [3::int] as ids from c left join t using (conv_id, turn))
+select conv_id, turn, array_to_string(list_resize(ids, {LENGTH}, 0::int), ' ') as input_ids, len(ids)::bigint as n_real from f
+""")
+def subword_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of whole texts' first pieces, cut greedily by a vocabulary of the texts' own words."""
+    pieces = subwords.Pieces(subwords.vocabulary(_pieces(spark, sf_dir)))
+    c = views.table(spark, sf_dir, "conversations").select("conv_id", "turn", subwords.tokens(F.col("text"), pieces, LENGTH).alias("k"))
+    real = F.aggregate("k.attention_mask", F.lit(0), lambda s, x: s + x).cast("long")
+    return c.select("conv_id", "turn", F.array_join(F.transform("k.input_ids", lambda i: i.cast("string")), " ").alias("input_ids"), real.alias("n_real"))
+
+
+def _grid(sign: str) -> str:
+    return f"greatest(0, least(255, floor(({sign}x::double + 0.5) * 255)))"
+
+
+@query(f"""
+with v as (select vec_id, unnest(range(64)) as k, unnest(embedding) as x from embeddings),
+g as (select vec_id, k // 8 as i, k % 8 as j, {_grid('')} as v, {_grid('-')} as n from v),
+s as (select a, i, ((i + 0.5) - (a + 0.5) * 2) / 2.0::double as x from range(4) t(a), range(8) u(i)),
+l as (select a, i, case when abs(x) >= 3 then 0 else 3 * sin(pi() * x) * sin(pi() * x / 3) / (pi() * pi() * x * x) end as w from s),
+w as (select a, i, w / sum(w) over (partition by a) as w from l),
+o as (select vec_id, y.a, x.a as b, sum(y.w * x.w * v) as v, sum(y.w * x.w * n) as n from g join w y on y.i = g.i join w x on x.i = g.j group by all),
+r as (select vec_id, a, b, greatest(0, least(255, round(v)))::int as v, greatest(0, least(255, round(n)))::int as n from o)
+select vec_id, 2::int as steps, 4::int as height, array_to_string(list(v order by a, b), ' ') as now, array_to_string(list(n order by a, b), ' ') as negative from r group by vec_id
+""")
+def resized_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as grey images of 8 by 8, in windows of two with a goal, at half the size."""
+    e = views.table(spark, sf_dir, "embeddings")
+
+    def grid(sign: int):
+        level = lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((x.cast("double") * sign + 0.5) * 255))).cast("int")
+        digits = F.array_join(F.transform("embedding", lambda x: F.lpad(F.hex(level(x)), 2, "0")), "")
+        return F.unhex(F.concat(F.hex(F.lit("P5\n8 8\n255\n").cast("binary")), digits))
+
+    frames = e.select("vec_id", F.array(grid(1), grid(-1)).alias("image_a"), grid(-1).alias("goal"))
+    out = images.window_transforms(frames, ["image_a"], {"goal": "image_a"}, {"image_a": (4, 4)}, train=False, key=("vec_id",))
+    levels = lambda c: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(16)), lambda k: F.conv(F.hex(F.substring(c, k, F.lit(1))), 16, 10)), " ")
+    return out.select("vec_id", F.size("image_a").alias("steps"), F.col("goal.height").alias("height"), levels(F.get("image_a", 0)["data"]).alias("now"), levels(F.col("goal.data")).alias("negative"))
