@@ -225,6 +225,35 @@ def test_randomness_battery_holds_its_level(spark):
     assert all(r["d"] > secrets.MOST_SUM for r in spark.createDataFrame(worse, "enc int, t string").select(secrets.distance(F.col("t"), F.col("enc")).alias("d")).collect())
 
 
+@pytest.mark.parametrize("n", [0, 1, 5, 20])
+def test_keys_are_found_beside_few_documents(spark, n):
+    """A table of keys alone, or nearly so, reports them as a large one does."""
+    rng = random.Random(n)
+    keys = ["see " + "".join(rng.choice(KEYS["base62"]) for _ in range(40)) for _ in range(20)]
+    df = spark.createDataFrame([*enumerate([*keys, *(prose(i, 80) for i in range(n))])], "doc_id long, text string")
+    found = {r["doc_id"]: r["random"] for r in secrets.find_secrets(df).collect()}
+    assert sum(bool(found[i]) for i in range(20)) >= 18 and not any(found[i] for i in range(20, 20 + n))
+
+
+def test_identifiers_are_no_secrets(spark):
+    """Three hundred strings of each of eleven kinds of identifiers, as many keys beside them: at most a twentieth of what is reported is none."""
+    rng = random.Random(8)
+    words_ = [w for t in documents()["text"] if t for w in re.findall("[a-z]{3,9}", t)]
+    some = lambda k: [rng.choice(words_) for _ in range(k)]
+    kinds = [
+        lambda i: f"the_quick_brown_fox_value_{i}", lambda i: "_".join(some(5)), lambda i: "-".join(some(5)), lambda i: "".join(w.capitalize() for w in some(5)), lambda i: f"get{''.join(w.capitalize() for w in some(4))}{i}",
+        lambda i: f"/usr/{'/'.join(some(4))}", lambda i: f"2024-{i % 12 + 1:02d}-{i % 28 + 1:02d}-{'-'.join(some(3))}", lambda i: "_".join(some(5)).upper(), lambda i: f"release-candidate-{i}-of-the-year", lambda i: f"myModuleFactoryInstance{i}",
+        lambda i: "-".join("".join(rng.choice("0123456789abcdef") for _ in range(k)) for k in (8, 4, 4, 4, 12)),
+    ]
+    texts = [prose(i, 60) for i in range(1_000)]
+    n = len(texts)
+    texts += [f"see {f(i)} there" for f in kinds for i in range(300)] + ["see " + "".join(rng.choice(KEYS["base62"]) for _ in range(32)) + " there" for _ in range(300)]
+    found = {r["doc_id"]: bool(r["random"]) for r in secrets.find_secrets(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(4)).collect()}
+    false = [sum(found[n + 300 * k + i] for i in range(300)) for k in range(len(kinds))]
+    caught = sum(found[n + 300 * len(kinds) + i] for i in range(300))
+    assert caught >= 280 and sum(false) <= 0.05 * (caught + sum(false)), false
+
+
 def test_planted_secrets_by_length_and_encoding(spark):
     """Random strings are found in every encoding from 20 characters on; ordinary text as long is not."""
     rng = random.Random(7)

@@ -7,25 +7,31 @@ encoding is inferred as the smallest known alphabet that holds it, and a
 battery asks how far it is from a random draw of that alphabet: a chi-squared
 test of uniform use, a test of the share of marked characters (vowels; of
 hexadecimal digits the upper half), a runs test of marked and other characters
-(in words they alternate) and a test of serial correlation. The tests' normal
-deviates are summed, so that short strings are told by all tests together.
-
-What the sum is for ordinary text is learned from the corpus: every document
-gives one string of each length class, cut from its shorter words at a place
-drawn by a hash, written as one word, with capitals or with hyphens. Candidates are
-grouped by encoding and length; the share of such strings at or below a
-candidate's sum is the chance that ordinary text looks as random, and within a
-group the Benjamini-Hochberg rule bounds the share of ordinary text among the
-candidates that are reported by ``FALSE_RATE``. A group with fewer than
-``ENOUGH`` such strings of its own is held against those of all encodings.
+(in words they alternate), a test of serial correlation and, in alphabets of
+both cases, a test of the share of capitals (identifiers have few). The tests'
+normal deviates are summed, so that short strings are told by all tests
+together.
+
+What the sum is for ordinary text is learned from the corpus, and from strings
+of some common words that are the same for every table, so that a table of keys
+alone has something to be held against. Every document gives one string of each
+length class, cut from its shorter words at a place drawn by a hash, written as
+one word, with capitals or with hyphens. Candidates are grouped by encoding and
+length; the share of such strings at or below a candidate's sum is the chance
+that ordinary text looks as random, and within a group the Benjamini-Hochberg
+rule bounds the share of ordinary text among the candidates that are reported by
+``FALSE_RATE``. A group with fewer than ``ENOUGH`` such strings of its own is
+held against those of all encodings.
 
 Histograms of bounded size over the whole corpus hold both, so the second pass
 needs only a threshold for each group.
 
 Limits: of random strings of 20 letters of one case about nine in ten can be
 told from words, of 24 and more or of other alphabets nearly all. Digits alone
-are numbers and never reported, nor are strings whose separators make their
-pattern (such as hyphenated identifiers).
+are numbers and never reported. Keys that are written in one case with
+separators, such as universally unique identifiers, pass for identifiers and are
+not reported, unless a part between separators is long enough to be judged by
+itself.
 
 Defined cases: a null text is empty and holds nothing; rows are judged each on
 their own, so repeats give equal results; the texts are scanned whole; places
@@ -48,6 +54,7 @@ SHORTEST = 20
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 PART = r"[A-Za-z0-9]{20,}"
 _UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+_REST = _DIGITS + "+/-_"
 VOWELS = "AEIOUaeiou"
 #: Name, alphabet in order of value, and the characters that are marked.
 ALPHABETS = (
@@ -64,6 +71,14 @@ ALPHABETS = (
     ("base64", _UPPER + _LOWER + _DIGITS + "+/", VOWELS),
     ("base64url", _UPPER + _LOWER + _DIGITS + "-_", VOWELS),
 )
+# Common words, for the strings that every table is held against.
+COMMON = (
+    "the of and to in is you that it he was for on are as with his they at be this have from or one had by word but not what all were we when your can said there use an each which she do how their if will up other "
+    "about out many then them these so some her would make like him into time has look two more write go see number no way could people my than first water been call who oil its now find long down day did get come made may part "
+    "value name index table user count list error state order node data file path key test item event config version total request response default"
+).split()
+#: Strings of each length class made of them.
+COMMON_STRINGS = 4_000
 #: Share of ordinary text among what is reported, at most.
 FALSE_RATE = 0.05
 #: Sums above this are never reported, whatever the corpus: of random strings fewer than one in a hundred have one.
@@ -152,8 +167,11 @@ def distance(token: Column, enc: Column) -> Column:
 
             r = let(mean, alike)  # once, not in every step
             square = lambda z: (z * z - 1) / 1.4142135623730951  # noqa: E731  also of mean 0 and deviation 1 for a random draw
+            capitals, small = (F.length(F.translate(x["t"], others, "")).cast("double") for others in (_LOWER + _REST, _UPPER + _REST))
+            letters = capitals + small
+            z_case = F.when(x["cased"] & (letters > 0), square((capitals - small) / F.sqrt(letters))).otherwise(0.0)
             sided = F.when(x["even"], square(z_share) + square(z_runs)).otherwise(z_share + z_runs)
-            return z_chi + sided + square(r * F.sqrt(n)) / 2
+            return z_chi + sided + square(r * F.sqrt(n)) / 2 + z_case
 
         values = F.transform(chars, lambda c: (F.position(c, x["letters"]) - 1).cast("double"))
         marks = F.transform(chars, lambda c: (F.position(c, x["marked"]) > 0).cast("int"))
@@ -161,7 +179,7 @@ def distance(token: Column, enc: Column) -> Column:
 
     given = F.struct(
         token.alias("t"), _of([a for _, a, _ in ALPHABETS], enc).alias("letters"), _of([m for _, _, m in ALPHABETS], enc).alias("marked"),
-        _of([len(a) for _, a, _ in ALPHABETS], enc).alias("k"), _of(marked, enc).alias("share"), _of(even, enc).alias("even"),
+        _of([_UPPER + _LOWER in a for _, a, _ in ALPHABETS], enc).alias("cased"), _of([len(a) for _, a, _ in ALPHABETS], enc).alias("k"), _of(marked, enc).alias("share"), _of(even, enc).alias("even"),
     )
     return let(given, tests)
 
@@ -197,25 +215,40 @@ def candidates(text: Column, base: Column) -> Column:
     return F.when(text.rlike(CANDIDATE), found).otherwise(F.array().cast("array<struct<s:int,k:int,e:int,whole:boolean,grp:int,d:double>>"))
 
 
+def _cut(x: Column) -> Column:
+    """``grp, d`` of a string of each class of lengths, cut from a longer one at a place drawn by its hash."""
+    at = lambda n: F.pmod(F.xxhash64(x, F.lit(n)), F.length(x) - (n - 1)).cast("int") + 1
+    each = F.array(*(F.when(F.length(x) >= n, F.substring(x, at(n), F.lit(n))) for n in LENGTHS))
+    return F.filter(F.transform(F.filter(each, lambda t: t.isNotNull()), _judged), lambda j: j.isNotNull())
+
+
+def common_strings(spark: SparkSession) -> DataFrame:
+    """``grp, d`` of strings of common words, in six ways of writing them; the same for every table."""
+    known = F.array(*(F.lit(w) for w in COMMON))
+    pick = lambda i: F.get(known, F.pmod(F.xxhash64("id", i), F.lit(len(COMMON))).cast("int"))
+    own = F.transform(F.sequence(F.lit(0), F.lit(29)), pick)
+    number = F.pmod(F.xxhash64("id"), F.lit(1000)).cast("string")
+    capital = F.transform(own, F.initcap)
+    ways = [F.array_join(own, ""), F.array_join(capital, ""), F.array_join(own, "-"), F.concat(F.array_join(own, "_"), F.lit("_"), number), F.array_join(own, "/"), F.concat(F.array_join(F.slice(own, 1, 1), ""), F.array_join(F.slice(capital, 2, 29), ""), number)]
+    way = F.pmod("id", F.lit(len(ways)))
+    written = F.array(*ways)[way.cast("int")]
+    return spark.range(COMMON_STRINGS).select(F.inline(let(written, _cut)))
+
+
 def ordinary(text: Column) -> Column:
     """Of the text's own words a string of each class of lengths, as ``grp, d``: what structure looks like here."""
     way = F.pmod(F.xxhash64(text), F.lit(3))
     text = F.when(text.rlike(CANDIDATE), F.regexp_replace(text, CANDIDATE, " ")).otherwise(text)  # what may be a key is no ordinary text
     joined = F.when(way == 0, F.lower(F.regexp_replace(text, "[^A-Za-z]+", ""))).when(way == 1, F.regexp_replace(F.initcap(text), "[^A-Za-z0-9]+", "")).otherwise(F.regexp_replace(text, "[^A-Za-z0-9]+", "-"))
 
-    def cut(x: Column) -> Column:
-        at = lambda n: F.pmod(F.xxhash64(x, F.lit(n)), F.length(x) - (n - 1)).cast("int") + 1
-        each = F.array(*(F.when(F.length(x) >= n, F.substring(x, at(n), F.lit(n))) for n in LENGTHS))
-        return F.filter(F.transform(F.filter(each, lambda t: t.isNotNull()), _judged), lambda j: j.isNotNull())
-
-    return let(joined, cut)
+    return let(joined, _cut)
 
 
 def thresholds(scanned: DataFrame, text: Column, false_rate: float = FALSE_RATE) -> list[float]:
     """For each group the sum up to which its candidates are reported."""
     flagged = F.transform(ordinary(text), lambda j: F.struct(j["grp"].alias("grp"), j["d"].alias("d"), F.lit(True).alias("plain")))
     found = F.transform(F.filter("_cand", lambda c: c["d"].isNotNull()), lambda c: F.struct(c["grp"].alias("grp"), c["d"].alias("d"), F.lit(False).alias("plain")))
-    each = scanned.select(F.inline(F.concat(flagged, found)))
+    each = scanned.select(F.inline(F.concat(flagged, found))).union(common_strings(scanned.sparkSession).select("grp", "d", F.lit(True)))
     bins = F.least(F.greatest(F.ceil(F.col("d") * BINS_A_UNIT), F.lit(LEAST_BIN)), F.lit(MOST_BIN)).cast("int")  # d is at most bin / BINS_A_UNIT
     groups, classes = len(ALPHABETS) * len(LENGTHS), len(LENGTHS)
     width = MOST_BIN - LEAST_BIN + 1
