@@ -41,7 +41,7 @@ def test_pipelines_count_what_they_skip(spark):
     sources.append(Source("c", steps(spark, {(0, 0)})))
     rows = interleaved(sources, TrajectoryTransforms(), skipped=skipped).collect()
     assert {(r["name"], r["traj"]) for r in rows} <= {("a", k) for k in range(1, 6)} | {("b", k) for k in range(3, 6)} | {("c", k) for k in range(6)}
-    assert sorted(tuple(r) for r in skipped.report(spark).collect()) == [("a", 6, 1, 5), ("b", 6, 3, 15)]
+    assert sorted(tuple(r) for r in skipped.report(spark).collect()) == [("a", 6, 1, 5), ("b", 6, 3, 15)]  # however often the mix ran through them
     _, stats = single(sources[0], TrajectoryTransforms())
     assert stats["action"].first()["num_trajectories"] == 5
 

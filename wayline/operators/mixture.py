@@ -18,33 +18,23 @@ BLOCK = 1 << 20
 
 
 def numbered(df: DataFrame, by: Column, ties: Sequence[str] = (), name: str = "rn", parts: int | None = None) -> DataFrame:
-    """Row numbers from 1 in the order of a column and the ties, without gathering all rows in one task.
+    """Row numbers from 1 in the order of a column and the ties, nulls first, without gathering all rows in one task.
 
-    Rows fall into ranges of a number that grows with the column: the column as
-    a double, or of a text its first six bytes. The ranges' sizes, a few numbers
-    on the driver, give each range its first row number. Rows of one range (all
-    those of a value that very many rows share) are sorted together.
+    Rows are range-partitioned in that order and kept in the shared folder; a
+    row's number is its place in its partition and the rows in those before, of
+    which there is a row a partition. Wide rows are better fetched by a key
+    afterwards (``pipelines.interleaved`` does). Rows that tie in all may swap
+    numbers in a rerun.
     """
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.withColumn("_own", by)
-    kind = rows.schema["_own"].dataType
-    if isinstance(kind, (T.StringType, T.BinaryType)):
-        start = F.rpad(F.hex(F.substring(F.col("_own").cast("binary"), 1, 6)), 12, "0")
-        rows = rows.withColumn("_by", F.conv(start, 16, 10).cast("double"))
-    else:
-        rows = rows.withColumn("_by", F.col("_own").cast("double"))
-    cuts = rows.agg(F.percentile_approx("_by", [i / parts for i in range(1, parts)], 20 * parts).alias("q")).first()["q"] if parts > 1 else None
-    cuts = sorted(set(cuts or []))
-    part = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c <= F.col("_by"))) if cuts else F.lit(0)
-    rows = rows.withColumn("_part", F.coalesce(F.when(F.col("_by").isNotNull(), part), F.lit(-1)))
-    sizes = {r["_part"]: r["count"] for r in rows.groupBy("_part").count().collect()}
-    before, total = {}, 0
-    for p in sorted(sizes):
-        before[p], total = total, total + sizes[p]
-    offset = F.create_map(*(F.lit(x) for p, n in before.items() for x in (p, n))) if before else None
-    place = F.row_number().over(Window.partitionBy("_part").orderBy("_own", *ties))
-    out = rows.withColumn(name, (place + (offset[F.col("_part")] if before else F.lit(0))).cast("long"))
-    return out.drop("_own", "_by", "_part")
+    order = ["_own", *ties]
+    ordered = [F.col(c).asc_nulls_first() for c in order]
+    rows = df.withColumn("_own", by).repartitionByRange(*([parts] if parts else []), *ordered).sortWithinPartitions(*ordered).drop("_own").withColumn("_at", F.monotonically_increasing_id())
+    rows = checkpointed(rows).withColumn("_part", F.shiftright("_at", 33))
+    parts = rows.groupBy("_part").agg(F.count("*").alias("_count"))
+    before = F.coalesce(F.sum("_count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("_part", before.alias("_before"))
+    place = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1
+    return rows.join(F.broadcast(parts), "_part").withColumn(name, place).drop("_at", "_part", "_before")
 
 
 def numbered_within(df: DataFrame, group: str, order: Sequence[str], name: str = "rn") -> DataFrame:
@@ -157,6 +147,13 @@ def interleaved(frames: DataFrame, weights: DataFrame, n: int, seed: int = 0, na
     return slots.join(frames, [name, "frame_no"])
 
 
+def fetched(frames: DataFrame, rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The frames, told by a key only, with the other columns of the rows of that key."""
+    own = [c for c in rows.columns if c not in key]
+    there = rows.select(F.struct(*key).alias("_key"), *own)
+    return frames.drop(*own).withColumn("_key", F.struct(*key)).join(there, "_key").drop("_key")
+
+
 def repeated(df: DataFrame, epochs: int) -> DataFrame:
     return df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
 

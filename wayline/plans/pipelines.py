@@ -120,14 +120,17 @@ def interleaved(sources: Sequence[Source], transforms: TrajectoryTransforms, n:
     names = [s.name for s in sources]
     if len({*names}) < len(names):
         raise ValueError("a source is there twice")
-    frames, sizes = [], []
+    frames, numbers, sizes = [], [], []
+    own = ["name", *transforms.key, "t"]
     for s in sources:
         rows, stats = single(s, transforms, skipped=skipped)
-        frames.append(numbered_frames(rows, s.name, transforms.key, seed))
+        frames.append(rows.withColumn("name", F.lit(s.name)))
+        numbers.append(numbered_frames(rows.select(*own[1:]), s.name, transforms.key, seed))
         sizes.append(stats["action"].select(F.lit(s.name).alias("name"), F.lit(float(s.weight)).alias("weight"), F.col("num_transitions")))
     known = reduce(DataFrame.unionByName, sizes)
     n = mixture.expected_length(known) if n is None else n
-    return mixture.interleaved(reduce(DataFrame.unionByName, frames), mixture.balanced(known, balance), n, seed)
+    slots = mixture.interleaved(reduce(DataFrame.unionByName, numbers), mixture.balanced(known, balance), n, seed)
+    return mixture.fetched(slots, reduce(DataFrame.unionByName, frames), own)
 
 
 def numbered_frames(rows: DataFrame, name: str, key: Sequence[str], seed: int) -> DataFrame:
