@@ -6,13 +6,14 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from wayline.llm import licenses, negatives, resampling
+from wayline.llm import fingerprints, licenses, negatives, resampling
 from wayline.llm.asciiwords import words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -274,3 +275,24 @@ def test_no_anchors_no_negatives(spark):
     assert negatives.mine(negatives.stepped(one), F.col("vec_id") % 100 == 0).count() == 0
     with pytest.raises(Exception, match="64 bits"):
         negatives.mine(negatives.stepped(spark.createDataFrame([(1, 1, [3e9])], schema)), F.lit(True))
+
+
+# order of documents
+
+
+def test_places_among_cuts_and_plans_of_many_partitions(spark):
+    for cuts in ([], [3.0], [-1.0, 0.0, 5.5, 9.0], [float(i) for i in range(0, 999, 3)]):
+        df = spark.createDataFrame([(float(k),) for k in range(-3, 1_005, 7)] + [(5.5,)], "k double")
+        for r in df.select("k", fingerprints.cuts_below(F.col("k"), np.array(cuts)).alias("n")).collect():
+            assert r["n"] == sum(c <= r["k"] for c in cuts)
+    docs = spark.range(200_000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"))
+    began = time.time()
+    plan = fingerprints.in_order(docs, 100_000)._jdf.queryExecution().executedPlan()
+    assert plan is not None and time.time() - began < 60
+
+
+def test_strings_as_ids(spark):
+    """Fingerprints of neighbours are taken by numbers of documents; other ids are an error that says so."""
+    df = spark.createDataFrame([("a", "x y"), ("b", "z")], "doc_id string, text string")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        fingerprints.compare_neighbours(df).count()

@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -145,24 +145,46 @@ def fingerprint_documents(docs: DataFrame, n: int = N, text: str = "text", finge
     return docs.withColumn(fingerprint, printed(whole(F.col(text))))
 
 
+def cuts_below(key: Column, cuts: np.ndarray) -> Column:
+    """How many of the ascending cuts are not above the key; the cuts go to the tasks beside the plan, not in it."""
+
+    @pandas_udf("int")
+    def below(keys: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, keys.to_numpy(), side="right").astype(np.int32))
+
+    return below(key)
+
+
+#: Ids for each partition that its bounds are taken from.
+DRAWN = 20
+
+
+def _cuts(keys: DataFrame, parts: int) -> np.ndarray:
+    """Bounds of as many ranges of about equal size, from some ids for each, drawn by a hash."""
+    n = keys.count()
+    if not n:
+        return np.zeros(0)
+    share = min(1.0, DRAWN * parts / n)
+    drawn = keys.where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int(share * (1 << 30))).toPandas()["k"].to_numpy().copy()  # some numbers a partition
+    drawn.sort()
+    return np.unique(drawn[np.arange(1, parts) * len(drawn) // parts]) if len(drawn) else np.zeros(0)
+
+
 def in_order(docs: DataFrame, parts: int) -> DataFrame:
     """``doc_id, text, extra`` by ascending id in ``parts`` partitions or fewer, each followed by a copy of the next one's first row, marked ``extra``.
 
     The last partition is followed by the first row of all. The bounds are
-    quantiles of the ids; only the first row of each partition is copied.
+    quantiles of some of the ids; only the first row of each partition is copied, and
+    the plan does not grow with the partitions.
     """
     docs = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)))
-    wanted = F.percentile_approx(F.col("_key").cast("double"), [i / parts for i in range(1, parts)], 20 * parts)
-    cuts = sorted(set(docs.agg(wanted.alias("q")).first()["q"] or [])) if parts > 1 else []
-    part = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c <= F.col("_key").cast("double"))) if cuts else F.lit(0)
-    placed = docs.withColumn("_part", part)
-    heads = placed.groupBy("_part").agg(F.min("_key").alias("_key")).orderBy("_part").collect()  # one for each partition
-    if not heads:
-        return placed.select("doc_id", "text", F.lit(False).alias("extra"))
-    ids, order = [r["_key"] for r in heads], [r["_part"] for r in heads]
-    before = F.create_map(*(F.lit(x) for key, p in zip(ids, [order[-1], *order[:-1]], strict=True) for x in (key, p)))
-    extra = placed.where(F.col("_key").isin(ids)).groupBy("_key").agg(F.first("doc_id").alias("doc_id"), F.min("text").alias("text"))
-    extra = extra.select("doc_id", "text", before[F.col("_key")].alias("_part"), F.lit(True).alias("extra"))
+    cuts = _cuts(docs.select(F.col("_key").cast("double").alias("k")), parts) if parts > 1 else np.zeros(0)
+    placed = docs.withColumn("_part", cuts_below(F.col("_key").cast("double"), cuts))
+    heads = placed.groupBy("_part").agg(F.min("_key").alias("_key"))  # a row a partition
+    before = F.coalesce(F.lag("_part").over(Window.orderBy("_part")), F.max("_part").over(Window.partitionBy()))
+    heads = heads.select("_key", before.alias("_before"))
+    extra = placed.join(F.broadcast(heads), "_key").groupBy("_key", "_before").agg(F.first("doc_id").alias("doc_id"), F.min("text").alias("text"))
+    extra = extra.select("doc_id", "text", F.col("_before").alias("_part"), F.lit(True).alias("extra"))
     rows = placed.select("doc_id", "text", "_part", F.lit(False).alias("extra")).union(extra)
     return rows.repartitionById(parts, F.col("_part")).sortWithinPartitions("extra", "doc_id", "text")
 
