@@ -30,14 +30,14 @@ def query(sql: str | None = None):
     return add
 
 
-#: Bytes of a range: small, so that small tables too are read by many tasks.
-RANGE = 1 << 18
+#: Shards of a numbered table.
+SHARDS = 16
 
 
 def _written_and_read(df: DataFrame, name: str, **options) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     records.write_framed(df, path)
-    return records.framed(df.sparkSession, path, RANGE, **options)
+    return records.framed(df.sparkSession, path, **options)
 
 
 @query(f"with {EVENTS} select traj, t, a0::float::double as a0, a1::float::double as a1, lang from ev")
@@ -50,14 +50,14 @@ def record_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 with {ITEMS}, n as (select traj, count(*) as n, sum(a0)::float as s from li group by traj),
-r as (select *, row_number() over (order by traj) - 1 as r from n) select traj, n, s::double as s, r::bigint as place from r
+r as (select *, row_number() over (partition by traj % {SHARDS} order by traj) - 1 as r from n) select traj, n, s::double as s, r::bigint as place from r
 """)
 def record_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A shard of one record for each order; a record's number in the shard comes from an index of lengths, without gathering the shard."""
+    """Shards of a record for each order; a record's number in its shard comes from an index of lengths, without gathering the shard."""
     li = views.items(spark, sf_dir).groupBy("traj").agg(F.count("*").alias("n"), F.sum(F.get("action", 0)).alias("s"))
     path = new_folder(spark, "orders")
-    records.write_framed(files.as_examples(li, ["traj", "n", "s"]).coalesce(1).sortWithinPartitions("traj"), path)
-    placed = records.with_places(records.framed(spark, path, RANGE), records.framed(spark, path, RANGE, contents=False))
+    records.write_framed(files.as_examples(li, ["traj", "n", "s"]).repartitionById(SHARDS, F.pmod("traj", F.lit(SHARDS)).cast("int")).sortWithinPartitions("traj"), path)
+    placed = records.with_places(records.framed(spark, path), records.framed(spark, path, contents=False))
     rows = files.parse_examples(placed.select("place", "content", "fault"), "traj long, n long, s float")
     return rows.select("traj", "n", F.col("s").cast("double").alias("s"), "place")
 
