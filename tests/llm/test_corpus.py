@@ -489,7 +489,8 @@ def test_bpe(spark, edge):
 
 def duck(d):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{d}/documents.parquet'")
+    for name in ("documents", "embeddings", "benchmark"):
+        con.execute(f"create view {name} as select * from '{d}/{name}.parquet'")
     return con
 
 
