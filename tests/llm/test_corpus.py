@@ -378,7 +378,7 @@ def test_lm_trains_on_every_document(spark):
     vocab.total = 10**10
     start = recurrent.flattened(vocab.start())
     for i, _ in rows:
-        params = lm.train(docs.where(F.col("doc_id") == i), vocab, rounds=1, shard_words=10**9)
+        params = lm.train(lm.encoded(docs.where(F.col("doc_id") == i).withColumn("learn", F.lit(True)), vocab, shard_words=10**9), vocab)
         assert not np.array_equal(recurrent.flattened(params), start)
 
 
@@ -398,6 +398,87 @@ def test_lm_chances_sum_to_one_and_state_carries():
     assert np.allclose(together, alone, rtol=1e-4)
 
 
+def plain_log_chance(params, text):
+    """The logarithm of a text's chance word by word and unit by unit, in plain floats."""
+    p = {k: v.astype(float).tolist() for k, v in params.items()}
+    frequent = len(p["in"]) - recurrent.TAILS
+    units, total, x = range(recurrent.HIDDEN), 0.0, p["first"][0]
+    h = [0.0 for _ in units]
+    chance = lambda w, k: w[-1][k] + sum(h[i] * w[i][k] for i in units)
+    log_softmax = lambda w, k: chance(w, k) - math.log(sum(math.exp(chance(w, j)) for j in range(len(w[0]))))
+    for word in text.tolist():
+        a = [x[j] + sum(h[i] * p["state"][i][j] for i in units) for j in range(2 * recurrent.HIDDEN)]
+        gate = [1 / (1 + math.exp(-a[i])) for i in units]
+        h = [gate[i] * h[i] + (1 - gate[i]) * math.tanh(a[recurrent.HIDDEN + i]) for i in units]
+        if word < frequent:
+            total += log_softmax(p["class"], word // recurrent.IN) + log_softmax(p["word"][word // recurrent.IN], word % recurrent.IN)
+            x = p["in"][word]
+        else:
+            total += log_softmax(p["class"], frequent // recurrent.IN + (word - frequent) % recurrent.RARE)
+            x = p["in"][frequent + (word - frequent) // recurrent.RARE]
+    return total
+
+
+def test_lm_score_against_a_plain_forward_pass():
+    params = recurrent.start(np.arange(64, 0, -1).astype(float), np.ones(recurrent.RARE))
+    rng = np.random.default_rng(5)
+    params = {k: (v + rng.normal(0, 0.2, v.shape)).astype(np.float32) for k, v in params.items()}
+    texts = [np.where(rng.random(n) < 0.6, rng.integers(0, 64, n), 64 + rng.integers(0, recurrent.TAILS * recurrent.RARE, n)).astype(np.int32) for n in (1, 17, 60)]
+    assert np.allclose(recurrent.Network(params).score(texts), [plain_log_chance(params, t) for t in texts], rtol=1e-5)
+
+
+def test_lm_rare_classes_are_the_same_everywhere(spark):
+    words = ["a", "zu", "être", "漢字", "x" * 100, "\x00b", "9"]
+    flat = [w.encode() for w in words]
+    got = recurrent.rare_classes(np.frombuffer(b"".join(flat), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(w) for w in flat])]))
+    assert got.tolist() == [recurrent.rare_class(w) for w in flat]
+    counts = spark.createDataFrame([(w, 3) for w in flat], "word binary, c long")
+    vocab, _ = lm.vocabulary(counts, known=0)
+    want = np.bincount([recurrent.rare_class(w) for w in flat], minlength=recurrent.RARE)
+    assert (vocab.rare_distinct == want).all() and (vocab.rare == 3 * want).all()
+
+
+def test_lm_rounds_double(spark):
+    """Shards of rounds are one, two, four and so on; every row to learn from is in one of them, each of about as many rows."""
+    rows = [(i, f"w{i} of a text", i % 5 > 0) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, learn boolean")
+    vocab, _ = lm.vocabulary(lm.count_words(docs))
+    vocab.total = 13
+    got = collections.Counter((r["round"], r["shard"]) for r in lm.encoded(docs, vocab, shard_words=1).select("round", "shard").collect() if r["round"] >= 0)
+    assert set(got) == {(0, 0), *((1, k) for k in range(2)), *((2, k) for k in range(4)), *((3, k) for k in range(6))}
+    assert sum(got.values()) == 2400 and min(got.values()) > 120 and max(got.values()) < 260
+
+
+def test_lm_is_better_than_a_bigram_model_where_texts_are_new(spark):
+    """On held-out documents that repeat next to nothing of the learned ones, against an interpolated bigram model of all words."""
+    d = documents(MIDDLE)
+    got = {r["doc_id"]: r["score"] for r in lm.op4_lm_score(spark, MIDDLE).collect()}
+    split = {k: [*(t or "").encode().lower().split(), b""] for k, t in zip(d["doc_id"], d["text"], strict=True)}
+    learned = [ws for k, ws in split.items() if zlib.crc32(str(k).encode()) % 5 != 1]
+    one, two, follow = collections.Counter(), collections.Counter(), collections.Counter()
+    seen = set()
+    for ws in learned:
+        one.update(ws)
+        two.update(zip([b"", *ws], ws, strict=False))
+        seen.update(zip(*(ws[i:] for i in range(5)), strict=False))
+    begun = collections.Counter()
+    for (a, _), n in two.items():
+        begun[a] += n
+        follow[a] += 1
+    total, distinct = sum(one.values()), len(one)
+    model = bigram = tokens = 0
+    for k, ws in split.items():
+        fives = [*zip(*(ws[i:] for i in range(5)), strict=False)]
+        if zlib.crc32(str(k).encode()) % 5 != 1 or sum(f in seen for f in fives) >= 0.05 * max(1, len(fives)):
+            continue
+        for a, w in zip([b"", *ws], ws, strict=False):
+            alone = (one[w] + 0.5) / (total + 0.5 * (distinct + 1))
+            bigram += math.log10((two[a, w] + max(1, follow[a]) * alone) / (begun[a] + max(1, follow[a])))
+        model += got[k]
+        tokens += len(ws)
+    assert tokens > 20_000 and model / tokens > bigram / tokens + 0.1
+
+
 def test_lm_gradient():
     params = recurrent.start(np.arange(40, 0, -1).astype(float), np.ones(recurrent.RARE))
     rng = np.random.default_rng(1)

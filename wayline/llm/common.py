@@ -66,11 +66,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written as Parquet to a new folder within the shared one, and read again."""
+def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """The rows, written as Parquet to a new folder within the shared one, in parts by some columns of few values, and read again."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: A table whose rows hold a few numbers is broadcast up to so many rows, counted first; a larger one is joined by a shuffle.

@@ -6,12 +6,15 @@ documents hold of the others is joined with the counts by a shuffle. The
 recurrent model knows ``WORDS`` words one by one; any other word has the chance
 of its class by the model times its share of the class's counts.
 
-The model is trained by parallel passes of truncated backpropagation. A hash
-of id and text deals the documents to learn from out to rounds and shards of
-about ``SHARD`` words; in a round every shard's documents, in the order of
-their ids, are trained on from the same parameters, and the results are
-averaged by the number of words. So each document is trained on once, and how
-the input is split changes neither shards nor, but for rounding, scores.
+Each text is turned into numbers once, which are stored. The model is trained
+by parallel passes of truncated backpropagation. A hash of id and text deals
+the documents to learn from out to shards of about ``SHARD`` words, and these
+to rounds of one, two, four shards and so on, so that rounds grow in number
+with the corpus. In a round every shard's documents, in the order of their ids,
+are trained on from the same parameters; the results, and the squares of the
+gradients that the steps are measured by, are averaged by the number of words
+and go on to the next round. So each document is trained on once, and how the
+input is split changes neither shards nor, but for rounding, scores.
 
 Defined cases: a null or empty text has the one token that ends a text; a null
 id is learned from; repeated rows are counted and trained on as often as they
@@ -43,10 +46,9 @@ KNOWN, LONGEST = 1 << 18, 64
 #: Tokens that the recurrent model knows one by one.
 WORDS = 1024
 END = b""
-ROUNDS = 3
 RATE = 0.01
 #: Words of a shard of a round, about.
-SHARD = 1 << 20
+SHARD = 1 << 19
 #: Partitions of a round, at most; each holds whole shards, one after the other.
 MOST_PARTS = 10_000
 #: Words that a task counts before it passes the counts on.
@@ -152,7 +154,8 @@ def vocabulary(counts: DataFrame, known: int = KNOWN) -> tuple[Vocabulary, Colum
     frequent = (c >= least) & short
     top = words.where(frequent).toPandas().sort_values(["c", "word"], ascending=[False, True])  # KNOWN words at most
     sums = counts.agg(F.sum("c").alias("total"), F.count("*").alias("distinct"), F.sum(F.when(F.octet_length("word") == 0, c)).alias("ends")).first()
-    cls = F.conv(F.hex(F.substring("word", 1, 1)), 16, 10).cast("int") % recurrent.RARE
+    pair = F.conv(F.rpad(F.hex(F.substring("word", 1, 2)), 4, "0"), 16, 10).cast("long")
+    cls = F.floor((pair * 40503 % 65536) * recurrent.RARE / 65536).cast("int")  # recurrent.rare_class_of
     rare, rare_distinct = np.zeros(recurrent.RARE), np.zeros(recurrent.RARE)
     for r in words.groupBy(cls.alias("cls")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
         rare[r["cls"]], rare_distinct[r["cls"]] = r["c"], r["n"]
@@ -164,31 +167,71 @@ def vocabulary(counts: DataFrame, known: int = KNOWN) -> tuple[Vocabulary, Colum
     return Vocabulary(listed, listed_counts, sums["total"] or 0, sums["distinct"] or 0, rare, rare_distinct), frequent
 
 
-def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, shard_words: int = SHARD) -> recurrent.Params:
-    """Parameters after some rounds of parallel training on ``doc_id, text``; each row is in one shard of one round."""
-    params, sent = vocab.start(), docs.sparkSession.sparkContext.broadcast(vocab)
-    shards = max(1, round(vocab.total / rounds / shard_words))
-    place = F.pmod(F.xxhash64(F.lit("recurrent"), "doc_id", "text"), F.lit(rounds * shards))
-    dealt = docs.select("doc_id", "text", (place % shards).cast("int").alias("shard"), F.floor(place / shards).alias("round"))
+def encoded(docs: DataFrame, vocab: Vocabulary, shard_words: int = SHARD) -> DataFrame:
+    """``doc_id, text, learn`` in numbers, stored by rounds of training (of what is not learned from: -1).
+
+    ``row`` tells rows apart; ``words`` and ``times`` are those that no task knows,
+    whose part ``base`` and ``model`` still lack; ``model`` lacks the network's part too.
+    """
+    shards = max(1, round(vocab.total / shard_words))
+    place = F.pmod(F.xxhash64(F.lit("recurrent"), "doc_id", "text"), F.lit(shards)) + 1
+    number = F.length(F.bin(place)) - 1  # the greatest power of two that fits
+    round_ = F.when(F.col("learn"), number).otherwise(-1).cast("int")
+    shard = (place - F.pow(F.lit(2), number).cast("long")).cast("int")
+    sent = docs.sparkSession.sparkContext.broadcast(vocab)
+    schema = "row long, doc_id long, round int, shard int, numbers binary, n_tokens long, known long, base double, model double, words array<binary>, times array<int>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = sent.value.built()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            number, known, at, bounds, own = v.encode(batch.column(4))
+            sums = lambda values, starts=bounds[:-1]: np.add.reduceat(values, starts)
+            size = np.diff(bounds)
+            logs = np.where(known >= 0, v.log_count[known], 0.0)
+            rare = number >= v.frequent
+            shares = np.where(rare, v.log_share[np.where(rare, number - v.frequent, 0) % recurrent.RARE], 0.0)
+            unknown = np.flatnonzero(known < 0)
+            doc = np.repeat(np.arange(len(size)), size)[unknown]
+            pairs, times = np.unique(doc * max(1, len(own)) + at[unknown], return_counts=True)
+            ends = pa.array(np.searchsorted(pairs // max(1, len(own)), np.arange(len(size) + 1)).astype(np.int32))
+            words = own.take(pa.array(pairs % max(1, len(own)))).cast(pa.binary())
+            numbers = [n.tobytes() for n in np.split(number.astype(np.uint16), bounds[1:-1])]
+            arrays = [
+                *(batch.column(i) for i in range(4)), pa.array(numbers, pa.binary()), pa.array(size), pa.array(sums((known >= 0) & (v.counts[known] > 0)).astype(np.int64)),
+                pa.array(sums(logs) - size * v.norm), pa.array(sums(np.where(rare, logs, 0.0) - shares)),
+                pa.ListArray.from_arrays(ends, words), pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int32))),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "round", "shard", "numbers", "n_tokens", "known", "base", "model", "words", "times"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", round_.alias("round"), shard.alias("shard"), "text")
+    return stored(rows.mapInArrow(run, schema), "numbers", "round")
+
+
+def numbers_of(column: pa.Array) -> list[np.ndarray]:
+    """The numbers of each text's words."""
+    return [np.frombuffer(b, dtype=np.uint16).astype(np.int32) for b in column.to_pylist()]
+
+
+def train(texts: DataFrame, vocab: Vocabulary) -> recurrent.Params:
+    """Parameters after the rounds of parallel training on what ``encoded`` gave; each row is in one shard of one round."""
+    params, spark = vocab.start(), texts.sparkSession
     weighted = "shard int, n double, content binary"
     shapes = {k: v.shape for k, v in params.items()}
 
-    def one(flat: np.ndarray, rate: float):
-        begin = docs.sparkSession.sparkContext.broadcast(flat)
+    def one(flat: np.ndarray, square: np.ndarray | None, k: int):
+        begin = spark.sparkContext.broadcast((flat, square))
+        lanes = min(recurrent.LANES, recurrent.FIRST_LANES << min(k, 10))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            v = sent.value.built()
-            start = recurrent.unpacked(begin.value, {k: np.empty(s) for k, s in shapes.items()})
-
-            def rows() -> Iterator[tuple[int, np.ndarray]]:
-                for batch in batches:
-                    number, _, _, bounds, _ = v.encode(batch.column(1))
-                    yield from zip(batch.column(0).to_pylist(), np.split(number, bounds[1:-1]), strict=True)
-
-            for shard, own in groupby(rows(), lambda row: row[0]):
-                trainer = recurrent.Trainer(start, rate)
-                n = trainer.train(recurrent.pieces(number for _, number in own))
-                content = (trainer.flat * np.float64(n)).astype(np.float32).tobytes()
+            flat, square = begin.value
+            start = recurrent.unpacked(flat, {k: np.empty(s) for k, s in shapes.items()})
+            rows = (row for batch in batches for row in zip(batch.column(0).to_pylist(), numbers_of(batch.column(1)), strict=True))
+            for shard, own in groupby(rows, lambda row: row[0]):
+                trainer = recurrent.Trainer(start, RATE / (1 + k), square)
+                n = trainer.train(recurrent.pieces(number for _, number in own), lanes)
+                content = (np.concatenate([trainer.flat, trainer.spread]) * np.float64(n)).astype(np.float32).tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([float(n)]), pa.array([content], pa.binary())], ["shard", "n", "content"])
 
         return run
@@ -198,16 +241,19 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, shard_words:
         total = sum(np.frombuffer(c, dtype=np.float32).astype(np.float64) for c in rows["content"])
         return pd.DataFrame({"shard": rows["shard"].iloc[:1], "n": [rows["n"].sum()], "content": [total.astype(np.float32).tobytes()]})
 
-    flat = recurrent.flattened(params)
-    for k in range(rounds):
-        taken = dealt.where(F.col("round") == k).select("shard", "doc_id", "text").repartitionById(min(shards, MOST_PARTS), F.col("shard")).sortWithinPartitions("shard", "doc_id", F.xxhash64("text"))
-        results = taken.select("shard", "text").mapInArrow(one(flat, RATE / (1 + k)), weighted)
+    flat, square = recurrent.flattened(params), None
+    last = texts.agg(F.max("round")).first()[0]
+    for k in range((-1 if last is None else last) + 1):
+        taken = texts.where(F.col("round") == k).select("shard", "doc_id", "numbers").repartitionById(min(1 << k, MOST_PARTS), F.col("shard")).sortWithinPartitions("shard", "doc_id", F.xxhash64("numbers"))
+        results = taken.select("shard", "numbers").mapInArrow(one(flat, square, k), weighted)
         for slots in (512, 8):  # sums of up to 512 and then of 8 rows; as many reach the driver
-            results = results.groupBy((F.col("shard") % slots).alias("slot")).applyInPandas(added, weighted)
+            if 1 << k > slots:
+                results = results.groupBy((F.col("shard") % slots).alias("slot")).applyInPandas(added, weighted)
         got = sorted(results.collect(), key=lambda r: r["shard"])
         n = sum(r["n"] for r in got)
         if n:
-            flat = (sum(np.frombuffer(r["content"], dtype=np.float32).astype(np.float64) for r in got) / n).astype(np.float32)
+            both = (sum(np.frombuffer(r["content"], dtype=np.float32).astype(np.float64) for r in got) / n).astype(np.float32)
+            flat, square = both[: len(flat)], both[len(flat) :]
     return recurrent.unpacked(flat, params)
 
 
@@ -217,60 +263,39 @@ def score_documents(docs: DataFrame, learn: Column, text: str = "text", doc_id:
     Columns that ``learn`` names must be among the documents'.
     """
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col(doc_id).alias("doc_id"), whole(F.col(text)).alias("text"), learn.alias("_learn"))
-    spark = docs.sparkSession
-    learned = docs.where("_learn")
-    counts = count_words(learned)
+    docs = docs.select(F.col(doc_id).alias("doc_id"), whole(F.col(text)).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
+    counts = count_words(docs.where("learn"))
     vocab, frequent = vocabulary(counts)
-    params = train(learned, vocab)
-    sent = spark.sparkContext.broadcast((vocab, params))
-    schema = "row long, doc_id long, n_tokens long, known long, base double, model double, words array<binary>, times array<int>"
+    texts = encoded(docs, vocab)
+    sent = docs.sparkSession.sparkContext.broadcast(train(texts, vocab))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, net = sent.value[0].built(), recurrent.Network(sent.value[1])
-        held: list[tuple[list[pa.Array], np.ndarray]] = []
-        texts: list[np.ndarray] = []
+        net = recurrent.Network(sent.value)
+        held: list[pa.RecordBatch] = []
+        numbers: list[np.ndarray] = []
 
         def done() -> Iterator[pa.RecordBatch]:
-            log_p, at = net.score(texts) / math.log(10), 0
-            for arrays, model in held:
-                arrays[5] = pa.array(model + log_p[at : at + len(model)])
-                at += len(model)
-                yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "n_tokens", "known", "base", "model", "words", "times"])
+            log_p, at = net.score(numbers) / math.log(10), 0
+            for batch in held:
+                yield batch.append_column("network", pa.array(log_p[at : at + batch.num_rows]))
+                at += batch.num_rows
             held.clear()
-            texts.clear()
+            numbers.clear()
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            number, known, at, bounds, own = v.encode(batch.column(2))
-            sums = lambda values, starts=bounds[:-1]: np.add.reduceat(values, starts)
-            size = np.diff(bounds)
-            logs = np.where(known >= 0, v.log_count[known], 0.0)
-            rare = number >= v.frequent
-            shares = np.where(rare, v.log_share[np.where(rare, number - v.frequent, 0) % recurrent.RARE], 0.0)
-            model = sums(np.where(rare, logs, 0.0) - shares)
-            unknown = np.flatnonzero(known < 0)
-            doc = np.repeat(np.arange(len(size)), size)[unknown]
-            pairs, times = np.unique(doc * max(1, len(own)) + at[unknown], return_counts=True)
-            ends = np.searchsorted(pairs // max(1, len(own)), np.arange(len(size) + 1)).astype(np.int32)
-            words = own.take(pa.array(pairs % max(1, len(own)))).cast(pa.binary())
-            arrays = [
-                batch.column(0), batch.column(1), pa.array(size), pa.array(sums((known >= 0) & (v.counts[known] > 0)).astype(np.int64)), pa.array(sums(logs) - size * v.norm), None,
-                pa.ListArray.from_arrays(pa.array(ends), words), pa.ListArray.from_arrays(pa.array(ends), pa.array(times.astype(np.int32))),
-            ]
-            held.append((arrays, model))
-            texts += np.split(number, bounds[1:-1])
-            if sum(map(len, texts)) > BLOCK:
+            held.append(batch.select(["row", "doc_id", "n_tokens", "known", "base", "model"]))
+            numbers += numbers_of(batch.column("numbers"))
+            if sum(map(len, numbers)) > BLOCK:
                 yield from done()
         if held:
             yield from done()
 
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    scored = stored(numbered.mapInArrow(score, schema), "scores")  # once, for the words that no task knows are joined with their counts
-    rest = scored.select("row", F.inline(F.arrays_zip("words", "times"))).join(counts.where(~frequent).withColumnRenamed("word", "words"), "words", "left")
+    scored = texts.select("row", "doc_id", "n_tokens", "known", "base", "model", "numbers").mapInArrow(score, "row long, doc_id long, n_tokens long, known long, base double, model double, network double")
+    rest = texts.select("row", F.inline(F.arrays_zip("words", "times"))).join(counts.where(~frequent).withColumnRenamed("word", "words"), "words", "left")
     found = rest.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("logs"), F.sum(F.when(F.col("c").isNotNull(), F.col("times"))).alias("more"))
-    both = scored.drop("words", "times").join(found, "row", "left")
+    both = scored.join(found, "row", "left")
     logs = F.coalesce("logs", F.lit(0.0))
     return both.select(
         "doc_id",
@@ -278,7 +303,7 @@ def score_documents(docs: DataFrame, learn: Column, text: str = "text", doc_id:
         (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(vocab.total).cast("long").alias("train_tokens"),
         (F.col("base") + logs).alias("base_score"),
-        (F.col("model") + logs).alias("score"),
+        (F.col("model") + F.col("network") + logs).alias("score"),
     )
 
 

@@ -2,7 +2,7 @@
 
 Words have numbers: the frequent ones in the order of their counts, ``IN`` of
 them to a class; every other word is in one of the rare classes, by its first
-byte. The state predicts the class, and within a frequent class the word by a
+two bytes. The state predicts the class, and within a frequent class the word by a
 softmax of its own; within a rare class words keep their shares of the counts,
 which the caller adds. The input of a frequent word is a row of its own, that
 of another word the row of its last bytes' hash.
@@ -23,11 +23,12 @@ import numpy as np
 #: Words of a frequent class.
 IN = 32
 #: Rare classes.
-RARE = 16
-#: Input rows of rare words.
-TAILS = 1024
+RARE = 64
+#: Input rows of rare words; all numbers of words fit two bytes.
+TAILS = 1000
 HIDDEN = 16
-LANES = 512
+#: Lanes of training at first and at most, and of scoring at most: the fewer, the more steps are made on as many words.
+FIRST_LANES, LANES = 64, 512
 #: Words of a text in training after which the state begins anew, so that lanes of long texts end with the others.
 PIECE = 2048
 WINDOW = 16
@@ -40,13 +41,20 @@ Params = dict[str, np.ndarray]
 
 
 def rare_class(word: bytes) -> int:
-    """Number of the rare class of a word: of its first byte."""
-    return word[0] % RARE
+    """Number of the rare class of a word: of its first two bytes."""
+    return rare_class_of(word[0] * 256 + (word[1] if len(word) > 1 else 0))
+
+
+def rare_class_of(pair):
+    """The class of two bytes as a number: multiplicative hashing of a number, an array or a column."""
+    return (pair * 40503 % 65536) * RARE // 65536
 
 
 def rare_classes(content: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """``rare_class`` of each word of bytes that lie one after the other; of an empty one any."""
-    return content[np.minimum(ends[:-1], len(content) - 1)] % RARE
+    first = content[np.minimum(ends[:-1], len(content) - 1)].astype(np.int64)
+    second = np.where(ends[:-1] + 1 < ends[1:], content[np.minimum(ends[:-1] + 1, len(content) - 1)], 0)
+    return rare_class_of(first * 256 + second)
 
 
 def tail_rows(content: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -261,15 +269,29 @@ def _softmax(h: np.ndarray, w: np.ndarray, target: np.ndarray, grad: np.ndarray
 
 
 class Trainer:
-    """Steps of stochastic descent with moment estimates; the gradient's length is bounded."""
+    """Steps of stochastic descent with moment estimates; the gradient's length is bounded.
+
+    ``square`` are the squares of gradients to go on from, as ``spread`` gave them.
+    """
 
-    def __init__(self, params: Params, rate: float):
+    def __init__(self, params: Params, rate: float, square: np.ndarray | None = None):
         self.like, self.rate, self.steps = params, rate, 0
         self.flat = flattened(params)
         self.net = Network(unpacked(self.flat, params))
         self.grad = np.zeros_like(self.flat)
         self.into = unpacked(self.grad, params)
-        self.mean, self.square = np.zeros_like(self.flat), np.zeros_like(self.flat)
+        self.mean, self.square = np.zeros_like(self.flat), np.zeros_like(self.flat) if square is None else square.astype(np.float32)
+        self.anew = square is None
+
+    @property
+    def weight(self) -> float:
+        """The share of gradients, rather than of the zero begun with, in the squares."""
+        return 1 - 0.99**self.steps if self.anew else 1.0
+
+    @property
+    def spread(self) -> np.ndarray:
+        """Mean squares of gradients."""
+        return self.square / np.float32(self.weight or 1.0)
 
     def _step(self) -> None:
         g = self.grad
@@ -283,7 +305,7 @@ class Trainer:
         change *= np.float32(0.01)
         self.square += change
         size = np.sqrt(self.square)
-        size *= np.float32((1 - 0.99**self.steps) ** -0.5)
+        size *= np.float32(self.weight**-0.5)
         size += np.float32(1e-5)
         np.divide(self.mean, size, out=size)
         size *= np.float32(self.rate / (1 - 0.9**self.steps))
