@@ -66,10 +66,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
-    """The rows, written as Parquet to a new folder within the shared one, in parts by some columns of few values, and read again."""
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written as Parquet to a new folder within the shared one, and read again."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*by).parquet(path)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def stored_by(df: DataFrame, name: str, by: str) -> DataFrame:
+    """As ``stored``, in parts by a column of few values, so that a filter on it reads its parts only."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

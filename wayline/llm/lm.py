@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayline.llm import recurrent
-from wayline.llm.common import checkpointed, fold, small_batches, stored, table, whole
+from wayline.llm.common import checkpointed, fold, small_batches, stored_by, table, whole
 
 #: Words whose counts every task has, at most, and their length in bytes.
 KNOWN, LONGEST = 1 << 18, 64
@@ -136,7 +136,7 @@ class Vocabulary:
         return np.append(number, 0).astype(np.int32)[at], np.append(known, 0)[at], at, bounds, own
 
     def start(self) -> recurrent.Params:
-        return recurrent.start(self.counts[:WORDS].astype(float), self.rare)
+        return recurrent.start(self.counts[:WORDS].astype(float), self.rare + 0.5 * self.rare_distinct)
 
 
 def vocabulary(counts: DataFrame, known: int = KNOWN) -> tuple[Vocabulary, Column]:
@@ -206,7 +206,7 @@ def encoded(docs: DataFrame, vocab: Vocabulary, shard_words: int = SHARD) -> Dat
             yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "round", "shard", "numbers", "n_tokens", "known", "base", "model", "words", "times"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", round_.alias("round"), shard.alias("shard"), "text")
-    return stored(rows.mapInArrow(run, schema), "numbers", "round")
+    return stored_by(rows.mapInArrow(run, schema), "numbers", "round")
 
 
 def numbers_of(column: pa.Array) -> list[np.ndarray]:
