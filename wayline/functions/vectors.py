@@ -27,6 +27,8 @@ def zeros(n: int) -> Column:
 
 def part(v: Column, start: int, stop: int | None = None, size: Column | None = None) -> Column:
     """``v[start:stop]`` with Python's meaning of negative bounds."""
+    if start >= 0 and stop is not None and stop >= 0:
+        return F.slice(v, start + 1, max(stop - start, 0))  # slices end where the vector does
     n = F.size(v) if size is None else size
     lo = F.lit(start) if start >= 0 else F.greatest(n + start, F.lit(0))
     hi = n if stop is None else F.least(F.lit(stop), n) if stop >= 0 else n + stop

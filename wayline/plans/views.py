@@ -13,9 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users' events in time: ``traj, t, action, language_instruction``."""
+def events(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    """Users' events in time: ``traj, t, action, language_instruction``; in so many partitions by trajectory, if told."""
     e = table(spark, sf_dir, "events").withColumnRenamed("user_id", "traj")
+    e = e.repartition(parts, "traj") if parts else e
     k = F.get_json_object("props", "$.k").cast("double")
     return S.with_t(e, ["ts"]).select("traj", "t", F.array("value", k).alias("action"), F.col("event_type").alias("language_instruction"))
 
