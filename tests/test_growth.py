@@ -6,9 +6,11 @@ import os
 import re
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from wayline.plans import standards
+from wayline.streaming import ordered
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 here = pytest.mark.skipif(not os.path.isdir(DIR), reason="the tables are not here")
@@ -23,3 +25,44 @@ def test_standard_steps_are_dealt_out_and_drawn_once(spark, name):
     assert tasks == max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("md5(") <= 2 and not re.search(r"lambdafunction\([^\n]*md5\(", plan)
+
+
+class _State:
+    """A key's state that counts the calls made to it."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def __getattr__(self, name):
+        if name.startswith("get") and name.endswith("State"):
+            return lambda *_: self
+        raise AttributeError(name)
+
+    def _called(self):
+        self.calls += 1
+        return self.held
+
+    def get(self):
+        return self._called().get("place")
+
+    def update(self, value):
+        self._called()["place"] = value
+
+    def getValue(self, k):  # noqa: N802
+        return self._called().get(k)
+
+    def updateValue(self, k, v):  # noqa: N802
+        self._called()[k] = v
+
+    def removeKey(self, k):  # noqa: N802
+        self._called().pop(k, None)
+
+
+def test_calls_to_the_state_do_not_grow_with_the_steps_of_a_batch():
+    state, history = _State(), ordered.History(2, None)
+    history.init(state)
+    batches = [[*range(199, 99, -1)], [*range(99, 0, -1)], [5, 0]]
+    out = [[(r["t"], r["late"], r["history"]) for r in history.handleInputRows((1,), iter([Row(traj=1, t=t, x=[float(t)]) for t in b]), None)] for b in batches]
+    assert out[:2] == [[], []] and out[2][0] == (5, True, None)
+    assert [r[0] for r in out[2][1:]] == [*range(200)] and out[2][-1][2] == [[198.0], [199.0]]
+    assert state.calls <= 12 and list(state.held) == ["place"]

@@ -12,8 +12,10 @@ patience steps wait for as long as it takes.
 
 Defined cases: a step that comes again, waiting or taken, is late; steps count
 from 0; a null value waits and is taken as any other; an empty batch gives no
-rows. The state of a key is what waits, the number of the next step and the few
-items that the operator keeps; it goes ``forget`` milliseconds after the last
+rows. The state of a key is what waits, in blocks of ``BLOCK`` numbers of steps,
+and one value with the number of the next step and the few items that the
+operator keeps: every call to the state store takes as long as some hundred
+steps do, so a batch reads and writes a block once, however many of its steps come; it goes ``forget`` milliseconds after the last
 row of the key, if that and ``patience`` are set. The session needs the RocksDB state store
 (``use_state_store``).
 """
@@ -23,11 +25,12 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+#: Numbers of steps that wait in one entry of the state.
+BLOCK = 256
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -44,9 +47,8 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "t int", "x array<double>")
-        self.kept = handle.getListState("kept", "x array<double>")
-        self.place = handle.getValueState("place", "next int, waits int, due long, gone long")
+        self.waiting = handle.getMapState("waiting", "block int", "t array<int>, x array<array<double>>")
+        self.place = handle.getValueState("place", "next int, waits int, due long, gone long, kept array<array<double>>")
 
     def close(self) -> None:
         pass
@@ -58,50 +60,58 @@ class InOrder(StatefulProcessor):
     nothing: tuple = ()
     columns: tuple[str, ...] = ()
 
-    def _release(self, key: tuple, t: int, fresh: dict[int, list | None], waits: int, over_gaps: bool, rows: list[tuple]) -> tuple[int, int]:
-        """Takes what can be taken of what has just come and what waits; the next step to come, and how many wait on."""
-        kept = None
-        left = sorted(k[0] for k in self.waiting.keys()) if over_gaps else None
+    def _block(self, blocks: dict[int, dict[int, list | None]], t: int) -> dict[int, list | None]:
+        """What waits in a step's block, read from the state when it is first asked for."""
+        b = t // BLOCK
+        if b not in blocks:
+            blocks[b] = dict(zip(*held, strict=True)) if (held := self.waiting.getValue((b,))) else {}
+        return blocks[b]
+
+    def _release(self, key: tuple, t: int, fresh: dict[int, list | None], kept: list[list], waits: int, blocks: dict[int, dict[int, list | None]], over_gaps: bool, rows: list[tuple]) -> tuple[int, list[list], int]:
+        """Takes what can be taken of what has just come and what waits; the next step to come, what is kept, and how many wait on."""
+        changed, after = set(), t
+        left = iter(sorted(k for (b,) in list(self.waiting.keys()) for k in self._block(blocks, b * BLOCK))) if over_gaps else None
         while True:
-            if left is not None:
-                if not left:
-                    break
-                t = left.pop(0)
+            if left is not None and (t := next(left, -1)) < 0:
+                break
             if t in fresh:
                 x = fresh.pop(t)
-            elif waits and self.waiting.containsKey((t,)):
-                x = self.waiting.getValue((t,))[0]
-                self.waiting.removeKey((t,))
+            elif waits and t in self._block(blocks, t):
+                x = blocks[t // BLOCK].pop(t)
+                changed.add(t // BLOCK)
                 waits -= 1
             else:
                 break
-            if kept is None:
-                kept = [list(r[0]) for r in self.kept.get()]
-            out, kept = self.taken(t, None if x is None else [float(v) for v in x], kept)
+            out, kept = self.taken(t, x, kept)
             rows.append((key[0], t, False, *out))
             t += 1
-        if kept is not None:
-            self.kept.put([(k,) for k in kept])
+            after = t
         for k, x in fresh.items():
-            self.waiting.updateValue((k,), (x,))
-        return t, waits + len(fresh)
+            (self._block(blocks, k) if waits else blocks.setdefault(k // BLOCK, {}))[k] = x
+            changed.add(k // BLOCK)
+        for b in changed:
+            if blocks[b]:
+                self.waiting.updateValue((b,), ([*blocks[b]], [*blocks[b].values()]))
+            else:
+                self.waiting.removeKey((b,))
+        return after, kept, waits + len(fresh)
 
-    def _frame(self, rows: list[tuple]) -> Iterator[pd.DataFrame]:
-        if rows:
-            yield pd.DataFrame(rows, columns=["traj", "t", "late", *self.columns])
+    def _rows(self, rows: list[tuple]) -> Iterator[Row]:
+        of = Row("traj", "t", "late", *self.columns)
+        return (of(*r) for r in rows)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802  the interface's name
-        following, waits, due, gone = self.place.get() if self.place.exists() else (0, 0, None, None)
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802  the interface's name
+        following, waits, due, gone, kept = self.place.get() or (0, 0, None, None, [])
         late: list[tuple] = []
+        blocks: dict[int, dict[int, list | None]] = {}
         fresh: dict[int, list | None] = {}
-        for batch in rows:
-            for t, x in zip(batch["t"].tolist(), batch["x"].tolist(), strict=True):
-                if t < following or t in fresh or waits and self.waiting.containsKey((t,)):
-                    late.append((key[0], t, True, *self.nothing))
-                else:
-                    fresh[t] = None if x is None else [float(v) for v in x]
+        for t, x in ((r["t"], r["x"]) for r in rows):
+            if t < following or t in fresh or waits and t in self._block(blocks, t):
+                late.append((key[0], t, True, *self.nothing))
+            else:
+                fresh[t] = x
         out = sorted(late, key=lambda r: r[1])
-        following, waits = self._release(key, following, fresh, waits, False, out)
+        following, kept, waits = self._release(key, following, fresh, [list(k) for k in kept], waits, blocks, False, out)
         if self.patience is not None:
             now = timerValues.getCurrentProcessingTimeInMs()
             for old in (due, gone):
@@ -112,19 +122,19 @@ class InOrder(StatefulProcessor):
             for new in (due, gone):
                 if new is not None:
                     self.handle.registerTimer(new)
-        self.place.update((following, waits, due, gone))
-        yield from self._frame(out)
+        self.place.update((following, waits, due, gone, kept))
+        yield from self._rows(out)
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
-        following, waits, _, gone = self.place.get()
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802
+        following, waits, _, gone, kept = self.place.get()
         out: list[tuple] = []
-        following, waits = self._release(key, following, {}, waits, True, out)
+        following, kept, waits = self._release(key, following, {}, [list(k) for k in kept], waits, {}, True, out)
         if gone is not None and expiredTimerInfo.getExpiryTimeInMs() >= gone:
-            for state in (self.waiting, self.kept, self.place):
+            for state in (self.waiting, self.place):
                 state.clear()
         else:
-            self.place.update((following, waits, None, gone))
-        yield from self._frame(out)
+            self.place.update((following, waits, None, gone, kept))
+        yield from self._rows(out)
 
 
 class History(InOrder):
@@ -160,7 +170,7 @@ class Ensemble(InOrder):
 
 def _stream(df: DataFrame, value: str, processor: InOrder, schema: str) -> DataFrame:
     rows = df.select("traj", F.col("t").cast("int").alias("t"), F.col(value).cast("array<double>").alias("x"))
-    return rows.groupBy("traj").transformWithStateInPandas(processor, f"traj long, t int, late boolean, {schema}", "append", "None" if processor.patience is None else "ProcessingTime")
+    return rows.groupBy("traj").transformWithState(processor, f"traj long, t int, late boolean, {schema}", "append", "None" if processor.patience is None else "ProcessingTime")
 
 
 def histories(df: DataFrame, size: int, patience: int | None = None, forget: int | None = None) -> DataFrame:
