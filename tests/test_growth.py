@@ -5,11 +5,15 @@ from __future__ import annotations
 import os
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from wayline.plans import standards
+from wayline.plans import loading, standards, views
+from wayline.sources import records
+from wayline.sources.checksums import masked_of_length, masked_of_lengths
 from wayline.streaming import ordered
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -66,3 +70,21 @@ def test_calls_to_the_state_do_not_grow_with_the_steps_of_a_batch():
     assert out[:2] == [[], []] and out[2][0] == (5, True, None)
     assert [r[0] for r in out[2][1:]] == [*range(200)] and out[2][-1][2] == [[198.0], [199.0]]
     assert state.calls <= 12 and list(state.held) == ["place"]
+
+
+def test_lengths_are_checked_one_by_one_without_arrays():
+    heads = np.random.default_rng(0).integers(0, 256, (50, 8), dtype=np.uint8)
+    assert [masked_of_length(h.tobytes()) for h in heads] == masked_of_lengths(heads).tolist()
+
+
+def test_batches_are_cut_by_bytes():
+    batch = pa.RecordBatch.from_pylist([{"x": "a" * 1000}] * 2000)
+    pieces = [*records.in_pieces(iter([batch, batch.slice(0, 0)]), 100_000)]
+    assert max(p.nbytes for p in pieces) <= 110_000 and pa.Table.from_batches(pieces) == pa.Table.from_batches([batch])
+    assert [p.num_rows for p in records.in_pieces(iter([batch.slice(0, 3)]), 10)] == [1, 1, 1]
+
+
+@here
+def test_episodes_are_dealt_out(spark):
+    rows = loading._episodes(spark, DIR, 0.0)
+    assert rows.select(F.spark_partition_id().alias("p")).distinct().count() == views.tasks(spark)

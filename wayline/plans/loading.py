@@ -43,7 +43,7 @@ def _written_and_read(df: DataFrame, name: str, **options) -> DataFrame:
 @query(f"with {EVENTS} select traj, t, a0::float::double as a0, a1::float::double as a1, lang from ev")
 def record_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every step written as a record, and read back by byte ranges with all checksums."""
-    steps = files.as_examples(views.events(spark, sf_dir).withColumnRenamed("language_instruction", "lang"), ["traj", "t", "action", "lang"])
+    steps = files.as_examples(views.events(spark, sf_dir, views.tasks(spark)).withColumnRenamed("language_instruction", "lang"), ["traj", "t", "action", "lang"])
     rows = files.parse_examples(_written_and_read(steps, "steps"), "traj long, t int, action array<float>, lang string")
     return rows.select("traj", "t", F.get("action", 0).cast("double").alias("a0"), F.get("action", 1).cast("double").alias("a1"), "lang")
 
@@ -56,7 +56,8 @@ def record_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards of a record for each order; a record's number in its shard comes from an index of lengths, without gathering the shard."""
     li = views.items(spark, sf_dir).groupBy("traj").agg(F.count("*").alias("n"), F.sum(F.get("action", 0)).alias("s"))
     path = new_folder(spark, "orders")
-    records.write_framed(files.as_examples(li, ["traj", "n", "s"]).repartitionById(SHARDS, F.pmod("traj", F.lit(SHARDS)).cast("int")).sortWithinPartitions("traj"), path)
+    dealt = li.repartitionById(SHARDS, F.pmod("traj", F.lit(SHARDS)).cast("int")).sortWithinPartitions("traj")
+    records.write_framed(files.as_examples(dealt, ["traj", "n", "s"]), path)
     placed = records.with_places(records.framed(spark, path), records.framed(spark, path, contents=False))
     rows = files.parse_examples(placed.select("place", "content", "fault"), "traj long, n long, s float")
     return rows.select("traj", "n", F.col("s").cast("double").alias("s"), "place")
@@ -64,7 +65,7 @@ def record_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _episodes(spark: SparkSession, sf_dir: str, share: float) -> DataFrame:
     """A record for each user's events, as episodes are stored; a share of them cut short, so that they cannot be read."""
-    one = S.nested(views.events(spark, sf_dir).withColumnRenamed("language_instruction", "lang"))
+    one = S.nested(views.events(spark, sf_dir, views.tasks(spark)).withColumnRenamed("language_instruction", "lang"))
     flat = one.select("traj", F.flatten("steps.action").alias("action"), F.col("steps.lang").alias("lang"))
     coded = files.as_examples(flat, ["traj", "action", "lang"])
     cut = uniform("cut", F.col("traj")) < share

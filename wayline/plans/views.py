@@ -13,6 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tasks(spark: SparkSession) -> int:
+    """Partitions for rows of few bytes that take long each: by their bytes alone they would be put together into few tasks."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def events(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
     """Users' events in time: ``traj, t, action, language_instruction``; in so many partitions by trajectory, if told."""
     e = table(spark, sf_dir, "events").withColumnRenamed("user_id", "traj")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator, Sequence
-from functools import partial
+from functools import cache, partial
 
 import pandas as pd
 import pyarrow as pa
@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from wayline.functions.uniform import uniform
 from wayline.operators import mixture
 from wayline.operators import steps as S
-from wayline.sources.records import framed, with_places
+from wayline.sources.records import framed, in_pieces, with_places
 
 #: Rows of parsed features that are held at a time.
 ROWS = 5_000
@@ -64,12 +64,12 @@ def _fields(b: bytes) -> Iterator[tuple[int, int, bytes | int]]:
     """Field number, wire type and value of each field of a message."""
     at = 0
     while at < len(b):
-        tag, at = _varint(b, at)
+        tag, at = (b[at], at + 1) if b[at] < 128 else _varint(b, at)
         number, wire = tag >> 3, tag & 7
         if wire == 0:
             value, at = _varint(b, at)
         elif wire == 2:
-            size, at = _varint(b, at)
+            size, at = (b[at], at + 1) if b[at] < 128 else _varint(b, at)
         else:
             size = {1: 8, 5: 4}[wire]
         if wire:
@@ -114,16 +114,27 @@ def records(content: bytes) -> Iterator[bytes]:
         at += 16 + size
 
 
+_SHORT = [bytes([n]) for n in range(128)]
+
+
 def _number(n: int) -> bytes:
+    if n < 128:
+        return _SHORT[n]
     out = bytearray()
     while n > 127:
         out.append(n & 127 | 128)
         n >>= 7
-    return bytes(out) + bytes([n])
+    out.append(n)
+    return bytes(out)
 
 
 def _field(number: int, content: bytes) -> bytes:
-    return _number(number << 3 | 2) + _number(len(content)) + content
+    return _SHORT[number << 3 | 2] + _number(len(content)) + content
+
+
+@cache
+def _name_field(name: str) -> bytes:
+    return _field(1, name.encode())
 
 
 def encode_example(features: dict[str, list]) -> bytes:
@@ -133,12 +144,12 @@ def encode_example(features: dict[str, list]) -> bytes:
         if not values:
             kind = b""
         elif isinstance(values[0], (bytes, str)):
-            kind = _field(1, b"".join(_field(1, v.encode() if isinstance(v, str) else bytes(v)) for v in values))
+            kind = _field(1, b"".join([_field(1, v.encode() if isinstance(v, str) else bytes(v)) for v in values]))
         elif isinstance(values[0], float):
             kind = _field(2, _field(1, struct.pack(f"<{len(values)}f", *values)))
         else:
-            kind = _field(3, _field(1, b"".join(_number(v % (1 << 64)) for v in values)))
-        entries.append(_field(1, _field(1, name.encode()) + _field(2, kind)))
+            kind = _field(3, _field(1, b"".join([_number(v % (1 << 64)) for v in values])))
+        entries.append(_field(1, _name_field(name) + _field(2, kind)))
     return _field(1, b"".join(entries))
 
 
@@ -147,7 +158,7 @@ def as_examples(df: DataFrame, columns: Sequence[str], content: str = "content")
     rows = df.drop(content)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_pieces(batches):
             lists = zip(*(([] if v is None else v if isinstance(v, list) else [v] for v in b[c].to_pylist()) for c in columns), strict=True)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([encode_example(dict(zip(columns, v, strict=True))) for v in lists], pa.binary())], [*b.schema.names, content])
 
@@ -174,7 +185,7 @@ def parse_examples(df: DataFrame, schema: str, content: str = "content", fault:
     rest = rows.drop(content, fault)
     kept = rest.columns
 
-    def read(b: bytes | None) -> list:
+    def read(b: bytes | None, check: bool) -> list:
         features = parse_example(b)
         out = []
         for f, kind in zip(wanted, kinds, strict=True):
@@ -183,25 +194,32 @@ def parse_examples(df: DataFrame, schema: str, content: str = "content", fault:
                 values = values[0] if values else None
             if values is not None and (pa.types.is_string(kind) or pa.types.is_list(kind) and pa.types.is_string(kind.value_type)):
                 values = values.decode() if isinstance(values, bytes) else [v.decode() for v in values]
-            pa.scalar(values, kind)  # of the wanted kind, or an error
+            if check:
+                pa.scalar(values, kind)  # of the wanted kind, or an error
             out.append(values)
         return out
 
+    def columns_of(b: pa.RecordBatch, check: bool) -> list[pa.Array]:
+        columns: list[list] = [[] for _ in kinds]
+        faults = b[fault].to_pylist()
+        for i, c in enumerate(b[content].to_pylist()):
+            values: list = [None] * len(kinds)
+            if faults[i] is None and c is not None:
+                try:
+                    values = read(c, check)
+                except _UNREADABLE:
+                    faults[i] = "fields"
+            for own, v in zip(columns, values, strict=True):
+                own.append(v)
+        return [*(pa.array(v, k) for v, k in zip(columns, kinds, strict=True)), pa.array(faults, pa.string())]
+
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            columns: list[list] = [[] for _ in kinds]
-            faults = b[fault].to_pylist()
-            for i, c in enumerate(b[content]):
-                values: list = [None] * len(kinds)
-                if faults[i] is None and c.is_valid:
-                    try:
-                        values = read(c.as_py())
-                    except _UNREADABLE:
-                        faults[i] = "fields"
-                for own, v in zip(columns, values, strict=True):
-                    own.append(v)
-            arrays = [pa.array(v, k) for v, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), *arrays, pa.array(faults, pa.string())], [*kept, *wanted.names, fault])
+        for b in in_pieces(batches):
+            try:
+                arrays = columns_of(b, False)
+            except _UNREADABLE:  # some record has values of another kind: which one is found value by value
+                arrays = columns_of(b, True)
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), *arrays], [*kept, *wanted.names, fault])
 
     out = T.StructType([*rest.schema.fields, *wanted.fields, T.StructField(fault, T.StringType())])
     return rows.select(*kept, content, fault).mapInArrow(parsed, out)

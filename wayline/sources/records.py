@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from wayline.sources.checksums import crc32c, masked, masked_of_lengths
+from wayline.sources.checksums import crc32c, masked, masked_of_length, masked_of_lengths
 
 FORMAT = "framed_records"
 SCHEMA = "path string, part long, nth long, start long, size long, content binary, fault string"
@@ -60,6 +60,17 @@ HEAD, TAIL = 12, 4
 CHUNK, BATCH_BYTES, BATCH_ROWS = 8 << 20, 16 << 20, 5_000
 
 
+#: Bytes of rows whose values are Python's at a time; these take some twenty times as much.
+PIECE_BYTES = 1 << 20
+
+
+def in_pieces(batches: Iterator[pa.RecordBatch], most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of rows of about so many bytes, a row at least: Spark's batches count rows, whatever their size."""
+    for b in batches:
+        n = max(1, b.num_rows * most // max(1, b.nbytes))
+        yield from (b.slice(k, n) for k in range(0, b.num_rows, n))
+
+
 def opened(path: str) -> tuple[fs.FileSystem, str]:
     """The store of a path and the path within it."""
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
@@ -109,7 +120,7 @@ class Shard:
         if len(head) < HEAD:
             return None
         (size,) = struct.unpack("<Q", head[:8])
-        if check and struct.unpack("<I", head[8:])[0] != int(masked_of_lengths(np.frombuffer(head[:8], dtype=np.uint8)[None, :])[0]):
+        if check and struct.unpack("<I", head[8:])[0] != masked_of_length(head[:8]):
             return None
         return size
 
@@ -244,8 +255,8 @@ class RecordWriter(DataSourceArrowWriter):
         beside = f"{self.folder}/_{task.taskAttemptId()}-{name}"
         some = False
         with self.store.open_output_stream(beside) as out:
-            for batch in iterator:
-                contents = [c.as_py() for c in batch["content"]]
+            for batch in in_pieces(iterator, BATCH_BYTES):
+                contents = batch["content"].to_pylist()
                 if any(c is None for c in contents):
                     raise ValueError("a record must not be null")
                 lengths = [struct.pack("<Q", len(c)) for c in contents]
@@ -313,6 +324,6 @@ def range_sizes(index: DataFrame) -> DataFrame:
 
 
 def with_places(records: DataFrame, index: DataFrame) -> DataFrame:
-    """The records with ``place``, their number in the shard from 0. ``index`` has the same ranges."""
-    placed = records.join(range_sizes(index), ["path", "part"])
+    """The records with ``place``, their number in the shard from 0. ``index`` has the same ranges, of which there is a row each: so few that they go to the records."""
+    placed = records.join(F.broadcast(range_sizes(index)), ["path", "part"])
     return placed.withColumn("place", F.col("before") + F.col("nth")).drop("before")
