@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from wayline.operators import statistics
 from wayline.plans import loading, standards, views
 from wayline.sources import records
 from wayline.sources.checksums import masked_of_length, masked_of_lengths
@@ -88,3 +89,18 @@ def test_batches_are_cut_by_bytes():
 def test_episodes_are_dealt_out(spark):
     rows = loading._episodes(spark, DIR, 0.0)
     assert rows.select(F.spark_partition_id().alias("p")).distinct().count() == views.tasks(spark)
+
+
+def test_rows_do_not_meet_their_ranges_by_key(spark, monkeypatch):
+    plans = []
+    kept = statistics.checkpointed
+    monkeypatch.setattr(statistics, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or kept(df))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        flat = spark.range(1000).select((F.col("id") % 2).alias("k"), F.col("id").cast("double").alias("x"))
+        got = {r["k"]: list(r["q"]) for r in statistics.exact_quantiles(flat, ["k"], (0.5,)).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got == {0: [499.0], 1: [500.0]}
+    assert len(plans) > 1 and all("BroadcastHashJoin" in p for p in plans[1:])

@@ -15,6 +15,8 @@ from wayline.sources.shared import checkpointed
 
 #: Intervals into which a pass of ``exact_quantiles`` cuts each range.
 BINS = 1024
+#: Open ranges up to which these go to the rows; with more the rows go to the ranges.
+FEW_RANGES = 100_000
 
 
 def _magnitude(x: Column) -> Column:
@@ -48,8 +50,10 @@ def exact_quantiles(flat: DataFrame, key: Sequence[str], quantiles: Sequence[flo
     place = [F.lit(float(q)) * (F.col("n") - 1) for q in quantiles]
     ranks = F.array_distinct(F.array(*(f(p).cast("long") for p in place for f in (F.floor, F.ceil))))
     found = checkpointed(ends.select("_k", "n", F.explode(ranks).alias("rank"), "low", "high", F.lit(0).cast("long").alias("before")))
-    while not (open_ := found.where("low < high")).isEmpty():
+    while n := (open_ := found.where("low < high")).count():
         ranges = open_.select("_k", "low", "high", "before").distinct()
+        # few keys would bring their rows together in as few tasks
+        ranges = F.broadcast(ranges) if n <= FEW_RANGES else ranges
         inside = rows.join(ranges, "_k").where(F.col("_x").between(F.col("low"), F.col("high")))
         counts = inside.groupBy("_k", "low", "high", "before", _interval(F.col("_x"), F.col("low"), F.col("high")).alias("bin")).agg(F.count("*").alias("c"), F.min("_x").alias("_low"), F.max("_x").alias("_high"))
         upto = F.sum("c").over(Window.partitionBy("_k", "low", "high").orderBy("bin"))
