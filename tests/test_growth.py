@@ -11,8 +11,9 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from wayline.operators import statistics
+from wayline.operators import mixture, statistics
 from wayline.plans import loading, standards, views
+from wayline.plans.queries import QUERIES
 from wayline.sources import records
 from wayline.sources.checksums import masked_of_length, masked_of_lengths
 from wayline.streaming import ordered
@@ -47,6 +48,20 @@ def test_weighted_sums_of_any_length(spark):
     assert got == [round(sum(x * (i * i + 1) for i, x in enumerate(v)), 5) for v in vectors]
 
 
+@here
+def test_frames_of_a_mix_are_numbered_without_copies_and_slots_drawn_once(spark):
+    plan = QUERIES["mixed_sources"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "ExistingRDD" not in plan
+    assert not re.search(r"Filter [^\n]*md5\(", plan)
+
+
+def test_numbers_by_draw_are_those_by_order(spark):
+    draws = [0.0, 0.25, 0.25, 0.5, 0.999999, 0.25, 1e-9]
+    df = spark.createDataFrame([(d, k) for k, d in enumerate([*draws, 0.25], -1)] + [(0.25, None)], "d double, k int")
+    plain = {tuple(r) for r in mixture.numbered(df, F.col("d"), ["k"]).select("d", "k", "rn").collect()}
+    assert {tuple(r) for r in mixture.numbered_by_draw(df, F.col("d"), ["k"]).select("d", "k", "rn").collect()} == plain and len(plain) == 9
+
+
 class _State:
     """A key's state that counts the calls made to it."""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,9 @@ from wayline.functions.uniform import plain_uniform, uniform
 from wayline.sources.shared import checkpointed
 
 #: Slots of a mix that are numbered together.
-BLOCK = 1 << 20
+BLOCK = 1 << 16
+#: Parts of equal width into which draws are cut for ``numbered_by_draw``.
+CELLS = 1 << 14
 
 
 def numbered(df: DataFrame, by: Column, ties: Sequence[str] = (), name: str = "rn", parts: int | None = None) -> DataFrame:
@@ -37,6 +40,22 @@ def numbered(df: DataFrame, by: Column, ties: Sequence[str] = (), name: str = "r
     return rows.join(F.broadcast(parts), "_part").withColumn(name, place).drop("_at", "_part", "_before")
 
 
+def numbered_by_draw(df: DataFrame, draw: Column, ties: Sequence[str] = (), name: str = "rn") -> DataFrame:
+    """Row numbers from 1 in the order of a draw from 0 up to 1 and the ties, as ``numbered`` gives them.
+
+    Draws are spread evenly, so parts of equal width hold about as many rows
+    each: neither a sample of the rows nor a copy of them is needed. A row's
+    number is its place in its part and the rows in the parts before. Rows must
+    come out alike when they are read twice. Parts are never
+    null, or the join would draw once more to leave nulls out.
+    """
+    rows = df.withColumn("_draw", draw).withColumn("_cell", F.coalesce(F.floor(F.col("_draw") * CELLS), F.lit(0)))
+    before = F.coalesce(F.sum("_count").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = rows.groupBy("_cell").agg(F.count("*").alias("_count")).select("_cell", before.alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_cell").orderBy(F.col("_draw").asc_nulls_first(), *(F.col(c).asc_nulls_first() for c in ties)))
+    return rows.withColumn("_place", place).join(F.broadcast(sizes), "_cell").withColumn(name, F.col("_before") + F.col("_place")).drop("_draw", "_cell", "_place", "_before")
+
+
 def numbered_within(df: DataFrame, group: str, order: Sequence[str], name: str = "rn") -> DataFrame:
     """Row numbers from 0 within each group by the order, whatever the groups' sizes.
 
@@ -132,11 +151,13 @@ def interleaved(frames: DataFrame, weights: DataFrame, n: int, seed: int = 0, na
     sums = np.cumsum([r["sampling_weight"] for r in rows])
     spark = frames.sparkSession
     u = uniform("slot", seed, F.col("slot"))
-    place = F.least(F.size(F.filter(F.array(*(F.lit(float(s)) for s in sums)), lambda s: s <= F.col("_u"))), F.lit(len(rows) - 1))
-    slots = spark.range(n).withColumnRenamed("id", "slot").withColumn("_u", u)
-    names = F.array(*(F.lit(r[name]) for r in rows))
-    counts = F.array(*(F.lit(r["num_transitions"]) for r in rows))
-    slots = slots.withColumns({name: F.get(names, place), "_n": F.get(counts, place)}).drop("_u")
+    slots = spark.range(n if rows else 0).withColumnRenamed("id", "slot").withColumn("_u", u)
+
+    def of_source(values: Sequence) -> Column:
+        """The value of the first source whose sum is above the draw; never null, or joins would draw once more to leave nulls out."""
+        return reduce(lambda rest, pair: F.when(F.col("_u") < float(pair[0]), pair[1]).otherwise(rest), [*zip(sums, values)][-2::-1], F.lit(values[-1] if values else None))
+
+    slots = slots.withColumns({name: of_source([r[name] for r in rows]), "_n": of_source([r["num_transitions"] for r in rows])}).drop("_u")
     # A source's turns are counted in blocks of slots, so that no source, however large its share, is sorted in one task.
     slots = slots.withColumn("_block", F.floor(F.col("slot") / BLOCK))
     so_far = F.sum("count").over(Window.partitionBy(name).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
@@ -144,14 +165,15 @@ def interleaved(frames: DataFrame, weights: DataFrame, n: int, seed: int = 0, na
     turn = F.row_number().over(Window.partitionBy(name, "_block").orderBy("slot")) - 1
     slots = slots.withColumn("_turn", turn).join(before, [name, "_block"])
     slots = slots.withColumn("frame_no", ((F.col("_turn") + F.col("_before")) % F.col("_n")).cast("long")).drop("_n", "_turn", "_before", "_block")
-    return slots.join(frames, [name, "frame_no"])
+    return slots.join(frames, ["frame_no", name])  # sorted by number first: names are alike in most rows
 
 
 def fetched(frames: DataFrame, rows: DataFrame, key: Sequence[str]) -> DataFrame:
-    """The frames, told by a key only, with the other columns of the rows of that key."""
+    """The frames, told by a key only, with the other columns of the rows of that key; a hash before the key is what rows are sorted by."""
     own = [c for c in rows.columns if c not in key]
-    there = rows.select(F.struct(*key).alias("_key"), *own)
-    return frames.drop(*own).withColumn("_key", F.struct(*key)).join(there, "_key").drop("_key")
+    both = {"_hash": F.xxhash64(*key), "_key": F.struct(*key)}
+    there = rows.select(*(c.alias(n) for n, c in both.items()), *own)
+    return frames.drop(*own).withColumns(both).join(there, [*both]).drop(*both)
 
 
 def repeated(df: DataFrame, epochs: int) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from wayline.functions.uniform import uniform
 from wayline.operators import mixture, relabel, statistics, steps
 from wayline.operators.skips import Skipped
+from wayline.sources.shared import checkpointed
 
 
 @dataclass(frozen=True)
@@ -127,7 +128,7 @@ def interleaved(sources: Sequence[Source], transforms: TrajectoryTransforms, n:
         frames.append(rows.withColumn("name", F.lit(s.name)))
         numbers.append(numbered_frames(rows.select(*own[1:]), s.name, transforms.key, seed))
         sizes.append(stats["action"].select(F.lit(s.name).alias("name"), F.lit(float(s.weight)).alias("weight"), F.col("num_transitions")))
-    known = reduce(DataFrame.unionByName, sizes)
+    known = checkpointed(reduce(DataFrame.unionByName, sizes))  # a row a source, read twice
     n = mixture.expected_length(known) if n is None else n
     slots = mixture.interleaved(reduce(DataFrame.unionByName, numbers), mixture.balanced(known, balance), n, seed)
     return mixture.fetched(slots, reduce(DataFrame.unionByName, frames), own)
@@ -135,4 +136,4 @@ def interleaved(sources: Sequence[Source], transforms: TrajectoryTransforms, n:
 
 def numbered_frames(rows: DataFrame, name: str, key: Sequence[str], seed: int) -> DataFrame:
     u: Column = uniform("frame", seed, *(F.col(k) for k in key), F.col("t"))
-    return mixture.numbered(rows, u, (*key, "t"), "_rn").withColumns({"name": F.lit(name), "frame_no": F.col("_rn") - 1}).drop("_rn")
+    return mixture.numbered_by_draw(rows, u, (*key, "t"), "_rn").withColumns({"name": F.lit(name), "frame_no": F.col("_rn") - 1}).drop("_rn")
