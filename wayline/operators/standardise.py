@@ -39,6 +39,10 @@ class Vec:
     def __add__(self, other: Vec) -> Vec:
         return Vec(F.concat(self.col, other.col))
 
+    def zeros(self) -> Vec:
+        """As many zeros as there are values."""
+        return Vec(F.array_repeat(F.lit(0.0), F.size(self.col)))
+
     def map(self, f: Callable[[Column], Column]) -> Vec:
         return Vec(F.transform(self.col, f))
 
@@ -177,7 +181,7 @@ SPECS: dict[str, Spec] = {
     ),
     "toto": Spec(lambda: MOVE() + num("action.open_gripper"), STATE, "blank"),
     "language_table": Spec(
-        lambda: A() + A().map(lambda _: F.lit(0.0)) + A().map(lambda _: F.lit(0.0)) + one(1), lambda: O("effector_translation"),
+        lambda: A() + A().zeros() + A().zeros() + one(1), lambda: O("effector_translation"),
         after=lambda df: df.withColumn("language_instruction", spoken_from_codes(F.col("observation.instruction"))),
     ),
     "columbia_cairlab_pusht_real": Spec(lambda: MOVE() + num(GRIPPER), lambda: O("robot_state"), SPOKEN),
@@ -214,7 +218,7 @@ SPECS: dict[str, Spec] = {
     f"stanford_robocook{RLDS}": Spec(None, STATE),
     "imperialcollege_sawyer_wrist_cam": Spec(FIRST_OUT, lambda: zero(1)),
     f"iamlab_cmu_pickup_insert{RLDS}": Spec(lambda: A()[:3] + euler(A()[3:7]) + A()[7:8], lambda: STATE()[:7] + STATE()[7:8]),
-    "uiuc_d3field": Spec(lambda: A() + A().map(lambda _: F.lit(0.0)) + zero(1), lambda: zero(1)),
+    "uiuc_d3field": Spec(lambda: A() + A().zeros() + zero(1), lambda: zero(1)),
     "utaustin_mutex": Spec(SOFT, lambda: STATE()[:8], "blank"),
     "berkeley_fanuc_manipulation": Spec(lambda: A() + inverted(STATE()[6:7]), lambda: STATE()[:6] + STATE()[6:7]),
     "cmu_playing_with_food": Spec(lambda: A()[:3] + euler(A()[3:7]) + A()[-1:], STATE),
